@@ -3,5 +3,6 @@
 from . import (  # noqa: F401  (registration by import)
     queries_blocks,
     queries_metrics,
+    queries_sequences,
 )
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -70,7 +70,7 @@ def pseq(spark: SparkSession, sf: str) -> DataFrame:
         F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
     ranked = positions(events, ["dataset_id", "group_id"], ["ts", "event_id"], "ts_us", "idx")
     return ranked.select(
-        "dataset_id", "group_id", "idx", "ts_us", "event_id", "event_type",
+        "dataset_id", "group_id", "idx", F.col("idx").alias("pos"), "ts_us", "event_id", "event_type",
         (F.lit(-9.0) + F.col("value") / 125).alias("DS_mu"),
         (F.col("k") / 5.0 - 5.0).alias("KF_mu"),
         F.when(F.col("value") < 2, "FAIL").when(F.col("event_type") == "error", "WARNING")
@@ -88,6 +88,15 @@ def dpsd(spark: SparkSession, sf: str) -> DataFrame:
         "dataset_id", "snapshot", "bin", (F.lit(-65.0) + 10.0 * F.col("e").cast("double")).alias("dbm"))
 
 
+def dpsd_sequence(spark: SparkSession, sf: str) -> DataFrame:
+    """V4 with the dense 1-based snapshot position; ranked before the bins unfold."""
+    rows = table(spark, sf, "embeddings").select(
+        F.lit("embeddings").alias("dataset_id"), F.col("vec_id").alias("snapshot"), "embedding")
+    ranked = positions(rows, ["dataset_id"], ["snapshot"], "snapshot")
+    return ranked.select("dataset_id", "snapshot", "pos", F.posexplode("embedding").alias("bin", "e")).select(
+        "dataset_id", "snapshot", "pos", "bin", (F.lit(-65.0) + 10.0 * F.col("e").cast("double")).alias("dbm"))
+
+
 def cand(spark: SparkSession, sf: str) -> DataFrame:
     """V1 with the candidate that made each sample (V5)."""
     suppliers = table(spark, sf, "supplier").select(
@@ -107,6 +116,8 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
                        F.split(F.lower(F.col("path")), "[/._-]").alias("tokens"))
 
 
+PARAMS = ["DS_mu", "KF_mu"]
+
 SQL = {
     "cir": """cir AS (SELECT 'lineitem' AS dataset_id, l_suppkey AS sample,
   CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS tx,
