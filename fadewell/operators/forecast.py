@@ -54,7 +54,7 @@ def forecast(ex: DataFrame, params: list[str], task: str,
 
     series = [
         F.struct(F.lit(m).alias("model"), F.lit(p).alias("param"), predict(m, p).alias("predicted"),
-                 F.transform("targets", lambda c, p=p: c[p].cast("double")).alias("truth"))
+                 F.transform("targets", lambda c: c[p].cast("double")).alias("truth"))
         for m in models for p in params
     ]
     flat = ex.select(D, "group_id", "start_idx", F.col("targets.idx").alias("idx"), F.explode(F.array(*series)).alias("s"))

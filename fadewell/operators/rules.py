@@ -86,3 +86,14 @@ def uniform_spacing(axis: DataFrame, keys: list[str], x: str, order: str) -> Dat
     return facts.join(q, keys, "left").select(
         *keys, "n", "spacing",
         F.coalesce(F.col("_finite") & (F.col("_lo") > 0) & fits, F.lit(False)).alias("uniform"))
+
+
+def classify(has_wideband, has_time, has_array):
+    """One of six dataset classes."""
+    return (
+        F.when(~has_wideband & ~has_time & ~has_array, "narrowband_static_siso")
+        .when(has_wideband & ~has_time & ~has_array, "wideband_static_siso")
+        .when(has_wideband & ~has_time & has_array, "wideband_static_mimo")
+        .when(has_wideband & has_time & has_array, "wideband_dynamic_mimo")
+        .when(has_time, "dynamic_channel").otherwise("other_channel")
+    )

@@ -2,6 +2,8 @@
 
 from . import (  # noqa: F401  (registration by import)
     queries_blocks,
+    queries_evaluate,
+    queries_fitting,
     queries_metrics,
     queries_sequences,
 )
