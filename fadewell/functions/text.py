@@ -42,13 +42,13 @@ VARIABLE_TAGS = {
 
 
 def natural_key(name: str | Column, digits: int = 12) -> Column:
-    """Lower-case text with every number padded to a fixed width.
+    """Lower-case text with every number padded to a fixed width."""
+    def pad(n: Column) -> Column:
+        short = F.regexp_replace(n, r"^0+(?=\d)", "")
+        return F.when(F.length(short) >= digits, short).otherwise(F.lpad(short, digits, "0"))
 
-    Assumes runs of at most `digits` digits, as file counters have.
-    """
     low = F.lower(col(name))
-    numbers = F.transform(F.regexp_extract_all(low, F.lit(r"(\d+)"), F.lit(1)),
-                          lambda n: F.lpad(F.regexp_replace(n, r"^0+(?=\d)", ""), digits, "0"))
+    numbers = F.transform(F.regexp_extract_all(low, F.lit(r"(\d+)"), F.lit(1)), pad)
     parts = F.split(low, r"\d+")
     return F.array_join(F.zip_with(parts, numbers, lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
 
@@ -122,8 +122,15 @@ def fingerprint(columns: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
-def candidate_key(names: list[str], number: str = "%.17g") -> Column:
-    return F.concat_ws("|", *[F.concat(F.lit(f"{n}="), F.format_string(number, F.col(n).cast("double"))) for n in names])
+def candidate_key(names: list[str], number: str | None = None) -> Column:
+    """name=value|... with the shortest text that reads back as the same number."""
+    def text(n: str) -> Column:
+        x = F.col(n).cast("double")
+        if number is not None:
+            return F.format_string(number, x)
+        whole = (x == F.floor(x)) & (F.abs(x) < 1e15)
+        return F.when(whole, x.cast("long").cast("string")).otherwise(x.cast("string"))
+    return F.concat_ws("|", *[F.concat(F.lit(f"{n}="), text(n)) for n in names])
 
 
 def stable_messages(messages: str | Column) -> Column:

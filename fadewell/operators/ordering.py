@@ -8,6 +8,7 @@ still spread over the cluster, and give the same results as the plain window.
 from __future__ import annotations
 
 import math
+import os
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -72,6 +73,20 @@ def positions(df: DataFrame, group: list[str], order: list[str | Column], key: s
     )
 
 
+def text_positions(df: DataFrame, group: list[str], text: str, order: list[str], out: str = "pos",
+                   rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Positions by a text column.
+
+    The bucket key is the number in the six bytes after the prefix that all
+    values share, which keeps the byte order of the text.
+    """
+    ends = df.agg(F.min(text).alias("lo"), F.max(text).alias("hi")).first()
+    shared = len(os.path.commonprefix([(ends["lo"] or "").encode(), (ends["hi"] or "").encode()]))
+    tail = F.hex(F.substring(F.col(text).cast("binary"), shared + 1, 6))
+    keyed = df.withColumn("_text_key", F.conv(F.rpad(tail, 12, "0"), 16, 10).cast("double"))
+    return positions(keyed, group, [text, *order], "_text_key", out, rows_per_bucket).drop("_text_key")
+
+
 def block_of(pos: str | Column, block_rows: int) -> Column:
     pos = F.col(pos) if isinstance(pos, str) else pos
     return F.floor((pos - 1) / block_rows).cast("long")

@@ -5,6 +5,9 @@ from . import (  # noqa: F401  (registration by import)
     queries_evaluate,
     queries_fitting,
     queries_metrics,
+    queries_rules,
     queries_sequences,
+    queries_sources,
+    queries_text,
 )
 from .registry import ORACLES, QUERIES  # noqa: F401
