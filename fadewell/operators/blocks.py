@@ -10,8 +10,12 @@ from .ordering import bounded_join, positions, running
 
 
 def empirical_cdf(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """Sorted finite values with y = i/n; ties are kept. Adds i and n."""
-    finite = df.filter(is_finite(value)).select(*keys, F.col(value).alias("x"))
+    """Sorted finite values with y = i/n; ties are kept. Adds i and n.
+
+    The values are usually derived (one per sample) and are read for the size,
+    the bucket edges and the ranks, so they are kept.
+    """
+    finite = df.filter(is_finite(value)).select(*keys, F.col(value).alias("x")).persist()
     sizes = finite.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     ranked = positions(finite, keys, ["x"], "x", "i")
     return bounded_join(ranked, sizes, keys).withColumn("y", F.col("i") / F.col("n"))

@@ -49,6 +49,15 @@ def metric_bundle(scored: DataFrame) -> DataFrame:
     ).withColumn("raw_rmse", F.when(F.col("param").isNotNull(), F.col("_raw"))).drop("_raw")
 
 
+def error_sums(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """Row count and squared error per key; sums of coarser keys follow from them."""
+    return scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("z_err") ** 2).alias("sse"))
+
+
+def score_of(sums: DataFrame, keys: list[str]) -> DataFrame:
+    return sums.groupBy(*keys).agg(F.sqrt(F.sum("sse") / F.sum("n")).alias("nrmse"))
+
+
 def group_scores(scored: DataFrame, keys: list[str]) -> DataFrame:
     return scored.groupBy(*keys).agg(rms(F.col("z_err")).alias("nrmse"))
 
@@ -163,9 +172,15 @@ def seed_summary(seed_scores: DataFrame) -> DataFrame:
         F.min_by("seed", F.struct("nrmse", "seed")).alias("best_seed"))
 
 
-def qualification(overall: DataFrame, by_group: DataFrame, baselines: list[str], min_gain: float = 0.10,
+def qualification(sums: DataFrame, baselines: list[str], min_gain: float = 0.10,
                   min_wins: float = 0.60, max_ratio: float = 2.0) -> DataFrame:
-    """Candidates against the best baseline: gain, group win rate, worst ratio, verdict."""
+    """Candidates against the best baseline: gain, group win rate, worst ratio, verdict.
+
+    `sums` are the validation error sums per (dataset, model, group); they are
+    kept, so the forecasts are read once.
+    """
+    sums = sums.persist()
+    overall, by_group = score_of(sums, [D, "model"]), score_of(sums, [D, "model", "group_id"])
     base = best_model(overall.filter(F.col("model").isin(baselines)), [D]).select(
         D, F.col("model").alias("baseline"), F.col("nrmse").alias("base_score"))
     cand = overall.filter(~F.col("model").isin(baselines)).join(base, D)

@@ -45,13 +45,18 @@ def parameter_grid(values: DataFrame, names: list[str]) -> DataFrame:
                        *[F.col(f"_v_{p}").alias(p) for p in names])
 
 
-def path_features(cir: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean power and power-weighted delay per path of each key."""
+def path_sums(cir: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums per (key, path) that can be added up over samples: rows, power, power times delay."""
     p = power()
-    rows = cir.filter(valid_path()).groupBy(*keys, "path").agg(
-        F.avg(p).alias("power"), F.sum(p).alias("_t"), F.sum(F.col("delay_s") * p).alias("_m"))
-    return rows.filter("_t > 0").select(*keys, "path", "power", (F.col("_m") / F.col("_t")).alias("delay_s")).filter(
-        "delay_s >= 0")
+    return cir.filter(valid_path()).groupBy(*keys, "path").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(p).alias("sp"), F.sum(F.col("delay_s") * p).alias("sdp"))
+
+
+def path_features(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean power and power-weighted delay per path of each key."""
+    total = sums.groupBy(*keys, "path").agg(F.sum("n").alias("n"), F.sum("sp").alias("sp"), F.sum("sdp").alias("sdp"))
+    return total.filter("sp > 0 AND sdp >= 0").select(
+        *keys, "path", (F.col("sp") / F.col("n")).alias("power"), (F.col("sdp") / F.col("sp")).alias("delay_s"))
 
 
 def clipped_histogram(paths: DataFrame, keys: list[str], window: str) -> DataFrame:
@@ -64,20 +69,41 @@ def clipped_histogram(paths: DataFrame, keys: list[str], window: str) -> DataFra
     return h.select(*keys, "bin", (F.col("w") / total).alias("share"))
 
 
-def build_targets(known: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Known-region features per target key: window, histogram, spread quantiles."""
-    paths = path_features(known, keys)
+def build_targets(sums: DataFrame, spreads: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Features per target key: window, histogram, spread quantiles.
+
+    `sums` are path sums and `spreads` one delay spread per sample, both with
+    the target key.
+    """
+    paths = path_features(sums, keys).persist()
     window = paths.groupBy(*keys).agg((F.max("delay_s") * MARGIN).alias("window_s")).filter("window_s > 0")
     hist = clipped_histogram(bounded_join(paths, window, keys), keys, "window_s")
-    q = quantiles(delay_spread(known, [*keys, "sample"]), "spread_s", keys, GRID)
+    q = quantiles(spreads, "spread_s", keys, GRID)
     return window, hist, q.select(*keys, "p_index", F.col("q").alias("tq"))
 
 
+def known_targets(known: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Targets of whole datasets from their known region."""
+    return build_targets(path_sums(known, [D]), delay_spread(known, [D, "sample"]), [D])
+
+
+def window_targets(cir: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Targets of overlapping sample windows.
+
+    Rows are reduced per sample once; only those sums and spreads are copied
+    to the windows that hold the sample.
+    """
+    keys = [D, "window"]
+    sums = path_sums(cir, [D, "sample"]).join(members, [D, "sample"])
+    spreads = delay_spread(cir, [D, "sample"]).join(members, [D, "sample"])
+    return build_targets(sums, spreads, keys)
+
+
 def candidate_features(cand: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Paths and spread quantiles of every candidate, computed once."""
     keys = [D, "candidate_id"]
     q = quantiles(delay_spread(cand, [*keys, "sample"]), "spread_s", keys, GRID)
-    return path_features(cand, keys), q.select(*keys, "p_index", F.col("q").alias("cq"))
+    return path_features(path_sums(cand, keys), keys).persist(), q.select(*keys, "p_index", F.col("q").alias("cq"))
 
 
 def score_candidates(targets: tuple[DataFrame, DataFrame, DataFrame], keys: list[str],
@@ -165,15 +191,15 @@ def proposal_cache(proposals: DataFrame, keys: list[str], key: str) -> DataFrame
         F.sum(F.col("c") - 1).alias("cached"))
 
 
-def fit_windows(members: DataFrame, cand: DataFrame, windows: DataFrame, parameters: DataFrame,
+def fit_windows(cir: DataFrame, members: DataFrame, cand: DataFrame, windows: DataFrame, parameters: DataFrame,
                 names: list[str]) -> DataFrame:
     """Best candidate per local window as a labelled row; windows without one stay as FAIL.
 
-    `members` are path rows with `window`; `parameters` has the named values
-    per candidate.
+    `members` maps samples to windows; `parameters` has the named values per
+    candidate.
     """
     keys = [D, "window"]
-    scores = score_candidates(build_targets(members, keys), keys, candidate_features(cand))
+    scores = score_candidates(window_targets(cir, members), keys, candidate_features(cand))
     best = scores.groupBy(*keys).agg(
         F.min_by("candidate_id", F.struct("total_score", "candidate_id")).alias("candidate_id"),
         F.min("total_score").alias("fit_score"))

@@ -36,6 +36,9 @@ def baseline_weights(model: str, task: str) -> list[list[float]]:
         centred = known - known.mean()
         slope = centred / np.sum(centred**2)
         return (1.0 / n + np.outer(at - known.mean(), slope)).tolist()
+    if model == "blend":  # mean of the two baselines
+        pair = [np.array(baseline_weights(m, task)) for m in ("persistence", "linear")]
+        return (sum(pair) / 2).tolist()
     raise ValueError(f"unknown baseline {model}")
 
 

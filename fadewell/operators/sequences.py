@@ -159,8 +159,10 @@ def long_targets(ex: DataFrame, params: list[str], column: str = "targets") -> D
 def group_split(groups: DataFrame, order_key: str, fractions: tuple[float, float] = (0.70, 0.15)) -> DataFrame:
     """Partition code per group (1 train, 2 validation, 3 test) in order of appearance.
 
-    `groups` has one row per group; one or two groups are special cases.
+    `groups` has one row per group and is kept, since deriving it may read the
+    whole sequence; one or two groups are special cases.
     """
+    groups = groups.persist()
     ranked = positions(groups, [D], [order_key, "group_id"], order_key, "g")
     n = groups.groupBy(D).agg(F.count(F.lit(1)).alias("n"))
     sized = bounded_join(ranked, n, [D])

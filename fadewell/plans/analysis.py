@@ -50,6 +50,7 @@ def analyze(cir: DataFrame, metadata: DataFrame, *, spacing_s: float, offsets_hz
     angles = metrics.path_angle_spectrum(cir)
     angle_cdf = blocks.empirical_cdf(metrics.angular_spread(cir), "spread_deg", [D, "series"])
     channel = metrics.cir_to_ctf(cir, offsets_hz) if offsets_hz else metrics.narrowband(cir).withColumn("f", F.lit(0))
+    channel = channel.persist()  # read by the time, antenna and frequency metrics
     vectors = complete_vectors(channel, "t")
     doppler = peak_db(metrics.doppler_spectrum(vectors, [D], spacing_s), "power", [D], "db")
     doppler_cdf = blocks.empirical_cdf(metrics.doppler_spread(vectors, [D, "sample"], spacing_s), "spread_hz", [D])

@@ -216,12 +216,13 @@ ql AS (SELECT c.model, c.v, any_value(b.v) AS bv, avg(CASE WHEN g.v/h.v<1 THEN 1
 
 
 def qualified(spark, sf):
-    z = scored_forecast(spark, sf).select(D, "group_id", "start_idx", "step", "param", "model", "z_err")
-    blend = z.groupBy(D, "group_id", "start_idx", "step", "param").agg(F.avg("z_err").alias("z_err")).withColumn(
-        "model", F.lit("blend"))
-    split = example_split(spark, sf).filter("partition_code = 2").select(D, "group_id")
-    v = z.unionByName(blend).join(split, [D, "group_id"], "left_semi")
-    return ev.qualification(ev.group_scores(v, [D, "model"]), ev.group_scores(v, [D, "model", "group_id"]), ["persistence"])
+    """Two candidates against the persistence baseline on the validation groups."""
+    ex = pseq_examples(spark, sf)
+    split = example_split(spark, sf, ex)
+    norm = seqs.fit_normalization(views.pseq(spark, sf), PARAMS, train_groups(split))
+    held = ex.join(split.filter("partition_code = 2").select(D, "group_id"), [D, "group_id"], "left_semi")
+    fc = fcst.forecast(held, PARAMS, "extrapolation", ("persistence", "linear", "blend"))
+    return ev.qualification(ev.error_sums(ev.with_z_error(fc, norm), [D, "model", "group_id"]), ["persistence"])
 
 
 @query("g14_qualification", "pseq", f"""WITH {QUAL_SQL}

@@ -82,18 +82,18 @@ def known_and_candidates(spark, sf):
 
 def fit_scores(spark, sf):
     known, cand = known_and_candidates(spark, sf)
-    return fit.score_candidates(fit.build_targets(known, [D]), [D], fit.candidate_features(cand))
+    return fit.score_candidates(fit.known_targets(known), [D], fit.candidate_features(cand))
 
 
 @query("h02_target_histogram", "cand", f"""WITH {FIT_SQL} SELECT CAST(bin AS INTEGER) AS bin, {s6('sh','share')}, {s6('(SELECT max(w) FROM tw)*1e9','window_ns')} FROM ths""")
 def _(spark, sf):
-    window, hist, _ = fit.build_targets(known_and_candidates(spark, sf)[0], [D])
+    window, hist, _ = fit.known_targets(known_and_candidates(spark, sf)[0])
     return hist.join(window, D).select("bin", r6("share", "share"), r6(F.col("window_s") * 1e9, "window_ns"))
 
 
 @query("h02_target_quantiles", "cand", f"""WITH {FIT_SQL} SELECT CAST(j AS INTEGER) AS p_index, {s6('q*1e9','spread_ns')} FROM t_q""")
 def _(spark, sf):
-    q = fit.build_targets(known_and_candidates(spark, sf)[0], [D])[2]
+    q = fit.known_targets(known_and_candidates(spark, sf)[0])[2]
     return q.select("p_index", r6(F.col("tq") * 1e9, "spread_ns"))
 
 
@@ -188,9 +188,8 @@ def _(spark, sf):
     windows = seqs.local_windows(samples, "pos")
     member_keys = seqs.window_members(samples, "pos").select(D, "sample", "window")
     cand = views.cand(spark, sf)
-    members = cand.join(member_keys, [D, "sample"])
     parameters = views.table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("candidate_id")).agg(
         F.avg("s_acctbal").alias("parameter")).withColumn(D, F.lit("lineitem"))
-    f = fit.fit_windows(members, cand, windows, parameters, ["parameter"])
+    f = fit.fit_windows(cand, member_keys, cand, windows, parameters, ["parameter"])
     return f.select(F.col("window").alias("window_no"), F.col("start").alias("first_pos"), F.col("end").alias("last_pos"),
                     "candidate_id", r6("fit_score", "fit_score"), r6("parameter", "parameter"), "label_source", "quality_status")
