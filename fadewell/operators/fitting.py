@@ -166,11 +166,10 @@ def outcome_counts(evaluated: DataFrame) -> DataFrame:
 
 def search_history(history: DataFrame, group: list[str], pos: str, score: str) -> DataFrame:
     """Running best, improvement flag and no-improvement streak for a search of any length."""
-    best = running(history, group, pos, {"best": ("min", score)})
-    from .ordering import lagged
-    prior = lagged(best, group, pos, {"_prior": "best"})
+    prior = running(history, group, pos, {"_prior": ("min_before", score)})
     improved = F.col("_prior").isNull() | (F.col(score) < F.col("_prior"))
-    flagged = prior.withColumn("improved", improved).withColumn("_at", F.when(improved, F.col(pos)))
+    flagged = prior.withColumns({"best": F.least("_prior", score), "improved": improved,
+                                 "_at": F.when(improved, F.col(pos))})
     last = running(flagged, group, pos, {"_last": ("max", "_at")})
     return last.withColumn("streak", F.col(pos) - F.col("_last")).drop("_prior", "_at", "_last")
 

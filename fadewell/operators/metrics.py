@@ -37,7 +37,11 @@ def ctf_power(ctf: DataFrame) -> DataFrame:
 
 
 def peak_normalized(rows: DataFrame, linear: str = "linear", out: str = "normalized_db") -> DataFrame:
-    """dB below the dataset peak for row sets of any size."""
+    """dB below the dataset peak for row sets of any size.
+
+    The rows are already reduced per sample; they are kept for the two passes.
+    """
+    rows = rows.persist()
     peak = rows.groupBy(D).agg(F.max(db(linear)).alias("_peak"))
     return bounded_join(rows, peak, [D]).withColumn(out, clip_db(db(linear) - F.col("_peak"))).drop("_peak")
 

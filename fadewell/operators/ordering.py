@@ -122,12 +122,16 @@ def lagged(df: DataFrame, group: list[str], pos: str, columns: dict[str, str],
 
 def running(df: DataFrame, group: list[str], pos: str, columns: dict[str, tuple[str, str]],
             block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Running sum/min/max per group: local running value plus earlier blocks."""
-    fold = {"sum": F.sum, "min": F.min, "max": F.max}
+    """Running sum/min/max per group: local running value plus earlier blocks.
+
+    The kind `min_before` leaves out the row itself.
+    """
+    fold = {"sum": F.sum, "min": F.min, "max": F.max, "min_before": F.min}
     merge = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
-             "min": F.least, "max": F.greatest}
+             "min": F.least, "max": F.greatest, "min_before": F.least}
     df = df.withColumn("_block", block_of(pos, block_rows))
-    local = Window.partitionBy(*group, "_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(*group, "_block").orderBy(pos)
+    upto, before = (order.rowsBetween(Window.unboundedPreceding, k) for k in (0, -1))
     earlier = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     per_block = df.groupBy(*group, "_block").agg(
         *[fold[kind](source).alias(f"_b_{out}") for out, (kind, source) in columns.items()]
@@ -137,7 +141,7 @@ def running(df: DataFrame, group: list[str], pos: str, columns: dict[str, tuple[
         *[fold[kind](f"_b_{out}").over(earlier).alias(f"_c_{out}") for out, (kind, _) in columns.items()],
     )
     for out, (kind, source) in columns.items():
-        df = df.withColumn(f"_l_{out}", fold[kind](source).over(local))
+        df = df.withColumn(f"_l_{out}", fold[kind](source).over(before if kind == "min_before" else upto))
     df = df.join(carried, [*group, "_block"])
     for out, (kind, _) in columns.items():
         df = df.withColumn(out, merge[kind](F.col(f"_l_{out}"), F.col(f"_c_{out}")))

@@ -105,15 +105,19 @@ def spans(seq: DataFrame, params: list[str], length: int, block_rows: int = BLOC
     for p in params[1:]:
         finite = finite & is_finite(p)
     bad = (F.upper("quality_status") == "FAIL") | ~finite
-    cell = F.struct("idx", "label_source", bad.alias("bad"), *params)
-    wide = halo_blocks(seq.withColumn("_cell", cell), "pos", after=length - 1, block_rows=block_rows)
-    frame = Window.partitionBy(D, "group_id", "_block").orderBy("pos").rowsBetween(0, length - 1)
-    s = wide.withColumn("cells", F.collect_list("_cell").over(frame)).filter(
-        F.col("_own") & (F.size("cells") == length)).select(D, "group_id", "cells")
-    gap = F.exists(F.zip_with(F.slice("cells", 1, length - 1), F.slice("cells", 2, length - 1),
-                              lambda a, b: b["idx"] - a["idx"]), lambda d: d != 1)
-    return s.withColumn("start_idx", F.col("cells")[0]["idx"]).withColumn(
-        "state", F.when(F.exists("cells", lambda c: c["bad"]), "invalid").when(gap, "boundary").otherwise("ok"))
+    wide = halo_blocks(seq.select(D, "group_id", "pos", "idx", "label_source", bad.cast("int").alias("_bad"), *params),
+                       "pos", after=length - 1, block_rows=block_rows)
+    order = Window.partitionBy(D, "group_id", "_block").orderBy("pos")
+    frame = order.rowsBetween(0, length - 1)
+    stepped = wide.withColumn("_gap", (F.col("idx") - F.lag("idx").over(order) != 1).cast("int"))
+    # A plan that does not use `cells` drops that window expression.
+    s = stepped.withColumns({
+        "_n": F.count(F.lit(1)).over(frame), "_bads": F.sum("_bad").over(frame),
+        "_gaps": F.sum("_gap").over(order.rowsBetween(1, length - 1)),
+        "cells": F.collect_list(F.struct("idx", "label_source", *params)).over(frame)})
+    return s.filter(F.col("_own") & (F.col("_n") == length)).select(
+        D, "group_id", F.col("idx").alias("start_idx"), "cells",
+        F.when(F.col("_bads") > 0, "invalid").when(F.col("_gaps") > 0, "boundary").otherwise("ok").alias("state"))
 
 
 def examples(seq: DataFrame, params: list[str], task: str,

@@ -29,8 +29,8 @@ Z_SQL = f"""{FC_SQL}, {SPLIT_SQL}, {NORM_SQL},
 z AS (SELECT fc.*, (predicted-truth)/std AS e FROM fc JOIN norm USING (param))"""
 
 
-def pseq_forecast(spark, sf, task="extrapolation"):
-    return fcst.forecast(pseq_examples(spark, sf, task), PARAMS, task)
+def pseq_forecast(spark, sf, task="extrapolation", models=("persistence", "linear")):
+    return fcst.forecast(pseq_examples(spark, sf, task), PARAMS, task, models)
 
 
 def scored_forecast(spark, sf):
@@ -347,7 +347,7 @@ def _(spark, sf):
 @query("g19_parameter_nrmse", "pseq", f"""WITH {FC_SQL} SELECT group_id, start_idx, step, {s6('sqrt(avg(pow(truth-predicted,2)))/greatest(sqrt(avg(truth*truth)),2.220446049250313e-16)','parameter_nrmse')}
 FROM fc WHERE model='persistence' GROUP BY 1,2,3""")
 def _(spark, sf):
-    fc = pseq_forecast(spark, sf).filter("model = 'persistence'")
+    fc = pseq_forecast(spark, sf, models=("persistence",))
     p = ev.parameter_nrmse(fc, ["group_id", "start_idx", "step"])
     return p.select("group_id", "start_idx", "step", r6("parameter_nrmse", "parameter_nrmse"))
 

@@ -291,7 +291,7 @@ def _(spark, sf):
 @query("a23_selected_example", "pseq", f"""WITH {FC_SQL}, f AS (SELECT group_id, max(start_idx) AS s FROM fc GROUP BY 1)
 SELECT fc.group_id, step, param, fc.idx, {s6('predicted','predicted')}, {s6('(ts_us-epoch_us(TIMESTAMP \'2024-01-01\'))/CAST(3.6e9 AS DOUBLE)','axis_hours')} FROM fc JOIN f ON f.group_id=fc.group_id AND f.s=start_idx JOIN pseq p ON p.group_id=fc.group_id AND p.idx=fc.idx WHERE model='linear'""")
 def _(spark, sf):
-    batch = pseq_forecast(spark, sf).filter("model = 'linear'")
+    batch = pseq_forecast(spark, sf, models=("linear",))
     last = batch.groupBy(D, "group_id").agg(F.max("start_idx").alias("last_start"))
     start_us = F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))
     axis = views.pseq(spark, sf).select(D, "group_id", "idx", ((F.col("ts_us") - start_us) / F.lit(3.6e9)).alias("axis_value"))
