@@ -166,6 +166,7 @@ def outcome_counts(evaluated: DataFrame) -> DataFrame:
 
 def search_history(history: DataFrame, group: list[str], pos: str, score: str) -> DataFrame:
     """Running best, improvement flag and no-improvement streak for a search of any length."""
+    history = history.select(*group, pos, score).persist()  # read by every pass
     prior = running(history, group, pos, {"_prior": ("min_before", score)})
     improved = F.col("_prior").isNull() | (F.col(score) < F.col("_prior"))
     flagged = prior.withColumns({"best": F.least("_prior", score), "improved": improved,
