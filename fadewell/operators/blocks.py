@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bin_index, col, dbm_to_watts, is_finite
-from .ordering import bounded_join, positions, running
+from .ordering import bounded_join, positions, running, sized_groups
 
 
 def empirical_cdf(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
@@ -16,9 +16,9 @@ def empirical_cdf(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     the bucket edges and the ranks, so they are kept.
     """
     finite = df.filter(is_finite(value)).select(*keys, F.col(value).alias("x")).persist()
-    sizes = finite.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    ranked = positions(finite, keys, ["x"], "x", "i")
-    return bounded_join(ranked, sizes, keys).withColumn("y", F.col("i") / F.col("n"))
+    sizes, total, groups = sized_groups(finite, keys)
+    ranked = positions(finite, keys, ["x"], "x", "i", total=total)
+    return bounded_join(ranked, sizes, keys, counted=groups).withColumn("y", F.col("i") / F.col("n"))
 
 
 def quantiles(df: DataFrame, value: str, keys: list[str], probs: list[float]) -> DataFrame:
@@ -28,8 +28,8 @@ def quantiles(df: DataFrame, value: str, keys: list[str], probs: list[float]) ->
     aggregation buffer ever holds the values of a group.
     """
     ranked = empirical_cdf(df, value, keys).select(*keys, "x", "i", "n")
-    wanted = F.array(*[F.struct(F.lit(j).alias("p_index"), F.lit(float(p)).alias("p"))
-                       for j, p in enumerate(probs)])
+    cells = ", ".join(f"named_struct('p_index', {j}, 'p', {float(p)!r}D)" for j, p in enumerate(probs))
+    wanted = F.expr(f"array({cells})")
     at = 1 + (F.col("n") - 1) * F.col("w.p")
     # A rank serves every quantile whose position lies within one rank of it.
     near = F.filter(wanted, lambda w: F.abs(1 + (F.col("n") - 1) * w["p"] - F.col("i")) < 1)

@@ -122,9 +122,10 @@ def beam_spread(vectors: DataFrame, keys: list[str], spacing_wavelengths: float)
 def delay_sample_heatmap(cir: DataFrame) -> DataFrame:
     """Power per sample on one common delay grid of 64 to 256 bins."""
     valid = valid_path() & is_finite(power())
-    limits = cir.groupBy(D).agg(
-        F.min(F.when(valid, F.col("delay_s"))).alias("lo"), F.max(F.when(valid, F.col("delay_s"))).alias("hi"),
-        F.countDistinct("path").alias("paths"), F.countDistinct("t").alias("times"))
+    cells = cir.groupBy(D, "path", "t").agg(
+        F.min(F.when(valid, F.col("delay_s"))).alias("lo"), F.max(F.when(valid, F.col("delay_s"))).alias("hi"))
+    limits = cells.groupBy(D).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+                                  F.countDistinct("path").alias("paths"), F.countDistinct("t").alias("times"))
     pad = F.when(F.col("hi") <= F.col("lo"),
                  F.greatest(F.abs("lo") * 1e-6, F.lit(1e-12))).otherwise(0.0)
     grid = limits.filter("lo IS NOT NULL").select(
@@ -132,12 +133,12 @@ def delay_sample_heatmap(cir: DataFrame) -> DataFrame:
         F.least(F.greatest("paths", F.lit(64)), F.lit(256)).cast("int").alias("bins"), "times")
     grid = grid.withColumn("width", (F.col("hi") - F.col("lo")) / F.col("bins"))
     rows = bounded_join(cir.filter(valid), grid, [D])
-    cells = rows.groupBy(
+    binned = rows.groupBy(
         D, "sample", "lo", "width", "bins", "times",
         bin_index("delay_s", F.col("lo"), F.col("width"), F.col("bins")).alias("bin"),
     ).agg(F.sum(power()).alias("p"))
     # At most 256 cells per sample are packed.
-    per_sample = cells.groupBy(D, "sample", "lo", "width", "bins", "times").agg(
+    per_sample = binned.groupBy(D, "sample", "lo", "width", "bins", "times").agg(
         F.map_from_entries(F.collect_list(F.struct("bin", "p"))).alias("m"))
     dense = per_sample.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1))).select(
         D, "sample", "bin", (F.col("lo") + (F.col("bin") + 0.5) * F.col("width")).alias("delay_s"),
@@ -151,8 +152,8 @@ def cir_to_ctf(cir: DataFrame, offsets_hz: list[float]) -> DataFrame:
     Expanded rows meet the map-side aggregate in the same stage; only one row
     per observation and frequency shuffles.
     """
-    f = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.lit(float(x)).alias("hz"))
-                            for i, x in enumerate(offsets_hz)]))
+    cells = ", ".join(f"named_struct('f', {i}, 'hz', {float(x)!r}D)" for i, x in enumerate(offsets_hz))
+    f = F.expr(f"explode(array({cells}))")
     rows = cir.filter("path_valid").select(D, "sample", "tx", "rx", "t", "re", "im", "delay_s", f.alias("g"))
     angle = -2 * F.pi() * F.col("g.hz") * F.col("delay_s")
     c, s = F.cos(angle), F.sin(angle)

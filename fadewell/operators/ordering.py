@@ -21,22 +21,32 @@ BROADCAST_ROWS = 200_000
 
 
 def bounded_join(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner",
-                 limit: int = BROADCAST_ROWS) -> DataFrame:
+                 limit: int = BROADCAST_ROWS, counted: int | None = None) -> DataFrame:
     """Join facts onto rows; broadcast facts only after counting them.
 
     Above the limit the join stays a shuffle join, where adaptive execution
-    splits hot keys.
+    splits hot keys. `counted` is the row count of facts where it is known.
     """
-    facts = facts.persist()
-    if facts.count() <= limit:
+    if counted is None:
+        facts = facts.persist()
+        counted = facts.count()
+    if counted <= limit:
         facts = F.broadcast(facts)
     return rows.join(facts, keys, how)
 
 
-def with_bucket(df: DataFrame, key: str,
-                rows_per_bucket: int = ROWS_PER_BUCKET) -> tuple[DataFrame, int]:
+def sized_groups(df: DataFrame, keys: list[str], out: str = "n") -> tuple[DataFrame, int, int]:
+    """Row count per key, kept, with the total of rows and of keys from one job."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out)).persist()
+    facts = sizes.agg(F.sum(out).alias("rows"), F.count(F.lit(1)).alias("keys")).first()
+    return sizes, facts["rows"] or 0, facts["keys"]
+
+
+def with_bucket(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET,
+                total: int | None = None) -> tuple[DataFrame, int]:
     """Add `_bucket`, a monotone function of a numeric order key; also its count."""
-    buckets = min(MAX_BUCKETS, math.ceil(df.count() / rows_per_bucket))
+    total = df.count() if total is None else total
+    buckets = min(MAX_BUCKETS, math.ceil(total / rows_per_bucket))
     edges: list[float] = []
     if buckets > 1:
         probs = [i / buckets for i in range(1, buckets)]
@@ -51,13 +61,13 @@ def with_bucket(df: DataFrame, key: str,
 
 
 def positions(df: DataFrame, group: list[str], order: list[str | Column], key: str,
-              out: str = "pos", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+              out: str = "pos", rows_per_bucket: int = ROWS_PER_BUCKET, total: int | None = None) -> DataFrame:
     """row_number() per group; `key` is the numeric leading order column.
 
     Rows are ranked inside (group, bucket) and shifted by the row count of the
     earlier buckets, which is a table of at most MAX_BUCKETS rows per group.
     """
-    df, buckets = with_bucket(df, key, rows_per_bucket)
+    df, buckets = with_bucket(df, key, rows_per_bucket, total)
     if buckets == 1:
         whole = Window.partitionBy(*group).orderBy(*order)
         return df.withColumn(out, F.row_number().over(whole).cast("long")).drop("_bucket")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import is_finite, power
+from ..functions.scalars import is_finite
 from .blocks import quantiles
 from .ordering import lagged, positions
 
@@ -35,18 +35,27 @@ def standard_metrics(classification: str) -> list[str]:
     return METRICS[1:1 + STANDARD_COUNT.get(classification, 0)]
 
 
-def dataset_summary(cir: DataFrame) -> DataFrame:
-    """Dimensions and content flags per dataset in one aggregate.
+def axis_counts(cir: DataFrame, **facts: Column) -> DataFrame:
+    """Number of values on each axis of each dataset, with additive facts.
 
-    Distinct index values are reduced on the map side, so only the axis values
-    of each task shuffle.
+    The short axes are counted on their distinct combinations and the samples
+    on their own, so no row is copied once per axis. `facts` are counts; they
+    are added up.
     """
-    return cir.groupBy(D).agg(
-        F.countDistinct("tx").alias("n_tx"), F.countDistinct("rx").alias("n_rx"),
-        F.countDistinct("path").alias("n_path"), F.countDistinct("t").alias("n_t"),
-        F.countDistinct("sample").alias("n_sample"), F.count(F.lit(1)).alias("rows"),
-        F.count_if("path_valid").alias("valid_rows"),
-        F.bool_or(F.col("aoa_rad").isNotNull() | F.col("aod_rad").isNotNull()).alias("has_angles"))
+    cells = cir.groupBy(D, "tx", "rx", "path", "t").agg(
+        F.count(F.lit(1)).alias("rows"), *[f.alias(n) for n, f in facts.items()])
+    short = cells.groupBy(D).agg(
+        *[F.countDistinct(c).alias(f"n_{c}") for c in ("tx", "rx", "path", "t")],
+        F.sum("rows").alias("rows"), *[F.sum(n).alias(n) for n in facts])
+    samples = cir.select(D, "sample").distinct().groupBy(D).agg(F.count(F.lit(1)).alias("n_sample"))
+    return short.join(samples, D)
+
+
+def dataset_summary(cir: DataFrame) -> DataFrame:
+    """Dimensions and content flags per dataset."""
+    angled = F.col("aoa_rad").isNotNull() | F.col("aod_rad").isNotNull()
+    s = axis_counts(cir, valid_rows=F.count_if("path_valid"), angled=F.count_if(angled))
+    return s.withColumn("has_angles", F.col("angled") > 0).drop("angled")
 
 
 def angular_source(summary: DataFrame) -> DataFrame:
@@ -129,11 +138,10 @@ def cir_rules(cir: DataFrame, metadata: DataFrame) -> DataFrame:
     has_sample_index, has_position.
     """
     valid = F.col("path_valid")
-    facts = cir.groupBy(D).agg(
-        F.count_if(valid).alias("v"), F.count_if(valid & ~(is_finite("re") & is_finite("im"))).alias("nf"),
-        F.count_if(valid & ~(is_finite("delay_s") & (F.col("delay_s") >= 0))).alias("bd"),
-        F.bool_or(F.col("im") != 0).alias("complex"),
-        *[F.countDistinct(c).alias(f"c_{c}") for c in ("tx", "rx", "path", "t", "sample")])
+    facts = axis_counts(
+        cir, v=F.count_if(valid), nf=F.count_if(valid & ~(is_finite("re") & is_finite("im"))),
+        bd=F.count_if(valid & ~(is_finite("delay_s") & (F.col("delay_s") >= 0))), complex=F.count_if(F.col("im") != 0))
+    facts = facts.withColumnsRenamed({f"n_{c}": f"c_{c}" for c in ("tx", "rx", "path", "t", "sample")})
     m = facts.join(metadata, D)
     unit_errors = sum((F.coalesce(F.try_element_at("units", F.lit(k)) != v, F.lit(True)).cast("int") for k, v in UNITS.items()), F.lit(0))
     text = F.lower(F.trim(F.coalesce("source", F.lit(""))))
@@ -145,7 +153,7 @@ def cir_rules(cir: DataFrame, metadata: DataFrame) -> DataFrame:
             ("tx", "n_tx", "tx_mismatch"), ("rx", "n_rx", "rx_mismatch"), ("path", "n_path", "path_mismatch"),
             ("t", "n_t", "time_mismatch"), ("sample", "n_sample", "sample_mismatch"))],
         unit_errors.alias("wrong_unit"), (~semantics.isin(SEMANTICS)).cast("int").alias("unknown_semantics"),
-        (~F.col("complex")).cast("int").alias("real_valued"),
+        (F.col("complex") == 0).cast("int").alias("real_valued"),
         text.isin("", "unknown", "unspecified").cast("int").alias("source_unspecified"),
         ((F.col("c_t") > 1) & ~F.col("has_time_axis")).cast("int").alias("time_axis_missing"),
         (~F.col("has_sample_index")).cast("int").alias("sample_index_missing"),

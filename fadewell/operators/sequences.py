@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_finite
-from .ordering import BLOCK_ROWS, bounded_join, halo_blocks, positions
+from .ordering import BLOCK_ROWS, bounded_join, halo_blocks, positions, sized_groups
 
 D = "dataset_id"
 
@@ -167,9 +167,9 @@ def group_split(groups: DataFrame, order_key: str, fractions: tuple[float, float
     whole sequence; one or two groups are special cases.
     """
     groups = groups.persist()
-    ranked = positions(groups, [D], [order_key, "group_id"], order_key, "g")
-    n = groups.groupBy(D).agg(F.count(F.lit(1)).alias("n"))
-    sized = bounded_join(ranked, n, [D])
+    n, total, datasets = sized_groups(groups, [D])
+    ranked = positions(groups, [D], [order_key, "group_id"], order_key, "g", total=total)
+    sized = bounded_join(ranked, n, [D], counted=datasets)
     t = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(fractions[0])))
     v = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(fractions[1])))
     short = F.col("n") - t - v < 1

@@ -14,7 +14,7 @@ from ..operators.sequences import D
 from . import views
 from .queries_metrics import BANDWIDTH_HZ
 from .queries_sequences import (
-    NORM_SQL, SEQ_SQL, SPAN_SQL, SPLIT_SQL, example_split, fitted_norm, pseq_examples, train_groups,
+    NORM_SQL, SEQ_SQL, SPAN_SQL, SPLIT_SQL, example_split, pseq_examples, train_groups,
 )
 from .registry import query, s6
 from .views import PARAMS
@@ -34,7 +34,10 @@ def pseq_forecast(spark, sf, task="extrapolation", models=("persistence", "linea
 
 
 def scored_forecast(spark, sf):
-    return ev.with_z_error(pseq_forecast(spark, sf), fitted_norm(spark, sf))
+    seq = views.pseq(spark, sf)
+    ex = seqs.examples(seq, PARAMS, "extrapolation")
+    norm = seqs.fit_normalization(seq, PARAMS, train_groups(example_split(spark, sf, ex)))
+    return ev.with_z_error(fcst.forecast(ex, PARAMS, "extrapolation"), norm)
 
 
 def forecast_columns(fc):
@@ -217,9 +220,10 @@ ql AS (SELECT c.model, c.v, any_value(b.v) AS bv, avg(CASE WHEN g.v/h.v<1 THEN 1
 
 def qualified(spark, sf):
     """Two candidates against the persistence baseline on the validation groups."""
-    ex = pseq_examples(spark, sf)
+    seq = views.pseq(spark, sf)
+    ex = seqs.examples(seq, PARAMS, "extrapolation")
     split = example_split(spark, sf, ex)
-    norm = seqs.fit_normalization(views.pseq(spark, sf), PARAMS, train_groups(split))
+    norm = seqs.fit_normalization(seq, PARAMS, train_groups(split))
     held = ex.join(split.filter("partition_code = 2").select(D, "group_id"), [D, "group_id"], "left_semi")
     fc = fcst.forecast(held, PARAMS, "extrapolation", ("persistence", "linear", "blend"))
     return ev.qualification(ev.error_sums(ev.with_z_error(fc, norm), [D, "model", "group_id"]), ["persistence"])

@@ -46,7 +46,9 @@ def train_groups(split):
 
 
 def fitted_norm(spark, sf):
-    return seqs.fit_normalization(views.pseq(spark, sf), PARAMS, train_groups(example_split(spark, sf)))
+    seq = views.pseq(spark, sf)
+    split = example_split(spark, sf, seqs.examples(seq, PARAMS, "extrapolation"))
+    return seqs.fit_normalization(seq, PARAMS, train_groups(split))
 
 
 @query("f01_sliding_windows", "dpsd", f"""WITH {SEQ_SQL},
