@@ -108,7 +108,7 @@ EVAL_SQL = f"""{FIT_SQL}, ev AS (SELECT n_nationkey AS candidate_id, coalesce(to
 
 
 def evaluated(spark, sf):
-    nations = views.table(spark, sf, "nation").select(F.lit("lineitem").alias(D), F.col("n_nationkey").alias("candidate_id"))
+    nations = views.table(spark, sf, "nation").select(views.source_id("lineitem", "n_nationkey"), F.col("n_nationkey").alias("candidate_id"))
     return fit.evaluate_candidates(nations, fit_scores(spark, sf))
 
 
@@ -189,7 +189,7 @@ def _(spark, sf):
     member_keys = seqs.window_members(samples, "pos").select(D, "sample", "window")
     cand = views.cand(spark, sf)
     parameters = views.table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("candidate_id")).agg(
-        F.avg("s_acctbal").alias("parameter")).withColumn(D, F.lit("lineitem"))
+        F.avg("s_acctbal").alias("parameter")).select("*", views.source_id("lineitem", "candidate_id"))
     f = fit.fit_windows(cand, member_keys, cand, windows, parameters, ["parameter"])
     return f.select(F.col("window").alias("window_no"), F.col("start").alias("first_pos"), F.col("end").alias("last_pos"),
                     "candidate_id", r6("fit_score", "fit_score"), r6("parameter", "parameter"), "label_source", "quality_status")

@@ -234,7 +234,6 @@ def sequence_report(spark, sf):
 @query("b15_combined_report", "cir pseq", f"""WITH {CIR_RULE_SQL}, {SEQ_RULE_SQL}, a AS (SELECT 'dataset: '||rule AS rule, violations, severity FROM ru UNION ALL SELECT 'task: '||rule, violations, severity FROM sr)
 SELECT rule, CAST(violations AS BIGINT) AS violations, severity, CASE WHEN max(CASE WHEN violations>0 AND severity='error' THEN 2 WHEN violations>0 THEN 1 ELSE 0 END) OVER ()=2 THEN 'FAIL' ELSE 'WARNING' END AS overall FROM a""")
 def _(spark, sf):
-    key = F.lit("import").alias("job")
     a = cir_report(spark, sf).withColumn("job", F.lit("import"))
     b = sequence_report(spark, sf).withColumn("job", F.lit("import"))
     r = rules.combine_reports({"dataset": a, "task": b}, ["job"])

@@ -189,7 +189,7 @@ def _(spark, sf):
 def halves(spark, sf):
     """Even snapshots as the real sequence, odd ones as the generated one."""
     rows = views.table(spark, sf, "embeddings").select(
-        F.lit("embeddings").alias(D), F.col("vec_id").alias("snapshot"), (F.col("vec_id") % 2).alias("side"), "embedding")
+        views.source_id("embeddings", "vec_id"), F.col("vec_id").alias("snapshot"), (F.col("vec_id") % 2).alias("side"), "embedding")
     ranked = positions(rows, [D, "side"], ["snapshot"], "snapshot")
     flat = ranked.select(D, "side", "pos", F.posexplode("embedding").alias("bin", "e")).select(
         D, "side", "pos", "bin", (F.lit(-65.0) + 10.0 * F.col("e").cast("double")).alias("dbm"))

@@ -20,7 +20,7 @@ from .views import PARAMS
 
 def flat_vectors(spark, sf):
     return views.table(spark, sf, "embeddings").select(
-        F.lit("embeddings").alias(D), F.col("vec_id").alias("obs"),
+        views.source_id("embeddings", "vec_id"), F.col("vec_id").alias("obs"),
         F.transform("embedding", lambda x: x.cast("double")).alias("values"))
 
 
@@ -182,7 +182,7 @@ def _(spark, sf):
 SELECT count(*) AS file_count, CAST(sum(size_bytes) AS BIGINT) AS total_bytes, sha256(string_agg(h||'  '||size_bytes||'  '||path, chr(10) ORDER BY path)) AS aggregate_sha256 FROM e""")
 def _(spark, sf):
     e = views.files(spark, sf).groupBy("path").agg(F.min("size_bytes").alias("size_bytes"), F.sha2(F.col("path"), 256).alias("sha256"))
-    return files.manifest_digest(e.withColumn(D, F.lit("pages"))).select("file_count", "total_bytes", "aggregate_sha256")
+    return files.manifest_digest(e.select("*", views.source_id("pages", "path"))).select("file_count", "total_bytes", "aggregate_sha256")
 
 
 @query("a16_analysis_export", "cand", f"""WITH {DIMS_SQL}, p AS (SELECT candidate_id, count(DISTINCT path) AS n FROM cand GROUP BY 1)

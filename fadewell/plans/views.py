@@ -14,12 +14,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def source_id(name: str, key: str):
+    """Dataset key of a bound table; a column, so joins on it stay key joins."""
+    return F.when(F.col(key).isNotNull(), name).alias("dataset_id")
+
+
 def cir(spark: SparkSession, sf: str) -> DataFrame:
     """Path observations (V1)."""
     phase = 20 * F.pi() * F.col("l_discount")
     to_rad = F.pi() / F.lit(180.0)
     return table(spark, sf, "lineitem").select(
-        F.lit("lineitem").alias("dataset_id"),
+        source_id("lineitem", "l_suppkey"),
         F.col("l_suppkey").alias("sample"),
         F.when(F.col("l_linestatus") == "O", 1).otherwise(0).alias("tx"),
         F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2).alias("rx"),
@@ -42,7 +47,7 @@ def ctf_vectors(spark: SparkSession, sf: str) -> DataFrame:
         return F.transform(F.sequence(F.lit(0), F.lit(AXIS - 1)),
                            lambda k: e[2 * k + offset].cast("double"))
     return table(spark, sf, "embeddings").select(
-        F.lit("embeddings").alias("dataset_id"), F.col("vec_id").alias("obs"),
+        source_id("embeddings", "vec_id"), F.col("vec_id").alias("obs"),
         F.col("label").alias("sample"), part(0).alias("re"), part(1).alias("im"))
 
 
@@ -64,7 +69,7 @@ def antenna_vectors(spark: SparkSession, sf: str, elements: int = 4) -> DataFram
 def pseq(spark: SparkSession, sf: str) -> DataFrame:
     """Parameter sequence (V3); idx is the dense position in the group."""
     events = table(spark, sf, "events").select(
-        F.lit("events").alias("dataset_id"),
+        source_id("events", "user_id"),
         F.col("user_id").alias("group_id"), "ts", "event_id", "event_type", "value",
         F.get_json_object("props", "$.k").cast("int").alias("k"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
@@ -83,7 +88,7 @@ def pseq(spark: SparkSession, sf: str) -> DataFrame:
 def dpsd(spark: SparkSession, sf: str) -> DataFrame:
     """Power profile in dBm (V4)."""
     return table(spark, sf, "embeddings").select(
-        F.lit("embeddings").alias("dataset_id"), F.col("vec_id").alias("snapshot"),
+        source_id("embeddings", "vec_id"), F.col("vec_id").alias("snapshot"),
         F.posexplode("embedding").alias("bin", "e")).select(
         "dataset_id", "snapshot", "bin", (F.lit(-65.0) + 10.0 * F.col("e").cast("double")).alias("dbm"))
 
@@ -91,7 +96,7 @@ def dpsd(spark: SparkSession, sf: str) -> DataFrame:
 def dpsd_sequence(spark: SparkSession, sf: str) -> DataFrame:
     """V4 with the dense 1-based snapshot position; ranked before the bins unfold."""
     rows = table(spark, sf, "embeddings").select(
-        F.lit("embeddings").alias("dataset_id"), F.col("vec_id").alias("snapshot"), "embedding")
+        source_id("embeddings", "vec_id"), F.col("vec_id").alias("snapshot"), "embedding")
     ranked = positions(rows, ["dataset_id"], ["snapshot"], "snapshot")
     return ranked.select("dataset_id", "snapshot", "pos", F.posexplode("embedding").alias("bin", "e")).select(
         "dataset_id", "snapshot", "pos", "bin", (F.lit(-65.0) + 10.0 * F.col("e").cast("double")).alias("dbm"))
