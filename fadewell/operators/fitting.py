@@ -142,6 +142,7 @@ def evaluate_candidates(candidates: DataFrame, scores: DataFrame) -> DataFrame:
 def rank_candidates(evaluated: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Successes first, then score, then index; only successes get a rank."""
     keys = keys or [D]
+    evaluated = evaluated.persist()  # sized and ranked; scoring runs once
     placed = positions(evaluated, keys, [F.col("success").cast("int").desc(), "total_score", "candidate_id"],
                        "total_score", "place")  # a failed candidate has an infinite score
     return placed.withColumn("rank", F.when(F.col("success"), F.col("place")))

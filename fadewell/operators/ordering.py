@@ -83,6 +83,12 @@ def positions(df: DataFrame, group: list[str], order: list[str | Column], key: s
     )
 
 
+def keyed_positions(df: DataFrame, group: list[str], key: str, out: str = "pos") -> DataFrame:
+    """Positions of wide rows by a unique numeric key: only the keys are sorted."""
+    ranks = positions(df.select(*group, key), group, [key], key, out)
+    return bounded_join(df, ranks, [*group, key])
+
+
 def text_positions(df: DataFrame, group: list[str], text: str, order: list[str], out: str = "pos",
                    rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Positions by a text column.

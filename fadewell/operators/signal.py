@@ -53,17 +53,16 @@ def sum_over_rows(vectors: DataFrame, keys: list[str], outputs: list[str],
     def run(batches):
         for pdf in batches:
             for part, x in _matrices(pdf):
-                codes, names = pd.factorize(pd.MultiIndex.from_frame(part[keys]))
-                out = pd.DataFrame(list(names), columns=keys)
-                out["n_rows"] = np.bincount(codes, minlength=len(names))
-                sums: dict[str, np.ndarray] = {}
+                index = pd.MultiIndex.from_frame(part[keys])
                 for at in range(0, len(x), step):
+                    codes, names = pd.factorize(index[at:at + step])
+                    out = pd.DataFrame(list(names), columns=keys)
+                    out["n_rows"] = np.bincount(codes, minlength=len(names))
                     for name, rows in zip(outputs, kernel(x[at:at + step])):
-                        acc = sums.setdefault(name, np.zeros((len(names), rows.shape[1])))
-                        np.add.at(acc, codes[at:at + step], rows)
-                for name in outputs:
-                    out[name] = list(sums[name])
-                yield out
+                        acc = np.zeros((len(names), rows.shape[1]))
+                        np.add.at(acc, codes, rows)
+                        out[name] = list(acc)
+                    yield out
 
     partial = slim.mapInPandas(run, T.StructType(fields))
     cells = partial.select(*keys, "n_rows", F.posexplode(F.arrays_zip(*outputs)).alias("pos", "v"))

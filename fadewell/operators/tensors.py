@@ -63,9 +63,11 @@ def pack_folder(files: DataFrame, name: str, values: str, bandwidth_hz: float |
     if bandwidth_hz is None and step_s is None:
         raise ValueError("the tap delay needs a bandwidth or a step")
     step = step_s if step_s is not None else 1.0 / bandwidth_hz
-    keyed = files.withColumn("_key", natural_key(name))
+    # Only the names are sorted; the vectors join their position afterwards.
+    names = files.select(D, name, natural_key(name).alias("_key"))
+    ranks = text_positions(names, [D], "_key", [name], "sample").drop("_key")
     sizes = files.groupBy(D).agg(F.countDistinct(F.size(values)).alias("sizes"))
-    ranked = bounded_join(text_positions(keyed, [D], "_key", [name], "sample"), sizes, [D])
+    ranked = bounded_join(bounded_join(files, ranks, [D, name]), sizes, [D])
     cells = ranked.select(D, "sample", name, "sizes", F.posexplode(values).alias("tap", "value"))
     return cells.withColumn("delay_s", F.col("tap") * F.lit(step))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import r6
 from ..operators import sequences as seqs
-from ..operators.ordering import positions
+from ..operators.ordering import keyed_positions, positions
 from ..operators.sequences import D
 from . import views
 from .registry import query, s6
@@ -190,7 +190,7 @@ def halves(spark, sf):
     """Even snapshots as the real sequence, odd ones as the generated one."""
     rows = views.table(spark, sf, "embeddings").select(
         views.source_id("embeddings", "vec_id"), F.col("vec_id").alias("snapshot"), (F.col("vec_id") % 2).alias("side"), "embedding")
-    ranked = positions(rows, [D, "side"], ["snapshot"], "snapshot")
+    ranked = keyed_positions(rows, [D, "side"], "snapshot")
     flat = ranked.select(D, "side", "pos", F.posexplode("embedding").alias("bin", "e")).select(
         D, "side", "pos", "bin", (F.lit(-65.0) + 10.0 * F.col("e").cast("double")).alias("dbm"))
     return flat.filter("side = 0").drop("side"), flat.filter("side = 1").drop("side")

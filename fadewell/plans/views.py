@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.ordering import positions
+from ..operators.ordering import keyed_positions, positions
 
 AXIS = 32  # complex values per embedding
 
@@ -94,10 +94,10 @@ def dpsd(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dpsd_sequence(spark: SparkSession, sf: str) -> DataFrame:
-    """V4 with the dense 1-based snapshot position; ranked before the bins unfold."""
+    """V4 with the dense 1-based snapshot position; the bins unfold after the ranking."""
     rows = table(spark, sf, "embeddings").select(
         source_id("embeddings", "vec_id"), F.col("vec_id").alias("snapshot"), "embedding")
-    ranked = positions(rows, ["dataset_id"], ["snapshot"], "snapshot")
+    ranked = keyed_positions(rows, ["dataset_id"], "snapshot")
     return ranked.select("dataset_id", "snapshot", "pos", F.posexplode("embedding").alias("bin", "e")).select(
         "dataset_id", "snapshot", "pos", "bin", (F.lit(-65.0) + 10.0 * F.col("e").cast("double")).alias("dbm"))
 

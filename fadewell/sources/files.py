@@ -27,8 +27,9 @@ def profile_folder(spark: SparkSession, folder: str, values: str = "dbm") -> Dat
 def ordered_profiles(files: DataFrame, name: str, values: str) -> DataFrame:
     """Snapshot position by natural name and the number of different vector lengths."""
     sizes = files.groupBy(D).agg(F.countDistinct(F.size(values)).alias("lengths"))
-    ranked = text_positions(files.withColumn("_key", natural_key(name)), [D], "_key", [name], "snapshot")
-    return bounded_join(ranked.drop("_key"), sizes, [D])
+    names = files.select(D, name, natural_key(name).alias("_key"))
+    ranks = text_positions(names, [D], "_key", [name], "snapshot").drop("_key")
+    return bounded_join(bounded_join(files, ranks, [D, name]), sizes, [D])
 
 
 def inventory_counts(files: DataFrame) -> DataFrame:
