@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import os
+from collections import Counter
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -42,32 +43,48 @@ def sized_groups(df: DataFrame, keys: list[str], out: str = "n") -> tuple[DataFr
     return sizes, facts["rows"] or 0, facts["keys"]
 
 
+def _cut(df: DataFrame, key: str, edges: list[float], out: str) -> DataFrame:
+    splits = [-math.inf, *edges, math.inf]
+    cut = Bucketizer(splits=splits, inputCol="_key", outputCol=out, handleInvalid="keep")
+    keyed = df.withColumn("_key", F.col(key).cast("double"))
+    return cut.transform(keyed).drop("_key").withColumn(out, F.col(out).cast("int"))
+
+
 def with_bucket(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET,
-                total: int | None = None) -> tuple[DataFrame, int]:
-    """Add `_bucket`, a monotone function of a numeric order key; also its count."""
+                total: int | None = None, tie_key: str | None = None) -> tuple[DataFrame, int]:
+    """Add `_bucket`, a monotone function of the order keys; also its count.
+
+    The edges are quantiles of `key`. A value that takes several quantiles
+    gets a bucket of its own, which `tie_key`, the next numeric order column,
+    cuts further.
+    """
     total = df.count() if total is None else total
     buckets = min(MAX_BUCKETS, math.ceil(total / rows_per_bucket))
-    edges: list[float] = []
-    if buckets > 1:
-        probs = [i / buckets for i in range(1, buckets)]
-        edges = sorted(set(df.approxQuantile(key, probs, 0.25 / buckets)))
-    if not edges:
+    if buckets == 1 or total == 0:
         return df.withColumn("_bucket", F.lit(0)), 1
-    splits = [-math.inf, *edges, math.inf]
-    cut = Bucketizer(splits=splits, inputCol="_key", outputCol="_bucket", handleInvalid="keep")
-    keyed = df.withColumn("_key", F.col(key).cast("double"))
-    cut_rows = cut.transform(keyed).drop("_key")
-    return cut_rows.withColumn("_bucket", F.col("_bucket").cast("int")), len(edges) + 1
+    probs = [i / buckets for i in range(1, buckets)]
+    found = Counter(df.approxQuantile(key, probs, 0.25 / buckets))
+    heavy = sorted(v for v, times in found.items() if times > 1)
+    edges = sorted({*found, *(math.nextafter(v, math.inf) for v in heavy)})
+    out = _cut(df, key, edges, "_bucket")
+    if not heavy or tie_key is None:
+        return out, len(edges) + 1
+    tied = F.col(key).cast("double").isin(heavy)
+    inner = sorted(set(df.filter(tied).approxQuantile(tie_key, probs, 0.25 / buckets)))
+    split = _cut(out, tie_key, inner, "_tie").withColumn(
+        "_bucket", F.col("_bucket") * (len(inner) + 1) + F.when(tied, F.col("_tie")).otherwise(0))
+    return split.drop("_tie"), (len(edges) + 1) * (len(inner) + 1)
 
 
 def positions(df: DataFrame, group: list[str], order: list[str | Column], key: str,
-              out: str = "pos", rows_per_bucket: int = ROWS_PER_BUCKET, total: int | None = None) -> DataFrame:
-    """row_number() per group; `key` is the numeric leading order column.
+              out: str = "pos", rows_per_bucket: int = ROWS_PER_BUCKET, total: int | None = None,
+              tie_key: str | None = None) -> DataFrame:
+    """row_number() per group; `key` and `tie_key` are the numeric leading order columns.
 
     Rows are ranked inside (group, bucket) and shifted by the row count of the
     earlier buckets, which is a table of at most MAX_BUCKETS rows per group.
     """
-    df, buckets = with_bucket(df, key, rows_per_bucket, total)
+    df, buckets = with_bucket(df, key, rows_per_bucket, total, tie_key)
     if buckets == 1:
         whole = Window.partitionBy(*group).orderBy(*order)
         return df.withColumn(out, F.row_number().over(whole).cast("long")).drop("_bucket")

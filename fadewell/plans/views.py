@@ -73,7 +73,8 @@ def pseq(spark: SparkSession, sf: str) -> DataFrame:
         F.col("user_id").alias("group_id"), "ts", "event_id", "event_type", "value",
         F.get_json_object("props", "$.k").cast("int").alias("k"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
-    ranked = positions(events, ["dataset_id", "group_id"], ["ts", "event_id"], "ts_us", "idx")
+    ranked = positions(events, ["dataset_id", "group_id"], ["ts", "event_id"], "ts_us", "idx",
+                       tie_key="event_id")
     return ranked.select(
         "dataset_id", "group_id", "idx", F.col("idx").alias("pos"), "ts_us", "event_id", "event_type",
         (F.lit(-9.0) + F.col("value") / 125).alias("DS_mu"),

@@ -27,6 +27,16 @@ def test_positions_equal_row_number(rows, group):
     assert as_set(cut.select("g", "x", "id", "pos")) == as_set(plain)
 
 
+def test_heavy_tie_is_split_by_the_next_column(spark):
+    data = [("g", 5.0 if i % 3 else float(i % 11), i) for i in range(600)]
+    df = spark.createDataFrame(data, "g string, x double, id long")
+    plain = df.withColumn("pos", F.row_number().over(Window.partitionBy("g").orderBy("x", "id")).cast("long"))
+    cut = o.positions(df, ["g"], ["x", "id"], "x", rows_per_bucket=50, tie_key="id")
+    assert as_set(cut.select("g", "x", "id", "pos")) == as_set(plain)
+    bucketed, _ = o.with_bucket(df, "x", 50, tie_key="id")
+    assert max(r["count"] for r in bucketed.groupBy("_bucket").count().collect()) < 150
+
+
 def test_text_positions_equal_row_number(spark):
     names = spark.createDataFrame([(f"snap{i % 97:06d}-{i}", i) for i in range(400)], "name string, id long")
     plain = names.withColumn("pos", F.row_number().over(Window.orderBy("name", "id")).cast("long"))
