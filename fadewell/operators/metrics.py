@@ -16,7 +16,7 @@ from ..functions.scalars import (
 )
 from . import signal
 from .blocks import weighted_histogram
-from .ordering import bounded_join, lagged, positions, running
+from .ordering import bounded_join, lagged, running
 
 D = "dataset_id"
 

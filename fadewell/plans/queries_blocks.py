@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import power, r6, watts_to_dbm, dbm_to_watts
+from ..functions.scalars import power, r6, watts_to_dbm
 from ..operators import blocks, metrics, signal
 from ..operators.metrics import D
 from . import views

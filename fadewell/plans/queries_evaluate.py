@@ -9,7 +9,6 @@ from ..operators import evaluate as ev
 from ..operators import forecast as fcst
 from ..operators import metrics, rules
 from ..operators import sequences as seqs
-from ..operators.ordering import bounded_join
 from ..operators.sequences import D
 from . import views
 from .queries_metrics import BANDWIDTH_HZ

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import SPEED_OF_LIGHT, db, db_eps, peak_db, power, r6
+from ..functions.scalars import SPEED_OF_LIGHT, db, peak_db, power, r6
 from ..operators import blocks, metrics, signal
 from ..operators.metrics import D
 from . import views

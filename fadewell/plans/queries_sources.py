@@ -10,9 +10,9 @@ from ..operators import rules, sequences as seqs, tensors
 from ..operators.sequences import D
 from ..sources import bundles, files
 from . import views
-from .queries_evaluate import FC_SQL, Z_SQL, pseq_forecast
+from .queries_evaluate import FC_SQL, pseq_forecast
 from .queries_metrics import BANDWIDTH_HZ, SNAPSHOT_S
-from .queries_rules import DIMS_SQL, PRESET_SQL, candidate_datasets, preset_tasks
+from .queries_rules import DIMS_SQL, candidate_datasets
 from .queries_sequences import NORM_SQL, SPAN_SQL, SPLIT_SQL, example_split, fitted_norm, pseq_examples
 from .registry import query, s6
 from .views import PARAMS

@@ -1,7 +1,6 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from fadewell.operators import evaluate as ev
 from fadewell.operators import fitting as fit
