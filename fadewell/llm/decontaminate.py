@@ -2,8 +2,8 @@
 
 Items are classed by their length in words. For each class a window of that length slides over every
 document; its SimHash over 5-word shingles comes from running sums of the shingles' bits. Multi-index
-tables over four 16-bit blocks hold every block value within radius // 4 flips of an item's, so a window
-whose fingerprint lies within `radius` of an item's is always found. Candidates are then compared exactly:
+tables over four 16-bit blocks hold for every block value its flips to the nearest item's block; the sum over
+the blocks is never more than the distance to an item, so a window within `radius` of one is always found. Candidates are then compared exactly:
 weighted Jaccard similarity of the shingle multisets at the best place near the window.
 """
 
@@ -12,25 +12,24 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass, field
-from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, gram_hashes, words_of
+from .shared import WordHashes, gram_hashes, lower_words_of
 from .simhash import majority
 
 SHINGLE = 5
 RADIUS = 15
 SIMILARITY = 0.8
 ITEMS_PER_SHARD = 20_000  # items a task holds at once; more are searched shard after shard
-_STREAM = 65_536  # words handled at once
+_STREAM = 32_768  # words handled at once
 _WORDS: dict[int, WordHashes] = {}
 
 
 def _hashes(text: str | None) -> np.ndarray:
-    return _WORDS.setdefault(11, WordHashes(11)).of([w.lower() for w in words_of(text)])
+    return _WORDS.setdefault(11, WordHashes(11)).of(lower_words_of(text))
 
 
 @dataclass
@@ -38,11 +37,17 @@ class _Class:
     words: int
     items: list[int]
     prints: np.ndarray
-    blocks: list[np.ndarray] = field(default_factory=list)  # bit i of entry v: not needed; 1 if v is near
+    blocks: list[np.ndarray] = field(default_factory=list)  # for each block, the flips from each value to an item's
 
 
-def _flips(width: int, most: int) -> np.ndarray:
-    return np.array([sum(1 << i for i in c) for k in range(most + 1) for c in combinations(range(width), k)], np.uint32)
+def _distances(values: np.ndarray) -> np.ndarray:
+    """For each 16-bit value the least number of flips to one of `values`."""
+    every = np.arange(65_536)
+    least = np.full(65_536, 17, np.uint8)
+    least[values.astype(np.int64)] = 0
+    for bit in range(16):
+        least = np.minimum(least, least[every ^ (1 << bit)] + 1).astype(np.uint8)
+    return least
 
 
 class Index:
@@ -65,14 +70,10 @@ class Index:
         by_length: dict[int, list[int]] = {}
         for i, w in enumerate(self.n_words):
             by_length.setdefault(_class_of(w), []).append(i)
-        masks = _flips(16, radius // 4)
         for words, members in sorted(by_length.items()):
             prints = np.array([majority(self.grams[i]) for i in members], np.uint64)
             c = _Class(words, members, prints)
-            for b in range(4):
-                near = np.zeros(65_536, bool)
-                near[(((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.uint32)[:, None] ^ masks[None, :]).ravel()] = True
-                c.blocks.append(near)
+            c.blocks = [_distances(block) for block in prints.view("<u2").reshape(-1, 4).T]
             self.classes.append(c)
         self.longest = max(self.n_words, default=0)
 
@@ -81,7 +82,8 @@ class Index:
         n = len(self.grams[item])
         low, high = max(0, at - slack), min(len(grams), at + slack + n)
         part = grams[low:high]
-        if not np.isin(part, self.sets[item]).any():
+        known = self.sets[item]
+        if not (known[np.minimum(np.searchsorted(known, part), len(known) - 1)] == part).any():
             return 0.0, at
         best = (0.0, at)
         for s in range(low, max(low, min(at + slack, len(grams) - n)) + 1):
@@ -117,40 +119,36 @@ class Index:
         firsts = np.cumsum(sizes) - sizes
         stream = np.concatenate([g for _, g in held])
         for low in range(0, len(stream), _STREAM):
-            part = stream[low : low + _STREAM + self.longest]
-            sums = np.zeros((len(part) + 1, 64), np.uint16)  # differences stay right when sums wrap
-            np.cumsum(np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.uint16, out=sums[1:])
+            part = stream[low : low + _STREAM + min(self.longest, _STREAM - 2)]
+            # four 16-bit counters are added as one number; a part is short enough that none overflows
+            bits = np.zeros((len(part) + 1, 64), np.uint16)
+            bits[1:] = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            sums = np.cumsum(bits.view(np.uint64), axis=0).view(np.uint16)
             self._windows(held, found, sums, firsts, sizes, low)
 
     def _windows(self, held, found, sums, firsts, sizes, low) -> None:
         n = len(sums) - 1
+        owner = np.repeat(np.arange(len(sizes)), sizes)[low : low + n]
         for c in self.classes:
             m = max(1, c.words - SHINGLE + 1)
             step = max(1, c.words // 16)
-            starts = np.arange(0, min(n, _STREAM), step)
-            doc = np.searchsorted(firsts, starts + low, "right") - 1
-            # a document shorter than the window is a window itself, seen from its first shingle
-            ends = np.minimum(starts + m, firsts[doc] + sizes[doc] - low)
-            short = ends - starts < m
-            if short.any():
-                # windows at a document's end begin m shingles before it
-                moved = np.maximum(ends - m, firsts[doc] - low)
-                starts = np.where(short, np.maximum(moved, 0), starts)
-                keep = np.ones(len(starts), bool)
-                keep[1:] = (starts[1:] != starts[:-1]) | (ends[1:] != ends[:-1])
-                starts, ends, doc = starts[keep], ends[keep], doc[keep]
-            ends = np.minimum(ends, n)
-            count = (sums[ends] - sums[starts]).astype(np.uint16)
-            prints = np.packbits(count * np.uint16(2) > (ends - starts).astype(np.uint16)[:, None], axis=1, bitorder="little").view("<u8").ravel()
-            near = np.zeros(len(prints), bool)
-            for b, known in enumerate(c.blocks):
-                near |= known[((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)]
-            near = np.flatnonzero(near)
-            for at in range(0, len(near), 8192):
-                some = near[at : at + 8192]
-                w, k = np.nonzero(np.bitwise_count(prints[some][:, None] ^ c.prints[None, :]) <= self.radius)
-                for w, k in zip(some[w].tolist(), k.tolist()):
-                    d, item = int(doc[w]), c.items[k]
+            starts = np.arange(0, min(n - m + 1, _STREAM), step)
+            whole = owner[starts] == owner[starts + m - 1]
+            # and one window at each document's end; a shorter document is a window itself
+            ends = firsts + sizes - low
+            ends = ends[(ends > 0) & (ends <= n)]
+            tails = np.maximum(ends - m, np.maximum(firsts - low, 0)[owner[ends - 1]])
+            prints = np.concatenate([_regular_prints(sums, m, step, len(starts))[whole], _prints(sums[ends] - sums[tails], ends - tails)])
+            starts = np.concatenate([starts[whole], tails])
+            flips = np.zeros(len(prints), np.uint8)
+            for least, block in zip(c.blocks, prints.view("<u2").reshape(-1, 4).T):
+                flips += least[block]
+            near = flips <= self.radius
+            prints, starts = prints[near], starts[near]
+            for at in range(0, len(prints), 1024):
+                w, k = np.nonzero(np.bitwise_count(prints[at : at + 1024, None] ^ c.prints[None, :]) <= self.radius)
+                for w, k in zip((w + at).tolist(), k.tolist()):
+                    d, item = int(owner[starts[w]]), c.items[k]
                     t, grams = held[d]
                     old = found[t].get(item, (0.0, 0))
                     if old[0] < 1:
@@ -159,6 +157,24 @@ class Index:
                             found[t][item] = value
 
 
+def _prints(counts: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Fingerprints from the counts of set bits among `of` shingles each."""
+    return np.packbits(counts > (of // 2)[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
+def _regular_prints(sums: np.ndarray, m: int, step: int, windows: int, at_once: int = 2048) -> np.ndarray:
+    """Fingerprints of windows of m shingles that begin every `step`, a part that fits a cache at a time."""
+    out = np.empty(windows, np.uint64)
+    counts, over = np.empty((at_once, 64), np.uint16), np.empty((at_once, 64), bool)
+    for at in range(0, windows, at_once):
+        k = min(at_once, windows - at)
+        first, last = at * step, (at + k - 1) * step + 1
+        np.subtract(sums[first + m : last + m : step], sums[first:last:step], out=counts[:k])
+        np.greater(counts[:k], np.uint16(m // 2), out=over[:k])
+        out[at : at + k] = np.packbits(over[:k], axis=1, bitorder="little").view("<u8").ravel()
+    return out
+
+
 def _class_of(words: int) -> int:
     """Lengths on a grid whose steps are about a tenth."""
     return words if words < 12 else round(12 * 1.1 ** round(math.log(words / 12) / math.log(1.1)))

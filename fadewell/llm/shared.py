@@ -29,6 +29,11 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def lower_words_of(text: str | None) -> list[bytes]:
+    """The same with A-Z in lower case."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
 class WordHashes(dict):
     """XXH64 of words, each computed once per worker."""
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hamming import fingerprint_links
-from .shared import WordHashes, gram_hashes, mixed, scratch, words_of
+from .shared import WordHashes, gram_hashes, lower_words_of, mixed, scratch
 
 _AT_ONCE = 65_536  # hashes whose bits are counted at a time
 SKETCH = 64
@@ -28,7 +28,7 @@ def majority(hashes: np.ndarray) -> int:
 
 def shingle_fingerprint(text: str | None, k: int = 4, seed: int = 42) -> int:
     """SimHash of the XXH64 of all k-word shingles of the lower-cased text, repeats included."""
-    words = [w.lower() for w in words_of(text)] if text and not text.isascii() else words_of(text.lower() if text else text)
+    words = lower_words_of(text)
     if not words:
         return 0
     joined = b" ".join(words)
@@ -76,7 +76,7 @@ _HASHES: dict[int, WordHashes] = {}
 
 
 def _word_hashes(text: str | None, seed: int = 7) -> np.ndarray:
-    return _HASHES.setdefault(seed, WordHashes(seed)).of([w.lower() for w in words_of(text)])
+    return _HASHES.setdefault(seed, WordHashes(seed)).of(lower_words_of(text))
 
 
 def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
@@ -108,7 +108,7 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFram
             out = {n: [] for n in schema.names}
             out["doc_id"] = batch.column(0)
             for text in batch.column(1).to_pylist():
-                words = [w.lower() for w in words_of(text)]
+                words = lower_words_of(text)
                 hashes = _HASHES.setdefault(7, WordHashes(7)).of(words)
                 out["content"].append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
                 fp = majority(np.unique(hashes))
