@@ -9,15 +9,15 @@ from ..functions.scalars import bin_index, col, dbm_to_watts, is_finite
 from .ordering import bounded_join, positions, running, sized_groups
 
 
-def empirical_cdf(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """Sorted finite values with y = i/n; ties are kept. Adds i and n.
+def empirical_cdf(df: DataFrame, value: str, keys: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """Sorted finite values with y = i/n; ties are kept, in the order of `carry`, columns that stay. Adds i and n.
 
     The values are usually derived (one per sample) and are read for the size,
     the bucket edges and the ranks, so they are kept.
     """
-    finite = df.filter(is_finite(value)).select(*keys, F.col(value).alias("x")).persist()
+    finite = df.filter(is_finite(value)).select(*keys, *carry, F.col(value).alias("x")).persist()
     sizes, total, groups = sized_groups(finite, keys)
-    ranked = positions(finite, keys, ["x"], "x", "i", total=total)
+    ranked = positions(finite, keys, ["x", *carry], "x", "i", total=total, tie_key=carry[0] if carry else None)
     return bounded_join(ranked, sizes, keys, counted=groups).withColumn("y", F.col("i") / F.col("n"))
 
 

@@ -219,7 +219,7 @@ def pair_table(truth: DataFrame, predicted: DataFrame, params: list[str], intege
 
 def misaligned(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     """Keys that only one side has; empty when the sides align."""
-    keys = ["group_id", "start_idx", "step", "idx"]
+    keys = [D, "group_id", "start_idx", "step", "idx"]
     a, b = truth.select(*keys).distinct(), predicted.select(*keys).distinct()
     return a.exceptAll(b).withColumn("side", F.lit("truth")).unionByName(
         b.exceptAll(a).withColumn("side", F.lit("predicted")))

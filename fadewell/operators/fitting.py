@@ -149,7 +149,9 @@ def rank_candidates(evaluated: DataFrame, keys: list[str] | None = None) -> Data
 
 
 def top_k(evaluated: DataFrame, k: int = TOP_K) -> DataFrame:
-    return evaluated.filter("success").orderBy("total_score", "candidate_id").limit(k)
+    """The k best of each dataset; the rank limit is applied before the shuffle."""
+    w = Window.partitionBy(D).orderBy("total_score", "candidate_id")
+    return evaluated.filter("success").withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= k).drop("_rank")
 
 
 def best_candidate(evaluated: DataFrame, keys: list[str]) -> DataFrame:

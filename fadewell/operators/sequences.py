@@ -190,9 +190,9 @@ def leaked_groups(split: DataFrame) -> DataFrame:
 
 
 def leaked_targets(ex: DataFrame, forbidden: DataFrame) -> DataFrame:
-    """Adaptation targets inside the forbidden (group, idx) region."""
-    keys = ex.select("group_id", F.explode("targets.idx").alias("idx"))
-    return keys.join(forbidden.select("group_id", "idx"), ["group_id", "idx"], "left_semi").distinct()
+    """Adaptation targets inside the forbidden (dataset, group, idx) region."""
+    keys = ex.select(D, "group_id", F.explode("targets.idx").alias("idx"))
+    return keys.join(forbidden.select(D, "group_id", "idx"), [D, "group_id", "idx"], "left_semi").distinct()
 
 
 # ---- normalization ---------------------------------------------------------
@@ -279,13 +279,26 @@ def scaled_windows(windows: DataFrame, stats: DataFrame, feature: str) -> DataFr
 
 def temporal_experiment(rows: DataFrame, feature: str, pos: str, value: str, length: int = 10,
                         horizon: int = 1) -> tuple[DataFrame, DataFrame, int]:
-    """Chronological windows scaled by the real training rows; also the stats and window length."""
-    n = rows.agg(F.max(pos)).first()[0]
-    effective = safe_window(n, length, horizon)
+    """Chronological windows scaled by the real training rows; also the stats and the longest window.
+
+    Each dataset has the window length that its own rows allow. Lengths are at most `length`, so datasets
+    of one length are windowed together and no loop runs over datasets.
+    """
+    sizes = rows.groupBy(D).agg(F.max(pos).alias("n"))
+    t, v = F.floor(F.col("n") * 0.70), F.floor(F.col("n") * 0.15)
+    sized = sizes.select(D, F.least(F.lit(length), F.least(t, v, F.col("n") - t - v) - horizon).cast("int").alias("_length"))
+    lengths = sorted(r["_length"] for r in sized.select("_length").distinct().collect())
+    if not lengths or lengths[0] < 1:
+        raise ValueError(f"at least {3 * (horizon + 1)} snapshots are needed")
     split = chronological_blocks(rows, [D], pos)
     stats = feature_stats(split.filter("partition = 'train'"), feature, value)
-    w = chronological_windows(rows, [D], [D, feature], pos, value, effective, horizon)
-    return scaled_windows(w, stats, feature), stats, effective
+    placed = bounded_join(rows, sized, [D])
+    w = None
+    for size in lengths:
+        part = placed.filter(F.col("_length") == size).drop("_length")
+        one = chronological_windows(part, [D], [D, feature], pos, value, size, horizon)
+        w = one if w is None else w.unionByName(one)
+    return scaled_windows(w, stats, feature), stats, lengths[-1]
 
 
 def merge_training(real: DataFrame, generated: DataFrame, generated_type: str = "synthetic_generated",

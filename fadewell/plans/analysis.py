@@ -19,11 +19,16 @@ def describe(cir: DataFrame, metadata: DataFrame) -> DataFrame:
 
 
 def complete_vectors(channel: DataFrame, axis: str) -> DataFrame:
-    """Vectors along one axis of the channel; only complete ones take part."""
+    """Vectors along one axis of the channel over all its places in the dataset; missing cells are zero.
+
+    The places are those of one instrument axis, so their list is as small as one vector.
+    """
     keys = [D, *[k for k in ("sample", "tx", "rx", "f", "t") if k != axis]]
-    v = signal.pack_axis(channel, keys, axis)
-    size = v.groupBy(D).agg(F.max(F.size("re")).alias("_n"))
-    return metrics.bounded_join(v, size, [D]).filter(F.size("re") == F.col("_n")).drop("_n")
+    places = channel.groupBy(D).agg(F.array_sort(F.collect_set(axis)).alias("_places"))
+    cells = channel.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(axis, F.struct("re", "im").alias("c")))).alias("_cells"))
+    part = lambda name: F.transform("_places", lambda at: F.coalesce(
+        F.try_element_at("_cells", at)[name].cast("double"), F.lit(0.0))).alias(name)
+    return metrics.bounded_join(cells, places, [D]).select(*keys, part("re"), part("im"))
 
 
 def points(metric: str, df: DataFrame, x, y, series="") -> DataFrame:

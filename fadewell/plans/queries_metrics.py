@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import SPEED_OF_LIGHT, db, peak_db, power, r6
+from ..operators.ordering import positions
 from ..operators import blocks, metrics, signal
 from ..operators.metrics import D
 from . import views
@@ -74,12 +75,10 @@ def _(spark, sf):
 
 
 @query("c06_delay_spread_cdf", "cir", f"""WITH {DELAY_SPREAD_SQL}
-SELECT sample, {s6('s*1e9', 'spread_ns')}, {s6('rank() OVER (ORDER BY s)/CAST(count(*) OVER () AS DOUBLE)', 'cdf')} FROM ds""")
+SELECT sample, {s6('s*1e9', 'spread_ns')}, {s6('row_number() OVER (ORDER BY s, sample)/CAST(count(*) OVER () AS DOUBLE)', 'cdf')} FROM ds""")
 def _(spark, sf):
     spreads = metrics.delay_spread(views.cir(spark, sf)).withColumn("ns", F.col("spread_s") * 1e9)
-    cdf = blocks.empirical_cdf(spreads, "ns", [D]).select(D, "x", "y")
-    return spreads.join(cdf, (spreads[D] == cdf[D]) & (spreads.ns == cdf.x)).select(
-        "sample", r6("ns", "spread_ns"), r6("y", "cdf"))
+    return blocks.empirical_cdf(spreads, "ns", [D], ("sample",)).select("sample", r6("x", "spread_ns"), r6("y", "cdf"))
 
 
 @query("c07_frequency_autocorrelation", "ctf", f"""WITH p AS ({ACF_SQL})
@@ -315,18 +314,16 @@ def _(spark, sf):
     return s.select("snapshot", r6(F.col("spread_s") * 1e9, "spread_ns"))
 
 
-@query("c30_series_spectrum", "dpsd", f"""WITH s AS (SELECT snapshot AS k, dbm - avg(dbm) OVER () AS x FROM dpsd WHERE bin=32),
+@query("c30_series_spectrum", "dpsd", f"""WITH s AS (SELECT row_number() OVER (ORDER BY snapshot)-1 AS k, dbm - avg(dbm) OVER () AS x FROM dpsd WHERE bin=32),
 n AS (SELECT CAST(pow(2, ceil(log2(count(*)))) AS BIGINT) AS n FROM s),
-y AS (SELECT q, sum(x*cos(2*pi()*((q*k)%n)/n)) AS yr, sum(x*sin(2*pi()*((q*k)%n)/n)) AS yi, any_value(n) AS n FROM s, n, range(8192) r(q) WHERE q<n GROUP BY 1),
+y AS (SELECT q, sum(x*cos(2*pi()*((q*k)%n)/n)) AS yr, sum(x*sin(2*pi()*((q*k)%n)/n)) AS yi, any_value(n) AS n FROM s, (SELECT n, unnest(range(n)) AS q FROM n) GROUP BY 1),
 p AS (SELECT (q+n//2)%n AS q, n, yr*yr+yi*yi AS p FROM y)
-SELECT q, {s6('-1+2*q/CAST(n-1 AS DOUBLE)','x')}, {s6('10*log10(p/max(p) OVER ()+1e-20)','spectrum_db')} FROM p WHERE q>0 AND q<>n//2""")
-def _(spark, sf):
-    d = views.dpsd(spark, sf).filter(F.col("bin") == 32).select(F.col("snapshot").alias("k"), F.col("dbm").alias("x"))
-    n = d.count()
-    s = metrics.series_spectrum(d, n)
-    # Bins that hold rounding noise only (the removed mean) do not compare in dB.
-    return s.filter((F.col("q") > 0) & (F.col("q") != signal.next_pow2(n) // 2)).select(
-        "q", r6("x", "x"), r6("spectrum_db", "spectrum_db"))
+SELECT q, {s6('-1+2*q/CAST(n-1 AS DOUBLE)','x')}, {s6('10*log10(p/max(p) OVER ()+1e-20)','spectrum_db')} FROM p""")
+def _(spark, sf):
+    d = views.dpsd(spark, sf).filter(F.col("bin") == 32)
+    ranked = positions(d, [D], ["snapshot"], "snapshot", "i").select((F.col("i") - 1).alias("k"), F.col("dbm").alias("x"))
+    s = metrics.series_spectrum(ranked, ranked.count())
+    return s.select("q", r6("x", "x"), r6("spectrum_db", "spectrum_db"))
 
 
 ANT_SQL = """ant AS (SELECT obs, k//4 AS f, CAST((q+64)%128 AS INTEGER) AS q, sum(re*cos(2*pi()*q*(k%4)/128)+im*sin(2*pi()*q*(k%4)/128)) AS yr,

@@ -172,7 +172,7 @@ def _(spark, sf):
     ex = pseq_examples(spark, sf)
     coded = ex.join(example_split(spark, sf, ex), [D, "group_id"])
     train, test = coded.filter("partition_code = 1"), coded.filter("partition_code = 3")
-    held_out = test.select("group_id", F.explode("targets.idx").alias("idx"))
+    held_out = test.select(D, "group_id", F.explode("targets.idx").alias("idx"))
     tail = views.pseq(spark, sf).filter("idx >= 40")
     count = lambda region, bad: seqs.leaked_targets(train, bad).agg(F.count(F.lit(1)).alias("overlap")).select(
         F.lit(region).alias("region"), "overlap")

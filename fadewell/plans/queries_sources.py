@@ -178,11 +178,13 @@ def _(spark, sf):
     return files.inventory_samples(archive_files(spark, sf)).select("archive", "file_id", "path")
 
 
-@query("a15_file_manifest", "files", """WITH e AS (SELECT path, min(size_bytes) AS size_bytes, sha256(path) AS h FROM files GROUP BY path)
-SELECT count(*) AS file_count, CAST(sum(size_bytes) AS BIGINT) AS total_bytes, sha256(string_agg(h||'  '||size_bytes||'  '||path, chr(10) ORDER BY path)) AS aggregate_sha256 FROM e""")
+@query("a15_file_manifest", "files", """WITH e AS (SELECT path, min(size_bytes) AS size_bytes, sha256(path) AS h FROM files GROUP BY path),
+r AS (SELECT *, (row_number() OVER (ORDER BY path)-1)//64 AS block FROM e),
+b AS (SELECT block, count(*) AS c, sum(size_bytes) AS s, sha256(string_agg(h||'  '||size_bytes||'  '||path, chr(10) ORDER BY path)) AS d FROM r GROUP BY 1)
+SELECT CAST(sum(c) AS BIGINT) AS file_count, CAST(sum(s) AS BIGINT) AS total_bytes, sha256(string_agg(d, chr(10) ORDER BY block)) AS aggregate_sha256 FROM b""")
 def _(spark, sf):
     e = views.files(spark, sf).groupBy("path").agg(F.min("size_bytes").alias("size_bytes"), F.sha2(F.col("path"), 256).alias("sha256"))
-    return files.manifest_digest(e.select("*", views.source_id("pages", "path"))).select("file_count", "total_bytes", "aggregate_sha256")
+    return files.manifest_digest(e.select("*", views.source_id("pages", "path")), files_per_digest=64).select("file_count", "total_bytes", "aggregate_sha256")
 
 
 @query("a16_analysis_export", "cand", f"""WITH {DIMS_SQL}, p AS (SELECT candidate_id, count(DISTINCT path) AS n FROM cand GROUP BY 1)

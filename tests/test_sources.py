@@ -38,7 +38,8 @@ def test_manifest_of_real_files(spark, tmp_path):
     m = files.manifest_digest(rows.withColumn(D, F.lit("d"))).first()
     lines = [f"{hashlib.sha256(k.encode() * 3).hexdigest()}  3  {k}.bin" for k in ("a", "b")]
     assert (m["file_count"], m["total_bytes"]) == (2, 6)
-    assert m["aggregate_sha256"] == hashlib.sha256("\n".join(lines).encode()).hexdigest()
+    whole = hashlib.sha256("\n".join(lines).encode()).hexdigest()
+    assert m["aggregate_sha256"] == hashlib.sha256(whole.encode()).hexdigest()
     two = files.manifest_digest(rows.withColumn(D, F.lit("d")), files_per_digest=1).first()
     parts = "\n".join(hashlib.sha256(x.encode()).hexdigest() for x in lines)
     assert two["aggregate_sha256"] == hashlib.sha256(parts.encode()).hexdigest()
