@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, gram_hashes, lower_words_of
+from .shared import WORD_HASHES, bounded_batches, gram_hashes, lower_words_of
 from .simhash import majority
 
 SHINGLE = 5
@@ -25,11 +25,10 @@ RADIUS = 15
 SIMILARITY = 0.8
 ITEMS_PER_SHARD = 20_000  # items a task holds at once; more are searched shard after shard
 _STREAM = 32_768  # words handled at once
-_WORDS: dict[int, WordHashes] = {}
 
 
 def _hashes(text: str | None) -> np.ndarray:
-    return _WORDS.setdefault(11, WordHashes(11)).of(lower_words_of(text))
+    return WORD_HASHES.of(lower_words_of(text))
 
 
 @dataclass
@@ -223,6 +222,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """Rows of docs, with all their columns, in which no benchmark item is found."""
+    bounded_batches(docs.sparkSession)
     for items in item_shards(benchmark):
         docs = docs.where(F.size(found_in(items, F.col(text_col), **options)) == 0)
     return docs

@@ -25,7 +25,7 @@ from .shared import scratch
 
 CHUNK = 2048
 SHARD_ROWS = 256  # expected rows of a shard above which finer tables are taken
-PAIRS_AT_ONCE = 1_000_000
+PAIRS_AT_ONCE = 200_000
 
 
 def bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
+
 DIMENSIONS = 4096
 PER_LANGUAGE = 1000  # about as many training texts of each language are taken at most
 CENTROIDS = 4
@@ -90,6 +92,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     slack: a text is rejected below (1 - slack) times the lowest training cosine of its centroid's nearest
     99 %, so clean texts stay.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and id is not null")
     if held_out is not None:
         rows = rows.where(~held_out)

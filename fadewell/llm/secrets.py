@@ -18,6 +18,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -333,6 +335,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base_sha256 digests the base spans, spans lists all as kind:start:end. Null or empty text: no spans, the
     digest of the empty string. Rows stand alone, so ties, repeated rows and other columns do not matter.
     """
+    bounded_batches(docs.sparkSession)
     rules = BASE_RULES + more
 
     @F.pandas_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

@@ -10,17 +10,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fadewell.session import ensure_checkpoint_dir
 
-MAX_WORDS_KEPT = 400_000  # word hashes a Python worker keeps; beyond it the table starts anew
+MAX_WORDS_KEPT = 150_000  # word hashes a Python worker keeps; beyond it the table starts anew
+
+
+BATCH_ROWS = "1000"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Long texts: Arrow batches of 1,000 rows bound a worker's memory, unless the session sets its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
 
 
 def scratch(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
+    bounded_batches(spark)
     path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -37,12 +49,8 @@ def lower_words_of(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """XXH64 of words, each computed once per worker."""
 
-    def __init__(self, seed: int):
-        super().__init__()
-        self.seed = seed
-
     def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word, self.seed)
+        value = self[word] = xxhash.xxh64_intdigest(word, 7)
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
@@ -51,6 +59,10 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: One table per worker process for all operators, so its memory is held once.
+WORD_HASHES = WordHashes()
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A 64-bit finisher: every input bit reaches every output bit."""
     h = h ^ (h >> np.uint64(30))

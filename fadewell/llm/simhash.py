@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hamming import fingerprint_links
-from .shared import WordHashes, gram_hashes, lower_words_of, mixed, scratch
+from .shared import WORD_HASHES, gram_hashes, lower_words_of, mixed, scratch
 
 _AT_ONCE = 65_536  # hashes whose bits are counted at a time
 SKETCH = 64
@@ -72,16 +72,9 @@ def fingerprint_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
 
 # --- near duplicates by word shingles -------------------------------------------------------------------
 
-_HASHES: dict[int, WordHashes] = {}
-
-
-def _word_hashes(text: str | None, seed: int = 7) -> np.ndarray:
-    return _HASHES.setdefault(seed, WordHashes(seed)).of(lower_words_of(text))
-
-
 def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
     """Distinct hashes of the k-word shingles of the lower-cased text, sorted."""
-    return np.unique(gram_hashes(_word_hashes(text), k))
+    return np.unique(gram_hashes(WORD_HASHES.of(lower_words_of(text)), k))
 
 
 def sketch(grams: np.ndarray) -> bytes:
@@ -109,7 +102,7 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFram
             out["doc_id"] = batch.column(0)
             for text in batch.column(1).to_pylist():
                 words = lower_words_of(text)
-                hashes = _HASHES.setdefault(7, WordHashes(7)).of(words)
+                hashes = WORD_HASHES.of(words)
                 out["content"].append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
                 fp = majority(np.unique(hashes))
                 out["fp"].append(fp - (1 << 64) if fp >> 63 else fp)

@@ -16,16 +16,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, mixed, scratch, words_of
+from .shared import WORD_HASHES, mixed, scratch, words_of
 
 WINDOW = 50
 ANCHOR = 16
-_WORDS: dict[int, WordHashes] = {}
 _ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    return _WORDS.setdefault(13, WordHashes(13)).of(words)
+    return WORD_HASHES.of(words)
 
 
 def run_hashes(h: np.ndarray, k: int, odd: int = _ODD[0]) -> np.ndarray:
@@ -115,11 +114,12 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     # copies of a smaller document repeat it as a whole and need no search
     owners = digest.join(least, "content").where("doc_id = least")
     anchors = owners.select("doc_id", F.explode(F.arrays_zip("hash", "at")).alias("a")).select("doc_id", "a.hash", "a.at")
-    shared = anchors.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("hash")
+    # written apart, both sides of the joins are plain shuffles, whose hot keys adaptive execution splits
+    shared = scratch(spark, anchors.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("hash"), "shared")
     seeds = anchors.join(shared, "hash").groupBy("doc_id").agg(F.collect_set("at").alias("seeds"))
     seeded = scratch(spark, source.where("text is not null").join(seeds, "doc_id"), "seeded")
     runs = scratch(spark, _extend(seeded.select("doc_id", "text", "seeds"), window, anchor), "runs")
-    first = runs.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h1", "h2", "low")
+    first = scratch(spark, runs.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h1", "h2", "low"), "first")
     covered = runs.join(first, ["h1", "h2"]).where("doc_id > low").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
     schema = pa.schema([("doc_id", pa.int64()), ("content", pa.string()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.string())])
 

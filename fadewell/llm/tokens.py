@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-PIECES_KEPT = 600_000  # encoded pieces a worker keeps, about 130 MB; beyond it the table starts anew
+PIECES_KEPT = 500_000  # encoded pieces a worker keeps, about 110 MB; beyond it the table starts anew
 _PIECES = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 _OTHER_SPACE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SPACES = frozenset("\t\n\v\f\r ")
