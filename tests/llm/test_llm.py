@@ -244,7 +244,9 @@ def test_style_tree_removes_what_every_page_repeats(spark):
     rng = random.Random(6)
     page = lambda i: f"<body><div class='x1'>Welcome to our site</div><div class='x2'><p>{words(rng, 30)}</p><p>{words(rng, 20)}</p></div><div class='x3'>All rights</div></body>"
     pages = spark.createDataFrame([(i, "https://u:p@host.example:80/1", page(i)) for i in range(40)] + [(99, "https://other.example/", "<div class='x1'>Welcome to our site</div>")], "page_id long, url string, html string")
-    for r in html.extract(spark, pages).collect():
+    rows = html.extract(spark, pages).collect()
+    assert sorted(rows) == sorted(html.extract(spark, pages, broadcast_nodes=0).collect())
+    for r in rows:
         assert ("Welcome" in r["text"]) == (r["page_id"] == 99) and "rights" not in r["text"]
         assert r["page_id"] == 99 or r["text"].count("\n\n") == 1
 
