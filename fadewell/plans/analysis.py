@@ -37,24 +37,57 @@ def points(metric: str, df: DataFrame, x, y, series="") -> DataFrame:
                      x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
-def analyze(cir: DataFrame, metadata: DataFrame, *, spacing_s: float, offsets_hz: list[float] | None = None,
-            task: DataFrame | None = None, axis: str = "sample", region: str = "known") -> tuple[DataFrame, DataFrame]:
-    """Metric points and the metric registry of every dataset.
+def discrete_cir(ctf: DataFrame, step_hz: float) -> DataFrame:
+    """Delay taps of a frequency response as path rows without angles: path is the tap."""
+    keys = [D, "sample", "tx", "rx", "t"]
+    taps = signal.unpack_axis(signal.inverse_dft_shifted(complete_vectors(ctf, "f"), keys), keys, "path")
+    bins = ctf.groupBy(D).agg(F.countDistinct("f").alias("_n"))
+    none = F.lit(None).cast("double")
+    return metrics.bounded_join(taps, bins, [D]).select(
+        *keys, "path", "re", "im", (F.col("path") / (F.col("_n") * F.lit(step_hz))).alias("delay_s"),
+        F.col("re").isNotNull().alias("path_valid"), none.alias("aoa_rad"), none.alias("aod_rad"))
 
-    The region filter comes first, so each metric reads the kept rows only.
-    A metric that its dataset cannot support gives no points and an
-    unavailable registry row.
-    """
-    if task is not None:
-        cir = rules.select_region(cir, task, axis, region)
-    caps = rules.capabilities(describe(cir, metadata))
-    status = rules.metric_status(caps)
+
+def side_vectors(channel: DataFrame, caps: DataFrame, side: str, wanted) -> DataFrame:
+    """Antenna vectors of one side, for the datasets (one row each in caps) with a real array there."""
+    some = caps.filter((F.col(f"n_{side}") > 1) & wanted).select(D)
+    return complete_vectors(channel, side).join(some, D, "left_semi")
+
+
+def angular_points(cir: DataFrame, channel: DataFrame, caps: DataFrame, element_wavelengths: float | None) -> list[DataFrame]:
+    """Path angles where the dataset has them, else beams of each side with a declared linear array."""
     c = F.col
+    spectra = [(metrics.path_angle_spectrum(cir), "angle_deg", "normalized_db")]
+    spreads = [metrics.angular_spread(cir)]
+    if element_wavelengths:
+        for side in ("rx", "tx"):
+            rows = side_vectors(channel, caps, side, ~c("has_angles") & c(f"{side}_ula")).withColumn("series", F.lit(f"{side} beamspace"))
+            beams = signal.beam_power(rows, [D, "series"], element_wavelengths, list(range(-90, 91)))
+            spectra.append((peak_db(beams, "power", [D, "series"], "db"), "angle", "db"))
+            spreads.append(metrics.beam_spread(rows, [D, "series", "sample"], element_wavelengths))
+    cdfs = [blocks.empirical_cdf(s, "spread_deg", [D, "series"]) for s in spreads]
+    return [points("angular_power_spectrum", s, c(x), c(y), "series") for s, x, y in spectra] + [
+        points("angular_spread_cdf", cdf.filter("n >= 2"), c("x"), c("y"), "series") for cdf in cdfs]
+
+
+def spatial_points(channel: DataFrame, caps: DataFrame) -> list[DataFrame]:
+    """Magnitudes of the receive and the transmit correlation matrix; a series is one row of a matrix."""
+    out = []
+    for side in ("rx", "tx"):
+        m = signal.correlation_matrix(side_vectors(channel, caps, side, F.lit(True)), [D]).filter("n_rows >= 2")
+        out.append(points("spatial_correlation", m.withColumn("series", F.concat(F.lit(f"{side} "), F.col("i").cast("string"))),
+                          F.col("j"), F.hypot("re", "im"), "series"))
+    return out
+
+
+def characterize(cir: DataFrame, channel: DataFrame, power: DataFrame, caps: DataFrame, *, spacing_s: float,
+                 step_hz: float | None, element_wavelengths: float | None) -> tuple[DataFrame, DataFrame]:
+    """Points and registry from path rows, the channel over (sample, tx, rx, f, t), power per sample and flags."""
+    c = F.col
+    caps = caps.persist()  # one row per dataset
+    status = rules.metric_status(caps)
     spread = metrics.delay_spread(cir).withColumn("ns", c("spread_s") * 1e9)
     delay_cdf = blocks.empirical_cdf(spread, "ns", [D])
-    angles = metrics.path_angle_spectrum(cir)
-    angle_cdf = blocks.empirical_cdf(metrics.angular_spread(cir), "spread_deg", [D, "series"])
-    channel = metrics.cir_to_ctf(cir, offsets_hz) if offsets_hz else metrics.narrowband(cir).withColumn("f", F.lit(0))
     channel = channel.persist()  # read by the time, antenna and frequency metrics
     vectors = complete_vectors(channel, "t")
     doppler = peak_db(metrics.doppler_spectrum(vectors, [D], spacing_s), "power", [D], "db")
@@ -62,27 +95,61 @@ def analyze(cir: DataFrame, metadata: DataFrame, *, spacing_s: float, offsets_hz
     acf = signal.autocorrelation(vectors, [D])
     heat = metrics.delay_sample_heatmap(cir)
     pdp = metrics.power_delay_profile(cir)
-    power = metrics.peak_normalized(metrics.cir_power(cir))
-    spatial = signal.correlation_matrix(complete_vectors(channel, "rx"), [D])
     parts = [
-        points("power", power, c("sample"), c("normalized_db")),
+        points("power", metrics.peak_normalized(power), c("sample"), c("normalized_db")),
         points("pdp", pdp, c("delay_s") * 1e9, c("normalized_db")),
         points("delay_spread_cdf", delay_cdf.filter("n >= 2"), c("x"), c("y")),
-        points("angular_power_spectrum", angles, c("angle_deg"), c("normalized_db"), "series"),
-        points("angular_spread_cdf", angle_cdf.filter("n >= 2"), c("x"), c("y"), "series"),
-        points("spatial_correlation", spatial, c("j"), F.hypot("re", "im"), "i"),
+        *angular_points(cir, channel, caps, element_wavelengths),
+        *spatial_points(channel, caps),
         points("doppler_power_spectrum", doppler, c("frequency_hz"), c("db")),
         points("time_autocorrelation", acf, c("lag") * spacing_s, c("magnitude")),
         points("doppler_spread_cdf", doppler_cdf.filter("n >= 2"), c("x"), c("y")),
         points("delay_sample_heatmap", heat, c("delay_s") * 1e9, c("normalized_db"), "sample"),
     ]
-    if offsets_hz:
-        step = offsets_hz[1] - offsets_hz[0]
+    if step_hz:
         facf = signal.autocorrelation(complete_vectors(channel, "f"), [D])
-        parts.append(points("frequency_autocorrelation", facf, c("lag") * step, c("magnitude")))
+        parts.append(points("frequency_autocorrelation", facf, c("lag") * step_hz, c("magnitude")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     # The status has eleven rows per dataset.
     allowed = status.filter("available").select(D, "metric")
     return out.join(allowed, [D, "metric"], "left_semi"), rules.metric_registry(status)
+
+
+def without_arrays(metadata: DataFrame) -> DataFrame:
+    return metadata.withColumns({"tx_ula": F.lit(False), "rx_ula": F.lit(False)})
+
+
+def analyze(cir: DataFrame, metadata: DataFrame, *, spacing_s: float, offsets_hz: list[float] | None = None,
+            element_wavelengths: float | None = None, task: DataFrame | None = None, axis: str = "sample",
+            region: str = "known") -> tuple[DataFrame, DataFrame]:
+    """Metric points and the metric registry of every dataset of path rows.
+
+    The region filter comes first, so each metric reads the kept rows only. A metric that its dataset cannot
+    support gives no points and an unavailable registry row. Beams need frequency offsets and the element
+    spacing in wavelengths; without them a declared array does not count as geometry.
+    """
+    if task is not None:
+        cir = rules.select_region(cir, task, axis, region)
+    if not (offsets_hz and element_wavelengths):
+        metadata, element_wavelengths = without_arrays(metadata), None
+    channel = metrics.cir_to_ctf(cir, offsets_hz) if offsets_hz else metrics.narrowband(cir).withColumn("f", F.lit(0))
+    step = offsets_hz[1] - offsets_hz[0] if offsets_hz else None
+    return characterize(cir, channel, metrics.cir_power(cir), rules.capabilities(describe(cir, metadata)),
+                        spacing_s=spacing_s, step_hz=step, element_wavelengths=element_wavelengths)
+
+
+def analyze_ctf(ctf: DataFrame, metadata: DataFrame, *, spacing_s: float, step_hz: float,
+                element_wavelengths: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """The same for frequency responses (dataset_id, sample, tx, rx, f, t, re, im) on a uniform grid.
+
+    Delay metrics come from the delay taps of each response; angles come from beams only.
+    """
+    if not element_wavelengths:
+        metadata = without_arrays(metadata)
+    dims = rules.axis_counts(ctf.withColumnRenamed("f", "path")).withColumnRenamed("n_path", "n_f")
+    described = dims.join(metadata.drop("n_f"), D).withColumns(
+        {"domain": F.lit("ctf"), "has_angles": F.lit(False), "n_path": F.lit(1)})
+    return characterize(discrete_cir(ctf, step_hz), ctf, metrics.ctf_power(ctf), rules.capabilities(described),
+                        spacing_s=spacing_s, step_hz=step_hz, element_wavelengths=element_wavelengths)

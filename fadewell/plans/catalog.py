@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from . import (  # noqa: F401  (registration by import)
+    queries_analysis,
     queries_blocks,
     queries_evaluate,
     queries_fitting,

@@ -152,18 +152,31 @@ def _(spark, sf):
                     r6("accuracy_percent", "accuracy_percent"))
 
 
-@query("g10_spread_moments", "dpsd", f"""WITH {PROFILE_SQL},
+MOMENT_SQL = f"""{PROFILE_SQL},
 w AS (SELECT sample_no, bin, pow(10,predicted/10-3) AS wp, pow(10,truth/10-3) AS wo FROM pf),
 m AS (SELECT sample_no, sum(bin*wp)/sum(wp) AS mp, sum(bin*wo)/sum(wo) AS mo FROM w GROUP BY 1),
-t AS (SELECT sample_no, sqrt(sum(pow(bin-mp,2)*wp)/sum(wp))*10 AS tp, sqrt(sum(pow(bin-mo,2)*wo)/sum(wo))*10 AS t_o FROM w JOIN m USING (sample_no) GROUP BY 1)
-SELECT {s6('avg(tp)','mu_pred')}, {s6('stddev_samp(tp)','sd_pred')}, {s6('avg(t_o)','mu_truth')}, {s6('stddev_samp(t_o)','sd_truth')},
- {s6('least(min(tp),min(t_o))','lo')}, {s6('greatest(max(tp),max(t_o))','hi')} FROM t""")
+t AS (SELECT sample_no, sqrt(sum(pow(bin-mp,2)*wp)/sum(wp))*10 AS tp, sqrt(sum(pow(bin-mo,2)*wo)/sum(wo))*10 AS t_o FROM w JOIN m USING (sample_no) GROUP BY 1),
+mom AS (SELECT avg(tp) AS mu_pred, stddev_samp(tp) AS sd_pred, avg(t_o) AS mu_truth, stddev_samp(t_o) AS sd_truth, least(min(tp),min(t_o)) AS lo, greatest(max(tp),max(t_o)) AS hi FROM t)"""
+MOMENTS = ("mu_pred", "sd_pred", "mu_truth", "sd_truth", "lo", "hi")
+
+
+def normal_cdf_sql(z: str, out: str) -> str:
+    """Normal distribution at z by the series of the error function."""
+    u = f"greatest(least({z}/sqrt(CAST(2 AS DOUBLE)),6),-6)"
+    nested = f"list_reduce(list_transform(range(120, 0, -1), lambda i: CAST(i AS DOUBLE)), lambda acc, n: 1+acc*2*{u}*{u}/(2*n+1), CAST(1 AS DOUBLE))"
+    return s6(f"0.5*(1+2/sqrt(pi())*{u}*exp(-{u}*{u})*{nested})", out)
+
+
+@query("g10_spread_moments", "dpsd", f"WITH {MOMENT_SQL} SELECT {', '.join(s6(c, c) for c in MOMENTS)} FROM mom")
 def _(spark, sf):
     m = ev.spread_moments(ev.profile_spreads(profile_forecast(spark, sf), "sample_no", "bin", BANDWIDTH_HZ))
-    return m.select(*[r6(c, c) for c in ("mu_pred", "sd_pred", "mu_truth", "sd_truth", "lo", "hi")])
+    return m.select(*[r6(c, c) for c in MOMENTS])
 
 
-@query("g10_gaussian_spread_cdf")
+@query("g10_gaussian_spread_cdf", "dpsd", f"""WITH {MOMENT_SQL},
+gr AS (SELECT k, lo+(hi-lo)*k/999 AS x, mu_pred, mu_truth, greatest(coalesce(sd_pred,0),1e-6) AS sp, greatest(coalesce(sd_truth,0),1e-6) AS st FROM mom, range(1000) r(k)),
+zs AS (SELECT k, x, (x-mu_pred)/sp AS zp, (x-mu_truth)/st AS zt FROM gr)
+SELECT CAST(k AS INTEGER) AS k, {s6('x','x')}, {normal_cdf_sql('zp','f_pred')}, {normal_cdf_sql('zt','f_truth')} FROM zs""")
 def _(spark, sf):
     m = ev.spread_moments(ev.profile_spreads(profile_forecast(spark, sf), "sample_no", "bin", BANDWIDTH_HZ))
     g = ev.gaussian_spread_cdf(m)

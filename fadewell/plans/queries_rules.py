@@ -319,7 +319,7 @@ def _(spark, sf):
 
 @query("c27_full_analysis", "cir", """SELECT * FROM (SELECT unnest(['power','pdp','frequency_autocorrelation','delay_spread_cdf','angular_power_spectrum','spatial_correlation','angular_spread_cdf','doppler_power_spectrum','time_autocorrelation','doppler_spread_cdf','delay_sample_heatmap']) AS metric,
  unnest([true,true,true,true,true,true,true,true,true,true,true]) AS available,
- unnest([n, 7, 8, n, 360, 9, 2*n, 16, 12, n, 64*n]) AS points FROM (SELECT count(DISTINCT sample) AS n FROM cir))""")
+ unnest([n, 7, 8, n, 360, 13, 2*n, 16, 12, n, 64*n]) AS points FROM (SELECT count(DISTINCT sample) AS n FROM cir))""")
 def _(spark, sf):
     from ..operators.metrics import centred_offsets
     from .analysis import analyze

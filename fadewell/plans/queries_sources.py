@@ -33,8 +33,8 @@ def _(spark, sf):
     return u.select("obs", "tx", "rx", "f", r6("value", "value"))
 
 
-@query("a02_complex_assembly", "", f"""WITH {FLAT_SQL}, p AS (SELECT a.obs, a.pos AS k, a.v AS re, b.v AS im FROM fl a JOIN fl b ON a.obs=b.obs AND b.pos=a.pos+32 WHERE a.pos<32)
-SELECT obs, k, round(re, 6) AS re, round(im, 6) AS im, 'ok' AS status FROM p WHERE obs%7<>0 UNION ALL SELECT vec_id, NULL, NULL, NULL, 'shape_mismatch' FROM embeddings WHERE vec_id%7=0""")
+@query("a02_complex_assembly", "", """SELECT vec_id AS obs, CAST(b AS INTEGER) AS k, round(CAST(embedding[b+1] AS DOUBLE), 6) AS re, round(CAST(embedding[b+33] AS DOUBLE), 6) AS im, 'ok' AS status FROM embeddings, range(32) r(b) WHERE vec_id%7<>0
+UNION ALL SELECT vec_id, NULL, NULL, NULL, 'shape_mismatch' FROM embeddings WHERE vec_id%7=0""")
 def _(spark, sf):
     # Every seventh vector lost its last imaginary value.
     short = F.when(F.col("obs") % 7 == 0, 31).otherwise(32)

@@ -85,6 +85,32 @@ def test_analysis_offers_only_supported_metrics(cir):
     assert acf["y"] == pytest.approx(1.0)
 
 
+def test_analysis_degrades_per_dataset(spark):
+    """Beams where a linear array has no angles; no time axis, one sample and one observation each lose their metrics."""
+    small = dict(samples=3, paths=3, times=4)
+    rows = channel("beams", **small) + channel("bare", **small) + channel("still", **small)
+    rows += channel("single", samples=1, paths=3, times=4) + channel("lone", samples=1, paths=3, times=1)
+    cir = spark.createDataFrame(rows, SCHEMA)
+    angle = lambda name: F.when(~F.col(D).isin("beams", "bare"), F.col(name)).alias(name)
+    cir = cir.withColumns({"aoa_rad": angle("aoa_rad"), "aod_rad": angle("aod_rad")})
+    meta = metadata(cir).withColumns({
+        "n_f": F.lit(4), "has_frequency_axis": F.lit(True), "has_time_axis": F.col(D) != "still",
+        "tx_ula": F.col(D) == "beams", "rx_ula": F.col(D) == "beams"})
+    points, registry = analyze(cir, meta, spacing_s=1e-3, offsets_hz=[-3e5, -1e5, 1e5, 3e5], element_wavelengths=0.5)
+    state = {(r[D], r["metric"]): r["available"] for r in registry.collect()}
+    got = points.groupBy(D, "metric", "series").agg(F.count("*").alias("n"), F.max("y").alias("top")).collect()
+    assert {(r[D], r["metric"]) for r in got} == {k for k, v in state.items() if v}
+    spectra = {(r[D], r["series"]): (r["n"], r["top"]) for r in got if r["metric"] == "angular_power_spectrum"}
+    assert spectra["beams", "rx beamspace"] == spectra["beams", "tx beamspace"] == (181, 0.0)
+    assert {k[1] for k in spectra if k[0] == "still"} == {"aoa", "aod"}
+    assert not state["bare", "angular_power_spectrum"] and not state["bare", "angular_spread_cdf"]
+    assert state["bare", "doppler_power_spectrum"] and not state["still", "doppler_power_spectrum"] and not state["still", "time_autocorrelation"]
+    for cdf in ("delay_spread_cdf", "angular_spread_cdf", "doppler_spread_cdf", "delay_sample_heatmap"):
+        assert not state["single", cdf]
+    assert state["single", "spatial_correlation"] and not state["lone", "spatial_correlation"]
+    assert {(r["series"]) for r in got if r[D] == "single" and r["metric"] == "spatial_correlation"} == {f"rx {i}" for i in range(4)} | {f"tx {i}" for i in range(2)}
+
+
 def test_known_region_ignores_the_target(spark, cir):
     dyn = cir.filter("dataset_id = 'dyn'")
     axis = dyn.select(D, F.col("sample").alias("idx")).distinct()

@@ -15,8 +15,9 @@ FOLDER = "/root/testdata/sf0.001"
 SAMPLE = [
     "a02_complex_assembly", "a12_canonical_axes", "a15_file_manifest", "b01_dataset_rules", "b07_metric_registry",
     "b13_range_text", "c03_power_delay_profile", "c05_delay_spread", "c09_path_angle_spectrum", "c20_cir_to_ctf",
-    "c25_path_length_axis", "c32_snapshot_preparation", "d02_step_ecdf", "d08_js_distance", "e01_natural_key",
+    "c25_path_length_axis", "c27_analysis_points", "c32_snapshot_preparation", "d02_step_ecdf", "d08_js_distance", "e01_natural_key",
     "f01_sliding_windows", "f02_span_counts", "f07_normalize_and_back", "g04_metric_bundle", "g09_capacity_accuracy",
+    "g10_gaussian_spread_cdf",
     "h01_parameter_grid", "h03_candidate_scores",
 ]
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
