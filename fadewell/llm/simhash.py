@@ -14,7 +14,12 @@ from .shared import WORD_HASHES, gram_hashes, lower_words_of, mixed, scratch
 
 _AT_ONCE = 65_536  # hashes whose bits are counted at a time
 SKETCH = 64
-_MULTIPLIERS = mixed(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
+#: A pair of Jaccard similarity 0.8 shares none of BANDS bands of BAND_ROWS least hashes with probability
+#: (1 - 0.8^4)^24 = 3e-6, and more alike pairs with less; the bands are the same at every corpus size.
+BANDS, BAND_ROWS = 24, 4
+FUNCTIONS = 128  # of these the first SKETCH give the sketch, the first BANDS * BAND_ROWS the bands, all one bit each
+_MULTIPLIERS = mixed(np.arange(1, FUNCTIONS + 1, dtype=np.uint64)) | np.uint64(1)
+_BAND_FACTORS = mixed(np.arange(1001, 1001 + BAND_ROWS, dtype=np.uint64)) | np.uint64(1)
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -77,24 +82,44 @@ def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
     return np.unique(gram_hashes(WORD_HASHES.of(lower_words_of(text)), k))
 
 
-def sketch(grams: np.ndarray) -> bytes:
-    """One byte of the least hash under each of SKETCH functions."""
-    if not len(grams):
-        return bytes(SKETCH)
-    least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(grams), 4096):
-        part = grams[at : at + 4096]
+def minima(grams: np.ndarray) -> np.ndarray:
+    """The least hash under each of FUNCTIONS functions; grams not empty."""
+    least = np.full(FUNCTIONS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(grams), 1024):
+        part = grams[at : at + 1024]
         least = np.minimum(least, (part[None, :] * _MULTIPLIERS[:, None]).min(axis=1))
-    return mixed(least).astype(np.uint8).tobytes()
+    return mixed(least)
 
 
-_SIGNED = "doc_id long, content string, fp long, sketch binary"
+def sketch(least: np.ndarray) -> bytes:
+    """One byte of each of the first SKETCH least hashes."""
+    return least[:SKETCH].astype(np.uint8).tobytes()
+
+
+def bands(least: np.ndarray) -> np.ndarray:
+    """A hash of the band's number and its BAND_ROWS least hashes, for each band."""
+    joined = (least[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS) * _BAND_FACTORS).sum(axis=1, dtype=np.uint64)
+    return mixed(joined + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
+def bits(least: np.ndarray) -> np.ndarray:
+    """Two 64-bit words with one bit of each least hash."""
+    return np.packbits((least >> np.uint64(40) & np.uint64(1)).astype(bool)).view(np.int64)
+
+
+def bits_allowed(similarity: float) -> int:
+    """Differing bits that a pair of that similarity exceeds with probability 1e-6 at most (five sigma)."""
+    p = (1 - similarity) / 2
+    return int(FUNCTIONS * p + 5 * (FUNCTIONS * p * (1 - p)) ** 0.5)
+
+
+_SIGNED = "doc_id long, content string, fp long, sketch binary, grams long, bits0 long, bits1 long, bands array<long>"
 
 
 def _signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """The SimHash here is over distinct words: a change of one word moves it far less than one over
-    shingles, so pairs of a shingle similarity of 0.8 stay within a few bits."""
-    schema = pa.schema([("doc_id", pa.int64()), ("content", pa.string()), ("fp", pa.int64()), ("sketch", pa.binary())])
+    shingles. Words without shingles have no bands."""
+    schema = pa.schema([("doc_id", pa.int64()), ("content", pa.string()), ("fp", pa.int64()), ("sketch", pa.binary()), ("grams", pa.int64()), ("bits0", pa.int64()), ("bits1", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
@@ -106,29 +131,54 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFram
                 out["content"].append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
                 fp = majority(np.unique(hashes))
                 out["fp"].append(fp - (1 << 64) if fp >> 63 else fp)
-                out["sketch"].append(sketch(gram_hashes(hashes, k)))
+                grams = np.unique(gram_hashes(hashes, k))
+                least = minima(grams) if len(grams) else np.zeros(FUNCTIONS, np.uint64)
+                out["sketch"].append(sketch(least))
+                out["grams"].append(len(grams))
+                for name, word in zip(("bits0", "bits1"), bits(least).tolist()):
+                    out[name].append(word)
+                out["bands"].append(bands(least).tolist() if len(grams) else [])
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _SIGNED)
 
 
+def _band_pairs(spark: SparkSession, nodes: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of nodes that share a band and are not joined by the checked links.
+
+    Left out are only pairs that cannot be as similar (by their numbers of shingles) or whose bits say so
+    with five sigma. A band's largest component is not paired with itself, so a large family of copies
+    costs one row for each of its members and each of the others that share a band with it.
+    """
+    labels = components(spark, links)
+    rows = nodes.join(labels, nodes.id == labels.node, "left").select("id", "grams", "bits0", "bits1", F.coalesce("component", "id").alias("label"), F.explode("bands").alias("band"))
+    rows = scratch(spark, rows, "bands")
+    counts = rows.groupBy("band", "label").agg(F.count("*").alias("m")).groupBy("band").agg(F.max_by("label", F.struct("m", "label")).alias("most"), F.count("*").alias("labels"))
+    rows = rows.join(counts.where("labels > 1").drop("labels"), "band")
+    other = rows.where("label <> most").select(*(F.col(c).alias(f"o_{c}") for c in ("band", "id", "grams", "bits0", "bits1", "label")))
+    apart = F.bit_count(F.col("bits0").bitwiseXOR(F.col("o_bits0"))) + F.bit_count(F.col("bits1").bitwiseXOR(F.col("o_bits1")))
+    alike = (F.least("grams", "o_grams") >= F.lit(similarity) * F.greatest("grams", "o_grams") - 1e-6) & (apart <= bits_allowed(similarity))
+    once = (F.col("label") == F.col("most")) | (F.col("id") < F.col("o_id"))
+    pairs = rows.join(other, (F.col("band") == F.col("o_band")) & (F.col("label") != F.col("o_label")) & once & alike)
+    return scratch(spark, pairs.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct(), "pairs")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8,
                     radius: int = 12, guaranteed: int = 5, margin: float = 0.15) -> DataFrame:
     """(doc_id, kept_id) of each document that has a smaller near duplicate; kept_id is its group's least id.
 
-    Equal word sequences (letter case aside) are one document. Others become candidates if their SimHash
-    lies within `radius` in a common shard (certain up to `guaranteed` bits) and their MinHash sketch
-    agrees to `similarity - margin`. The candidates' heaviest spanning forest is then checked exactly:
-    a link stays if the Jaccard similarity of the k-word shingle sets is at least `similarity`.
+    Equal word sequences (letter case aside) are one document. A link is two documents whose Jaccard
+    similarity of the k-word shingle sets is at least `similarity`, checked on the texts. First the heaviest
+    spanning forest of those whose SimHash lies within `radius` in a common shard, and whose MinHash sketch
+    agrees to `similarity - margin`, is checked; that joins most copies with few checks. Then every pair
+    that shares a MinHash band and that checked links have not joined is checked, so what the SimHash or
+    the forest left out is found there, at every size with the same probability (see BANDS).
     """
     signed = scratch(spark, _signatures(docs, id_col, text_col, k).where("doc_id is not null"), "signatures")
-    items = scratch(spark, signed.groupBy("content").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "items")
+    items = scratch(spark, signed.groupBy("content").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("fp", "sketch", "grams", "bits0", "bits1", "bands"))), "items")
     # one id may stand for several contents if ids repeat; it stays one node
     nodes = items.dropDuplicates(["id"])
-    edges = scratch(spark, fingerprint_links(spark, nodes.select("id", "fp", "sketch"), radius, guaranteed, similarity - margin), "candidates")
-    named = edges.select("a").union(edges.select(F.col("b").alias("a"))).distinct()
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = scratch(spark, source.join(named, F.col("id") == F.col("a")).select("id", "text").dropDuplicates(["id"]), "texts")
 
     @F.pandas_udf("double")
     def jaccard(left, right):
@@ -141,8 +191,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
         return pd.Series([one(x, y) for x, y in zip(left, right)], dtype="float64")
 
-    left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    real = edges.join(left, "a").join(right, "b").where(jaccard("ta", "tb") >= similarity).select("a", "b")
+    def checked(edges: DataFrame) -> DataFrame:
+        named = edges.select("a").union(edges.select(F.col("b").alias("a"))).distinct()
+        texts = scratch(spark, source.join(named, F.col("id") == F.col("a")).select("id", "text").dropDuplicates(["id"]), "texts")
+        left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+        return scratch(spark, edges.join(left, "a").join(right, "b").where(jaccard("ta", "tb") >= similarity).select("a", "b"), "checked")
+
+    links = checked(scratch(spark, fingerprint_links(spark, nodes.select("id", "fp", "sketch"), radius, guaranteed, similarity - margin), "candidates"))
+    links = links.union(checked(_band_pairs(spark, nodes, links, similarity)))
     copies = signed.join(items.select("content", "id"), "content").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    groups = components(spark, real.union(copies))
+    groups = components(spark, links.union(copies))
     return groups.where("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("kept_id"))

@@ -216,6 +216,33 @@ def test_near_duplicates(spark, odd, documents):
         assert got <= gone and len(got) >= 0.95 * len(gone)
 
 
+def exact_families(texts):
+    """Least index of the component of each text, over all pairs of a shingle similarity of 0.8."""
+    sets = [set(simhash.shingle_set(t).tolist()) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    return hamming.flat_components(len(texts), np.array([p[0] for p in pairs], int), np.array([p[1] for p in pairs], int))
+
+
+def near_labels(spark, texts):
+    kept = {r["doc_id"]: r["kept_id"] for r in simhash.near_duplicates(spark, frame(spark, texts)).collect()}
+    return [kept.get(i, i) for i in range(len(texts))]
+
+
+def test_near_duplicates_of_edited_copies(spark):
+    """Appended, cut, with one block replaced, with scattered changes: each pair at 0.8 or just above."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(60):
+        w = words(rng, 400, 20_000).split()
+        block = w[:150] + words(rng, 36, 20_000).split() + w[186:]
+        scattered = [f"v{i}" if i in (50, 120, 190, 260, 330, 380, 20) else x for i, x in enumerate(w)]
+        for copy in (w + words(rng, 80, 20_000).split(), w[:328], block, scattered):
+            texts += [" ".join([f"p{len(texts)}", *w[1:]]), " ".join([f"p{len(texts)}", *copy[1:]])]
+            w = words(rng, 400, 20_000).split() if copy is scattered else [f"{x}n" for x in w]
+    want = exact_families(texts)
+    assert near_labels(spark, texts) == want.tolist()
+
+
 def test_components_of_a_long_path(spark):
     rng = random.Random(5)
     names = rng.sample(range(1000), 200)
