@@ -217,12 +217,13 @@ def _kernel(radius: int, least: float | None):
     return run
 
 
-def fingerprint_links(spark: SparkSession, items: DataFrame, radius: int, guaranteed: int | None = None, least: float | None = None, chunk: int = CHUNK) -> DataFrame:
+def fingerprint_links(spark: SparkSession, items: DataFrame, radius: int, guaranteed: int | None = None, least: float | None = None, chunk: int = CHUNK, search_again: bool = True) -> DataFrame:
     """Edges (a, b) that connect what links within `radius` connect; items: id long, distinct,
     fp long, and sketch binary if `least` is given.
 
     guaranteed: radius up to which the tables must meet (the search radius unless given). least: with it,
     links also need that share of agreement between the sketches, and the forest prefers the highest.
+    search_again: without it, shards above `chunk` are searched only within their chunks.
     """
     rows_in = items.count()
     masks = [signed(m) for m in tables(radius if guaranteed is None else guaranteed, rows_in)]
@@ -241,6 +242,8 @@ def fingerprint_links(spark: SparkSession, items: DataFrame, radius: int, guaran
     yes = F.lit(True)
     # every row is its own label in the first round
     first = scratch(spark, solved(rows.select(shard, "id", "fp", "sketch", yes.alias("asks"), yes.alias("holds"), F.col("id").alias("label"))), "links")
+    if not search_again:
+        return first
     hot = scratch(spark, rows.where(F.col("n") > chunk), "hot")
     if hot.isEmpty():
         return first

@@ -171,8 +171,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     similarity of the k-word shingle sets is at least `similarity`, checked on the texts. First the heaviest
     spanning forest of those whose SimHash lies within `radius` in a common shard, and whose MinHash sketch
     agrees to `similarity - margin`, is checked; that joins most copies with few checks. Then every pair
-    that shares a MinHash band and that checked links have not joined is checked, so what the SimHash or
-    the forest left out is found there, at every size with the same probability (see BANDS).
+    that shares a MinHash band and that checked links have not joined is checked, so what the SimHash, the
+    forest or a cut shard left out is found there, at every size with the same probability (see BANDS). Only
+    checked links excuse a pair.
     """
     signed = scratch(spark, _signatures(docs, id_col, text_col, k).where("doc_id is not null"), "signatures")
     items = scratch(spark, signed.groupBy("content").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("fp", "sketch", "grams", "bits0", "bits1", "bands"))), "items")
@@ -197,7 +198,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
         return scratch(spark, edges.join(left, "a").join(right, "b").where(jaccard("ta", "tb") >= similarity).select("a", "b"), "checked")
 
-    links = checked(scratch(spark, fingerprint_links(spark, nodes.select("id", "fp", "sketch"), radius, guaranteed, similarity - margin), "candidates"))
+    links = checked(scratch(spark, fingerprint_links(spark, nodes.select("id", "fp", "sketch"), radius, guaranteed, similarity - margin, search_again=False), "candidates"))
     links = links.union(checked(_band_pairs(spark, nodes, links, similarity)))
     copies = signed.join(items.select("content", "id"), "content").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     groups = components(spark, links.union(copies))

@@ -243,6 +243,22 @@ def test_near_duplicates_of_edited_copies(spark):
     assert near_labels(spark, texts) == want.tolist()
 
 
+def test_near_duplicates_in_a_loose_family(spark):
+    """100 pairs at about 0.85 whose members are at 0.72 or 0.78 to all others."""
+    rng = random.Random(12)
+    base = words(rng, 400, 20_000).split()
+    slots = rng.sample([(p, q) for q in range(1, 24) for p in range(1, q)], 100)
+    texts = []
+    for p, q in slots + slots:
+        w = list(base)
+        for s in (p, q):
+            w[16 * s + 2 : 16 * s + 14] = words(rng, 12, 20_000).split()
+        texts.append(" ".join(w))
+    want = exact_families(texts)
+    assert want.tolist() == [*range(100), *range(100)]
+    assert near_labels(spark, texts) == want.tolist()
+
+
 def test_components_of_a_long_path(spark):
     rng = random.Random(5)
     names = rng.sample(range(1000), 200)
