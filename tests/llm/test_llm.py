@@ -283,6 +283,16 @@ def test_page_text(spark):
     assert got == {1: (want, len(want)), 2: ("", 0), 3: ("", 0), 4: ("plain text", 10)}
 
 
+def test_names_do_not_take_main_text():
+    kept = lambda page: [t for _, t, prior in html.blocks(page) if prior >= 0]
+    for name in ("layout has-sidebar", "no-sidebar", "sidebar", "page search"):
+        assert kept(f"<body><div class='{name}'><article><div class='entry-header'><h1>Head</h1></div><p>Text</article></div>") == ["Head", "Text"]
+    anchors = "<article><h2 id='related-work'>A</h2><p>a<section id='search-algorithms'><p>b</section><h2 id='header-compression'>B</h2><section id=comments><p>c</section></article>"
+    assert kept(anchors) == ["A", "a", "b", "B", "c"]
+    assert kept("<article><p>Text</article><div class='comments'><article>reply</article></div><div class=sidebar><article>card</article></div>") == ["Text"]
+    assert kept("<p>Text<div class='ad wide'>no</div><div role=navigation>no</div><div id=cookie-notice>no</div><p hidden>no") == ["Text"]
+
+
 def test_style_tree_removes_what_every_page_repeats(spark):
     rng = random.Random(6)
     page = lambda i: f"<body><div class='x1'>Welcome to our site</div><div class='x2'><p>{words(rng, 30)}</p><p>{words(rng, 20)}</p></div><div class='x3'>All rights</div></body>"
