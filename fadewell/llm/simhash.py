@@ -108,7 +108,7 @@ def bits(least: np.ndarray) -> np.ndarray:
 
 
 def bits_allowed(similarity: float) -> int:
-    """Differing bits that a pair of that similarity exceeds with probability 1e-6 at most (five sigma)."""
+    """Mean and five sigma of the differing bits of a pair of that similarity; at 0.8, 8e-6 of pairs exceed it."""
     p = (1 - similarity) / 2
     return int(FUNCTIONS * p + 5 * (FUNCTIONS * p * (1 - p)) ** 0.5)
 
