@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fadewell.session import ensure_checkpoint_dir
 
-from . import decontaminate, embeddings, html, language, packing, planes, secrets, sharding, simhash, substrings
+from . import decontaminate, embeddings, html, language, packing, planes, prefixtree, secrets, sharding, simhash, substrings, suffixes, whitening
 from .shared import table
 
 
@@ -63,6 +63,18 @@ def op10_residual_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_ternary_trees(spark: SparkSession, sf: str) -> DataFrame:
+    return prefixtree.conversation_tree(spark, table(spark, sf, "conversations"))
+
+
+def op12_two_stage_suffixes(spark: SparkSession, sf: str) -> DataFrame:
+    return suffixes.remove_repeats(spark, table(spark, sf, "documents"))
+
+
+def op13_qdwh_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whitened(spark, table(spark, sf, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +83,8 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_bit_planes, op2_secret_automaton, op3_simhash_bk_trees, op4_site_style_tree, op5_iterative_quantisation, op6_rendezvous,
-    op7_seed_and_extend, op8_simhash_windows, op9_nearest_centroid, op10_residual_packing, pipeline)}
+    op7_seed_and_extend, op8_simhash_windows, op9_nearest_centroid, op10_residual_packing, op11_ternary_trees, op12_two_stage_suffixes,
+    op13_qdwh_whitening, pipeline)}
 
 #: Tokenizers, hashes and learned models are not in SQL; the tests compare with brute force.
 ORACLES: dict[str, str] = {}
