@@ -6,38 +6,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bin_index, col, dbm_to_watts, is_finite
-from .ordering import bounded_join, positions, running, sized_groups
+from .ordering import bounded_join, counted_ranks, expand_counts, positions, sized_groups
 
 
 def empirical_cdf(df: DataFrame, value: str, keys: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
-    """Sorted finite values with y = i/n; ties are kept, in the order of `carry`, columns that stay. Adds i and n.
+    """Sorted finite values with y = i/n. Ties are kept, in the order of `carry`, columns that stay. Adds i and n.
 
-    The values are usually derived (one per sample) and are read for the size,
-    the bucket edges and the ranks, so they are kept.
+    Without `carry` tied rows are alike, so only distinct values are ranked.
+    With it rows are ranked; they are usually derived (one per sample) and read
+    for the size, the bucket edges and the ranks, so they are kept.
     """
-    finite = df.filter(is_finite(value)).select(*keys, *carry, F.col(value).alias("x")).persist()
+    finite = df.filter(is_finite(value)).select(*keys, *carry, F.col(value).alias("x"))
+    if not carry:
+        return expand_counts(counted_ranks(finite, keys, "x"), keys, "x").withColumn("y", F.col("i") / F.col("n"))
+    finite = finite.persist()
     sizes, total, groups = sized_groups(finite, keys)
-    ranked = positions(finite, keys, ["x", *carry], "x", "i", total=total, tie_key=carry[0] if carry else None)
+    ranked = positions(finite, keys, ["x", *carry], "x", "i", total=total, tie_key=carry[0])
     return bounded_join(ranked, sizes, keys, counted=groups).withColumn("y", F.col("i") / F.col("n"))
 
 
 def quantiles(df: DataFrame, value: str, keys: list[str], probs: list[float]) -> DataFrame:
     """Linear-interpolated quantiles: keys, p_index, p, q.
 
-    Picks the two neighbouring ranks of each quantile, so no task or
-    aggregation buffer ever holds the values of a group.
+    Reads them from the running counts of the distinct values: a value serves
+    every quantile one of whose two neighbouring ranks lies in its run. No task
+    or aggregation buffer ever holds the values of a group.
     """
-    ranked = empirical_cdf(df, value, keys).select(*keys, "x", "i", "n")
+    ranked = counted_ranks(df.filter(is_finite(value)), keys, value)
     cells = ", ".join(f"named_struct('p_index', {j}, 'p', {float(p)!r}D)" for j, p in enumerate(probs))
-    wanted = F.expr(f"array({cells})")
-    at = 1 + (F.col("n") - 1) * F.col("w.p")
-    # A rank serves every quantile whose position lies within one rank of it.
-    near = F.filter(wanted, lambda w: F.abs(1 + (F.col("n") - 1) * w["p"] - F.col("i")) < 1)
-    hits = ranked.select(*keys, "x", "i", "n", F.explode(near).alias("w"))
-    weight = 1 - F.abs(at - F.col("i"))
+    at = F.col("w.at")
+    placed = F.transform(F.expr(f"array({cells})"), lambda w: F.struct(
+        w["p_index"].alias("p_index"), w["p"].alias("p"), (1 + (F.col("n") - 1) * w["p"]).alias("at")))
+    inside = lambda rank: (rank > F.col("last") - F.col("c")) & (rank <= F.col("last"))
+    near = F.filter(placed, lambda w: inside(F.floor(w["at"])) | inside(F.ceil(w["at"])))
+    hits = ranked.select(*keys, "x", "c", "last", F.explode(near).alias("w"))
+    upper = at - F.floor(at)
+    share = F.when(inside(F.floor(at)), 1 - upper).otherwise(0.0) + F.when(inside(F.ceil(at)), upper).otherwise(0.0)
     return (
         hits.groupBy(*keys, F.col("w.p_index").alias("p_index"), F.col("w.p").alias("p"))
-        .agg(F.sum(F.col("x") * weight).alias("q"))
+        .agg(F.sum(F.col("x") * share).alias("q"))
     )
 
 
@@ -66,12 +73,9 @@ def cdf_summary(df: DataFrame, value: str, keys: list[str], recommended: int = 2
 
 def step_ecdf(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """Classic ECDF: distinct x with F(x), after a leading (min, 0) point."""
-    counts = df.filter(is_finite(value)).groupBy(*keys, F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("c"))
-    totals = counts.groupBy(*keys).agg(F.sum("c").alias("n"), F.min("x").alias("x0"))
-    ranked = running(positions(counts, keys, ["x"], "x"), keys, "pos", {"cum": ("sum", "c")})
-    steps = bounded_join(ranked, totals, keys).select(
-        *keys, F.col("pos").alias("i"), "x", (F.col("cum") / F.col("n")).alias("f"))
-    start = totals.select(*keys, F.lit(0).cast("long").alias("i"), F.col("x0").alias("x"), F.lit(0.0).alias("f"))
+    ranked = counted_ranks(df.filter(is_finite(value)), keys, value)
+    steps = ranked.select(*keys, F.col("dense").alias("i"), "x", (F.col("last") / F.col("n")).alias("f"))
+    start = ranked.filter("dense = 1").select(*keys, F.lit(0).cast("long").alias("i"), "x", F.lit(0.0).alias("f"))
     return steps.unionByName(start)
 
 

@@ -8,13 +8,16 @@ still spread over the cluster, and give the same results as the plain window.
 from __future__ import annotations
 
 import math
-import os
+import sys
+import uuid
 from collections import Counter
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 20_000
 BLOCK_ROWS = 100_000
@@ -65,7 +68,8 @@ def with_bucket(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET,
     probs = [i / buckets for i in range(1, buckets)]
     found = Counter(df.approxQuantile(key, probs, 0.25 / buckets))
     heavy = sorted(v for v, times in found.items() if times > 1)
-    edges = sorted({*found, *(math.nextafter(v, math.inf) for v in heavy)})
+    # infinite values lie beyond the largest finite edges
+    edges = sorted({max(-sys.float_info.max, min(v, sys.float_info.max)) for v in (*found, *(math.nextafter(v, math.inf) for v in heavy))})
     out = _cut(df, key, edges, "_bucket")
     if not heavy or tie_key is None:
         return out, len(edges) + 1
@@ -106,18 +110,81 @@ def keyed_positions(df: DataFrame, group: list[str], key: str, out: str = "pos")
     return bounded_join(df, ranks, [*group, key])
 
 
-def text_positions(df: DataFrame, group: list[str], text: str, order: list[str], out: str = "pos",
-                   rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Positions by a text column.
+def counted_ranks(df: DataFrame, group: list[str], value: str, out: str = "x",
+                  rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """One row per group and distinct value: the value, its count `c`, the rank `last` of its last row, its place
+    `dense` among the distinct values, and the group's `n`.
 
-    The bucket key is the number in the six bytes after the prefix that all
-    values share, which keeps the byte order of the text.
+    Rows are counted on the map side first, so a value that a group repeats is
+    one row from there on. Running counts are taken inside buckets of distinct
+    values and shifted by the counts of the earlier buckets.
+    """
+    counts = df.groupBy(*group, F.col(value).alias(out)).agg(F.count(F.lit(1)).alias("c")).persist()
+    distinct, buckets = with_bucket(counts, out, rows_per_bucket)
+    upto = Window.partitionBy(*group, "_bucket").orderBy(out).rowsBetween(Window.unboundedPreceding, 0)
+    summed = distinct.withColumns({"_upto": F.sum("c").over(upto), "_dense": F.count(F.lit(1)).over(upto)})
+    if buckets == 1:
+        return summed.withColumn("n", F.sum("c").over(Window.partitionBy(*group, "_bucket"))).select(
+            *group, out, "c", F.col("_upto").alias("last"), F.col("_dense").alias("dense"), "n")
+    sizes = distinct.groupBy(*group, "_bucket").agg(F.sum("c").alias("_c"), F.count(F.lit(1)).alias("_d"))  # at most MAX_BUCKETS rows per group
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*group, "_bucket", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"),
+                          F.coalesce(F.sum("_d").over(before), F.lit(0)).alias("_dense_start"), F.sum("_c").over(whole).alias("n"))
+    return bounded_join(summed, starts, [*group, "_bucket"]).select(
+        *group, out, "c", (F.col("_upto") + F.col("_start")).alias("last"), (F.col("_dense") + F.col("_dense_start")).alias("dense"), "n")
+
+
+def expand_counts(ranked: DataFrame, group: list[str], value: str, out: str = "i", rows_per_chunk: int = BLOCK_ROWS) -> DataFrame:
+    """Back to one row per rank, from the rows of counted_ranks.
+
+    A value with many rows is cut into chunks that are dealt out before they
+    unfold, so no task makes more than a chunk of one value.
     """
-    ends = df.agg(F.min(text).alias("lo"), F.max(text).alias("hi")).first()
-    shared = len(os.path.commonprefix([(ends["lo"] or "").encode(), (ends["hi"] or "").encode()]))
-    tail = F.hex(F.substring(F.col(text).cast("binary"), shared + 1, 6))
-    keyed = df.withColumn("_text_key", F.conv(F.rpad(tail, 12, "0"), 16, 10).cast("double"))
-    return positions(keyed, group, [text, *order], "_text_key", out, rows_per_bucket).drop("_text_key")
+    chunks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("c") - 1) / rows_per_chunk))
+    cut = ranked.withColumn("_chunk", F.explode(chunks))
+    facts = ranked.agg(F.max("c").alias("most"), F.sum("c").alias("rows")).first()
+    if (facts["most"] or 0) > rows_per_chunk:  # a given count, since adaptive execution would join the few short rows
+        cut = cut.repartition(min(MAX_BUCKETS, math.ceil(facts["rows"] / rows_per_chunk)), *group, value, "_chunk")
+    first = F.col("last") - F.col("c") + 1 + F.col("_chunk") * rows_per_chunk
+    return cut.withColumn(out, F.explode(F.sequence(first, F.least(first + (rows_per_chunk - 1), F.col("last"))))).drop(
+        "_chunk", "c", "last", "dense")
+
+
+def range_positions(df: DataFrame, group: list[str], order: list[str], out: str = "pos", parts: int = 200) -> DataFrame:
+    """row_number() per group for any sortable columns, by one range shuffle.
+
+    The boundaries are whole rows of (group, order) that Spark samples, so long
+    common prefixes or ties in the leading columns do not meet in one part.
+    The sorted parts are written to the shared folder, because the counted
+    offsets must belong to the same parts as the ranks.
+    """
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/ranks-{uuid.uuid4().hex}"
+    ranged = df.repartitionByRange(parts, *group, *order).sortWithinPartitions(*group, *order)
+    ranged.withColumn("_at", F.monotonically_increasing_id()).write.parquet(folder)
+    kept = spark.read.parquet(folder)
+    part, inner = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = kept.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    placed = kept.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn(
+        "_all", (F.col("_start") + inner).cast("long"))
+    if not group:
+        return placed.withColumn(out, F.col("_all") + 1).drop("_part", "_start", "_at", "_all")
+    firsts = placed.groupBy(*group).agg(F.min("_all").alias("_first"))
+    return bounded_join(placed, firsts, group).withColumn(out, F.col("_all") - F.col("_first") + 1).drop(
+        "_part", "_start", "_at", "_all", "_first")
+
+
+def text_positions(df: DataFrame, group: list[str], text: str, order: list[str], out: str = "pos",
+                   rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Positions by a text column and then `order`, in byte order; null text comes first."""
+    total = df.count()
+    if total <= rows_per_bucket:
+        whole = Window.partitionBy(*group).orderBy(text, *order)
+        return df.withColumn(out, F.row_number().over(whole).cast("long"))
+    return range_positions(df, group, [text, *order], out, math.ceil(total / rows_per_bucket))
 
 
 def block_of(pos: str | Column, block_rows: int) -> Column:

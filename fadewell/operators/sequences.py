@@ -7,12 +7,12 @@ rows is cut over many tasks; see `ordering`.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_finite
 from .ordering import BLOCK_ROWS, bounded_join, halo_blocks, positions, sized_groups
+from .splines import blend_on_common_grid, cubic_spline, pchip  # noqa: F401
 
 D = "dataset_id"
 
@@ -367,7 +367,7 @@ def window_members(samples: DataFrame, pos: str, length: int = 16, stride: int =
         F.col("_w") * stride + length <= F.col("_n")).withColumn("window", F.col("_w") + 1).drop("_w", "_n")
 
 
-# ---- catalogue and blending ------------------------------------------------
+# ---- catalogue -------------------------------------------------------------
 
 def group_catalogue(groups: DataFrame, order_key: str) -> DataFrame:
     """Cyclic scenario and carrier per group in order of the key."""
@@ -375,97 +375,3 @@ def group_catalogue(groups: DataFrame, order_key: str) -> DataFrame:
     cycle = F.array(*[F.struct(F.lit(s).alias("scenario_name"), F.lit(f).alias("carrier_hz")) for s, f in SCENARIO_CYCLE])
     at = F.get(cycle, F.pmod(F.col("group_index") - 1, F.lit(len(SCENARIO_CYCLE))).cast("int"))
     return ranked.withColumn("_c", at).select("*", "_c.*").drop("_c")
-
-
-def blend_on_common_grid(real: DataFrame, synthetic: DataFrame, feature: str, pos: str, value: str,
-                         alpha: float = 0.15, block_rows: int = 4096, reach: int = 64) -> DataFrame:
-    """Real series plus alpha times the zero-mean synthetic one, both resampled
-    to n_real + n_synthetic points.
-
-    The real side uses shape-preserving cubic (PCHIP) and the synthetic side a
-    not-a-knot cubic spline. Output points are cut into blocks; a block gets
-    the source points under it plus `reach` more on each side. PCHIP looks two
-    points ahead, and the influence of a distant knot on a cubic spline falls
-    by a factor of about 3.7 per knot, so 64 knots leave less than 1e-36.
-    """
-    n_real = real.agg(F.max(pos)).first()[0]
-    n_syn = synthetic.agg(F.max(pos)).first()[0]
-    total = n_real + n_syn
-    mean = synthetic.groupBy(D, feature).agg(F.avg(value).alias("_mean"))
-    centred = bounded_join(synthetic, mean, [D, feature]).withColumn(value, F.col(value) - F.col("_mean"))
-
-    def placed(df: DataFrame, n: int, side: str) -> DataFrame:
-        scale = (total - 1) / max(n - 1, 1)
-        lo = F.floor((F.col(pos) - 1 - reach) * scale / block_rows)
-        hi = F.floor((F.col(pos) - 1 + reach) * scale / block_rows)
-        last = (total - 1) // block_rows
-        blocks = F.explode(F.sequence(F.greatest(lo, F.lit(0)), F.least(hi, F.lit(last))))
-        return df.select(D, feature, F.lit(side).alias("side"), F.col(pos).alias("k"),
-                         F.col(value).alias("x"), blocks.alias("block"))
-
-    rows = placed(real, n_real, "real").unionByName(placed(centred, n_syn, "synthetic"))
-
-    def blend(pdf: pd.DataFrame) -> pd.DataFrame:
-        block = int(pdf["block"].iloc[0])
-        k = np.arange(block * block_rows, min((block + 1) * block_rows, total))
-        out = np.zeros(len(k))
-        for side, n, fn, gain in (("real", n_real, pchip, 1.0), ("synthetic", n_syn, cubic_spline, alpha)):
-            part = pdf[pdf["side"] == side].sort_values("k")
-            scale = (n - 1) / max(total - 1, 1)
-            out += gain * fn(part["k"].to_numpy() - 1.0, part["x"].to_numpy(), k * scale)
-        return pd.DataFrame({D: pdf[D].iloc[0], feature: pdf[feature].iloc[0], "pos": k + 1, value: out})
-
-    return rows.groupBy(D, feature, "block").applyInPandas(
-        blend, f"{D} string, {feature} int, pos long, {value} double")
-
-
-def _segment(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return np.clip(np.searchsorted(x, at, side="right") - 1, 0, len(x) - 2)
-
-
-def _hermite(x, y, slope, at):
-    i = _segment(x, at)
-    h = x[i + 1] - x[i]
-    t = (at - x[i]) / h
-    return ((1 + 2 * t) * (1 - t) ** 2 * y[i] + t * (1 - t) ** 2 * h * slope[i]
-            + t**2 * (3 - 2 * t) * y[i + 1] + t**2 * (t - 1) * h * slope[i + 1])
-
-
-def pchip(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Monotone piecewise cubic on unit-spaced knots."""
-    if len(x) < 2:
-        return np.full(len(at), y[0])
-    d = np.diff(y)
-    if len(x) == 2:
-        return y[0] + d[0] * (at - x[0])
-    slope = np.zeros(len(x))
-    a, b = d[:-1], d[1:]
-    same = a * b > 0
-    slope[1:-1][same] = 2 * a[same] * b[same] / (a[same] + b[same])
-
-    def edge(d0, d1):
-        s = (3 * d0 - d1) / 2
-        if s * d0 <= 0:
-            return 0.0
-        return 3 * d0 if d0 * d1 <= 0 and abs(s) > 3 * abs(d0) else s
-
-    slope[0], slope[-1] = edge(d[0], d[1]), edge(d[-1], d[-2])
-    return _hermite(x, y, slope, at)
-
-
-def cubic_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Not-a-knot cubic spline on unit-spaced knots."""
-    n = len(x)
-    if n < 2:
-        return np.full(len(at), y[0])
-    if n < 4:
-        return np.polyval(np.polyfit(x - x[0], y, n - 1), at - x[0])
-    m = np.zeros((n, n))
-    rhs = np.zeros(n)
-    inner = np.arange(1, n - 1)
-    m[inner, inner - 1] = m[inner, inner + 1] = 1.0
-    m[inner, inner] = 4.0
-    rhs[inner] = 3 * (y[2:] - y[:-2])
-    m[0, :2], rhs[0] = (1.0, 2.0), (-5 * y[0] + 4 * y[1] + y[2]) / 2
-    m[-1, -2:], rhs[-1] = (2.0, 1.0), (5 * y[-1] - 4 * y[-2] - y[-3]) / 2
-    return _hermite(x, y, np.linalg.solve(m, rhs), at)

@@ -297,7 +297,44 @@ def _(spark, sf):
     return seqs.group_catalogue(groups, "group_id").select("group_id", "group_index", "scenario_name", "carrier_hz")
 
 
-@query("f19_blend_series")
+def _edge_sql(near: str, far: str) -> str:
+    s = f"((3*{near}-{far})/2)"
+    return f"CASE WHEN {s}*{near}<=0 THEN 0 WHEN {near}*{far}<=0 AND abs({s})>3*abs({near}) THEN 3*{near} ELSE {s} END"
+
+
+def _hermite_sql(source: str) -> str:
+    """Cubic pieces of `source` (bin, k, y, m; n knots) at every output point."""
+    return f"""SELECT bin, j, (1+2*t)*pow(1-t,2)*y + t*pow(1-t,2)*m + t*t*(3-2*t)*y1 + t*t*(t-1)*m1 AS v FROM (
+ SELECT p.bin, p.j, p.at-p.i AS t, a.y, a.m, b.y AS y1, b.m AS m1 FROM (
+  SELECT bin, j, j*((n-1)/CAST(total-1 AS DOUBLE)) AS at, least(floor(j*((n-1)/CAST(total-1 AS DOUBLE))), n-2) AS i
+  FROM (SELECT bin, max(n) AS n FROM {source} GROUP BY 1), sz, range((SELECT total FROM sz)) g(j)) p
+ JOIN {source} a ON a.bin=p.bin AND a.k=p.i JOIN {source} b ON b.bin=p.bin AND b.k=p.i+1)"""
+
+
+# The spline's slopes by forward elimination and back substitution, one knot a step.
+BLEND_SQL = f"""hs AS (SELECT snapshot%2 AS side, dense_rank() OVER (PARTITION BY snapshot%2 ORDER BY snapshot)-1 AS k, bin, dbm FROM dpsd),
+sz AS (SELECT count(DISTINCT CASE WHEN side=0 THEN k END) AS nr, count(DISTINCT CASE WHEN side=1 THEN k END) AS ns, nr+ns AS total FROM hs),
+r AS (SELECT bin, k, dbm AS y, lead(dbm) OVER w - dbm AS d, dbm - lag(dbm) OVER w AS p, lead(dbm, 2) OVER w - lead(dbm) OVER w AS d2, lag(dbm) OVER w - lag(dbm, 2) OVER w AS p2
+ FROM hs WHERE side=0 WINDOW w AS (PARTITION BY bin ORDER BY k)),
+rm AS (SELECT bin, k, y, (SELECT nr FROM sz) AS n, CASE WHEN p IS NULL THEN {_edge_sql('d', 'd2')} WHEN d IS NULL THEN {_edge_sql('p', 'p2')}
+ WHEN p*d>0 THEN 2*p*d/(p+d) ELSE 0 END AS m FROM r),
+s0 AS (SELECT bin, k, dbm - avg(dbm) OVER (PARTITION BY bin) AS y, (SELECT ns FROM sz) AS n FROM hs WHERE side=1),
+s1 AS (SELECT *, (-5*lag(y) OVER w + 4*y + lead(y) OVER w)/2 AS head, (5*lead(y) OVER w - 4*y - lag(y) OVER w)/2 AS tail, 3*(lead(y) OVER w - lag(y) OVER w) AS rhs
+ FROM s0 WINDOW w AS (PARTITION BY bin ORDER BY k)),
+s AS (SELECT bin, k, y, n, head, tail, rhs - CASE WHEN k=1 THEN head ELSE 0 END - CASE WHEN k=n-2 THEN tail ELSE 0 END AS rhs,
+ 4 - CASE WHEN k=1 THEN 2 ELSE 0 END - CASE WHEN k=n-2 THEN 2 ELSE 0 END AS diag FROM s1),
+fw AS (SELECT bin, k, CAST(1/CAST(diag AS DOUBLE) AS DOUBLE) AS c, rhs/diag AS d FROM s WHERE k=1
+ UNION ALL SELECT s.bin, s.k, 1/(s.diag-fw.c), (s.rhs-fw.d)/(s.diag-fw.c) FROM fw JOIN s ON s.bin=fw.bin AND s.k=fw.k+1 AND s.k<=s.n-2),
+bw AS (SELECT fw.bin, fw.k, fw.d AS m FROM fw, sz WHERE fw.k=ns-2
+ UNION ALL SELECT fw.bin, fw.k, fw.d-fw.c*bw.m FROM bw JOIN fw ON fw.bin=bw.bin AND fw.k=bw.k-1),
+sm AS (SELECT s.bin, s.k, s.y, s.n, bw.m FROM s JOIN bw USING (bin, k)
+ UNION ALL SELECT s.bin, 0, z.y, s.n, s.head-2*bw.m FROM s JOIN bw USING (bin, k) JOIN s z ON z.bin=s.bin AND z.k=0 WHERE s.k=1
+ UNION ALL SELECT s.bin, s.n-1, z.y, s.n, s.tail-2*bw.m FROM s JOIN bw USING (bin, k) JOIN s z ON z.bin=s.bin AND z.k=s.n-1 WHERE s.k=s.n-2),
+rv AS ({_hermite_sql('rm')}), sv AS ({_hermite_sql('sm')})"""
+
+
+@query("f19_blend_series", "dpsd", f"""WITH RECURSIVE {BLEND_SQL}
+SELECT rv.bin, rv.j+1 AS pos, {s6('rv.v + CAST(0.15 AS DOUBLE)*sv.v', 'dbm')} FROM rv JOIN sv USING (bin, j)""")
 def _(spark, sf):
     real, generated = halves(spark, sf)
     b = seqs.blend_on_common_grid(real, generated, "bin", "pos", "dbm")

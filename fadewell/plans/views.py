@@ -167,6 +167,8 @@ def with_views(views: str, body: str) -> str:
     head = ",\n".join(SQL[n] for n in names)
     if not head:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {head},\n{body[5:]}"
     return f"WITH {head}\n{body}"

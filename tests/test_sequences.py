@@ -165,3 +165,51 @@ def test_blend_matches_brute_force_in_any_block_size(spark):
         got = s.blend_on_common_grid(frame(real), frame(syn), "bin", "pos", "x", block_rows=block).orderBy("pos").collect()
         assert [r["pos"] for r in got] == list(range(1, 241))
         assert np.allclose([r["x"] for r in got], want, atol=1e-12)
+
+
+def test_blend_takes_lengths_per_series(spark):
+    """Two datasets and a feature of other lengths in one table; cuts of the solve lie inside every series."""
+    rng = np.random.default_rng(6)
+    sizes = {("a", 0): (150, 90), ("b", 0): (40, 33), ("b", 1): (61, 20), ("c", 0): (5, 1), ("d", 0): (1, 3), ("e", 0): (2, 2)}
+    real, syn = ({k: rng.normal(size=n[i]) + 3 * i for k, n in sizes.items()} for i in (0, 1))
+    frame = lambda v: spark.createDataFrame([(*k, i + 1, float(x)) for k, y in v.items() for i, x in enumerate(y)],
+                                            "dataset_id string, bin int, pos long, x double")
+    only = {("z", 0): rng.normal(size=8)}
+    for block in (4096, 32, 4):
+        got = {}
+        for r in s.blend_on_common_grid(frame(real | only), frame(syn), "bin", "pos", "x", block_rows=block).orderBy("pos").collect():
+            got.setdefault((r["dataset_id"], r["bin"]), []).append(r["x"])
+        assert set(got) == set(sizes)
+        for key, (n, m) in sizes.items():
+            k = np.arange(n + m)
+            a = s.pchip(np.arange(float(n)), real[key], k * ((n - 1) / (n + m - 1)))
+            b = s.cubic_spline(np.arange(float(m)), syn[key] - syn[key].mean(), k * ((m - 1) / (n + m - 1)))
+            assert np.allclose(got[key], a + 0.15 * b, atol=1e-12), (block, key)
+
+
+def test_partitioned_solve_equals_the_whole_one():
+    import pandas as pd
+
+    from fadewell.operators import splines
+
+    rng = np.random.default_rng(1)
+    for n in (4, 5, 9, 50, 333):
+        y = rng.normal(size=n)
+        m, rhs, inner = np.zeros((n, n)), np.zeros(n), np.arange(1, n - 1)
+        m[inner, inner - 1] = m[inner, inner + 1] = 1.0
+        m[inner, inner] = 4.0
+        rhs[inner] = 3 * (y[2:] - y[:-2])
+        m[0, :2], rhs[0] = (1.0, 2.0), (-5 * y[0] + 4 * y[1] + y[2]) / 2
+        m[-1, -2:], rhs[-1] = (2.0, 1.0), (5 * y[-1] - 4 * y[-2] - y[-3]) / 2
+        want = np.linalg.solve(m, rhs)
+        for size in (4, 5, 16):
+            count = max(1, n // size)
+            blocks = []
+            for b in range(count):
+                start, stop = splines._bounds(b, count, n, size)
+                lo = max(start - 2, 0)
+                blocks.append((start, splines._Block(y[lo:min(n, stop + 3)], lo, start, stop, n)))
+            ends = splines.join_borders(pd.DataFrame([{"block": b, **x.border()} for b, (_, x) in enumerate(blocks)])) if count > 1 else pd.DataFrame({"own": [0.0], "after": [0.0]})
+            for b, (start, x) in enumerate(blocks):
+                got = x.slopes(ends["own"].iloc[b], ends["after"].iloc[b])
+                assert np.allclose(got, want[start:start + len(got)], atol=1e-12)
