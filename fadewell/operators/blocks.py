@@ -33,10 +33,10 @@ def quantiles(df: DataFrame, value: str, keys: list[str], probs: list[float]) ->
     or aggregation buffer ever holds the values of a group.
     """
     ranked = counted_ranks(df.filter(is_finite(value)), keys, value)
-    cells = ", ".join(f"named_struct('p_index', {j}, 'p', {float(p)!r}D)" for j, p in enumerate(probs))
+    listed = F.split(F.lit(",".join(repr(float(p)) for p in probs)), ",").cast("array<double>")  # one literal, folded once
     at = F.col("w.at")
-    placed = F.transform(F.expr(f"array({cells})"), lambda w: F.struct(
-        w["p_index"].alias("p_index"), w["p"].alias("p"), (1 + (F.col("n") - 1) * w["p"]).alias("at")))
+    placed = F.transform(listed, lambda p, j: F.struct(
+        j.alias("p_index"), p.alias("p"), (1 + (F.col("n") - 1) * p).alias("at")))
     inside = lambda rank: (rank > F.col("last") - F.col("c")) & (rank <= F.col("last"))
     near = F.filter(placed, lambda w: inside(F.floor(w["at"])) | inside(F.ceil(w["at"])))
     hits = ranked.select(*keys, "x", "c", "last", F.explode(near).alias("w"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import is_finite, power
 from .blocks import quantiles
-from .metrics import delay_spread, valid_path
+from .metrics import valid_path
 from .ordering import bounded_join, positions, running
 
 D = "dataset_id"
@@ -32,6 +32,7 @@ GRID = [j / 100 for j in range(101)]
 
 PIVOTS = 8
 CELL = 0.05  # decades per cell of the candidate index
+ALL_PAIRS = 64  # up to so many candidates per dataset an index costs more than it saves
 SLACK = 1e-9  # rounding that a bound may be off by
 
 
@@ -56,11 +57,32 @@ def parameter_grid(values: DataFrame, names: list[str]) -> DataFrame:
                        *[columns[p].alias(p) for p in names])
 
 
-def path_sums(cir: DataFrame, keys: list[str]) -> DataFrame:
+def path_moments(cir: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows, power, power times delay and times its square per (keys, t, path).
+
+    Path features and delay spreads are sums of these, so the observations are
+    read once for both; the functions below take such a table or observations.
+    """
+    p, d = power(), F.col("delay_s")
+    return cir.filter(valid_path()).groupBy(*keys, "t", "path").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(p).alias("sp"), F.sum(d * p).alias("sdp"), F.sum(d * d * p).alias("sddp"))
+
+
+def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows if "sddp" in rows.columns else path_moments(rows, keys)
+
+
+def path_sums(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Sums per (key, path) that can be added up over samples: rows, power, power times delay."""
-    p = power()
-    return cir.filter(valid_path()).groupBy(*keys, "path").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(p).alias("sp"), F.sum(F.col("delay_s") * p).alias("sdp"))
+    return _moments(rows, keys).groupBy(*keys, "path").agg(F.sum("n").alias("n"), F.sum("sp").alias("sp"), F.sum("sdp").alias("sdp"))
+
+
+def sample_spreads(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """RMS delay spread per snapshot, averaged per key."""
+    total, mean = F.sum("sp"), F.sum("sdp") / F.sum("sp")
+    spread = F.when(total > 0, F.sqrt(F.greatest(F.sum("sddp") / total - mean * mean, F.lit(0.0))))
+    by_time = _moments(rows, keys).groupBy(*keys, "t").agg(spread.alias("spread_s"))
+    return by_time.groupBy(*keys).agg(F.avg("spread_s").alias("spread_s")).filter("spread_s IS NOT NULL")
 
 
 def path_features(sums: DataFrame, keys: list[str]) -> DataFrame:
@@ -95,7 +117,8 @@ def build_targets(sums: DataFrame, spreads: DataFrame, keys: list[str]) -> tuple
 
 def known_targets(known: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Targets of whole datasets from their known region."""
-    return build_targets(path_sums(known, [D]), delay_spread(known, [D, "sample"]), [D])
+    moments = _moments(known, [D, "sample"])
+    return build_targets(path_sums(moments, [D]), sample_spreads(moments, [D, "sample"]), [D])
 
 
 def window_targets(cir: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -105,8 +128,9 @@ def window_targets(cir: DataFrame, members: DataFrame) -> tuple[DataFrame, DataF
     to the windows that hold the sample.
     """
     keys = [D, "window"]
-    sums = path_sums(cir, [D, "sample"]).join(members, [D, "sample"])
-    spreads = delay_spread(cir, [D, "sample"]).join(members, [D, "sample"])
+    moments = _moments(cir, [D, "sample"])
+    sums = path_sums(moments, [D, "sample"]).join(members, [D, "sample"])
+    spreads = sample_spreads(moments, [D, "sample"]).join(members, [D, "sample"])
     return build_targets(sums, spreads, keys)
 
 
@@ -122,7 +146,8 @@ def candidate_features(cand: DataFrame) -> DataFrame:
     A candidate without paths or without a finite spread has no row.
     """
     keys = [D, "candidate_id"]
-    q = quantiles(delay_spread(cand, [*keys, "sample"]), "spread_s", keys, GRID)
+    cand = _moments(cand, [*keys, "sample"])
+    q = quantiles(sample_spreads(cand, [*keys, "sample"]), "spread_s", keys, GRID)
     cell = F.array_sort(F.collect_list(F.struct("path", "delay_s", "power")))  # the paths of one instrument
     paths = path_features(path_sums(cand, keys), keys).groupBy(*keys).agg(cell.alias("_p"))
     return paths.join(_log_grid(q, keys, "q", "cq"), keys).select(
@@ -211,7 +236,7 @@ def with_pivots(candidates: DataFrame, pivots: int = PIVOTS) -> tuple[DataFrame,
 
 
 def best_candidates(targets: DataFrame, keys: list[str], candidates: DataFrame, pivots: int = PIVOTS,
-                    cell: float = CELL, count_pairs: bool = False) -> DataFrame:
+                    cell: float = CELL, count_pairs: bool = False, all_pairs: int = ALL_PAIRS) -> DataFrame:
     """Best candidate of each target: keys, candidate_id, total_score; ties go to the smaller id.
 
     Every target is scored against the pivots and against the candidates that
@@ -224,9 +249,16 @@ def best_candidates(targets: DataFrame, keys: list[str], candidates: DataFrame,
     than rounding, so the minimum is that of all pairs; where nothing fits well,
     nothing is excluded. Profile histograms lie on the target's own grid and have
     no common index. Minima are combined on the map side. With `count_pairs` the
-    column n_scored has the scored pairs.
+    column n_scored has the scored pairs. Up to `all_pairs` candidates are all
+    scored, with the same result.
     """
     features = ["window_s", "bins", "shares", "tq"]
+    candidates, targets = candidates.persist(), targets.persist()  # rows of features, read several times
+    sizes = candidates.groupBy(D).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("rows")).first()
+    if (sizes["most"] or 0) <= all_pairs:
+        scored = score_pairs(bounded_join(targets, candidates, [D], counted=sizes["rows"] or 0)).groupBy(*keys).agg(
+            F.min(F.struct("total_score", "candidate_id")).alias("_b"), F.count(F.lit(1)).alias("n_scored"))
+        return scored.select(*keys, "_b.candidate_id", "_b.total_score", *(["n_scored"] if count_pairs else []))
     placed, chosen = with_pivots(candidates, pivots)
     first_gap = F.floor(F.col("cd")[0] / cell)
     indexed = placed.withColumn("_cell", first_gap).persist()  # read for the cells' range and by both searches
@@ -334,8 +366,9 @@ def fit_windows(cir: DataFrame, members: DataFrame, cand: DataFrame, windows: Da
     candidate.
     """
     keys = [D, "window"]
-    targets = target_features(window_targets(cir, members), keys)
-    best = best_candidates(targets, keys, candidate_features(cand)).withColumnRenamed("total_score", "fit_score")
+    moments = _moments(cand, [D, "candidate_id", "sample"]).persist()
+    targets = target_features(window_targets(moments if cir is cand else cir, members), keys)
+    best = best_candidates(targets, keys, candidate_features(moments)).withColumnRenamed("total_score", "fit_score")
     labelled = bounded_join(best, parameters.select(D, "candidate_id", *names), [D, "candidate_id"], "left")
     ok = F.col("fit_score").isNotNull()
     for n in names:

@@ -76,8 +76,8 @@ FIT_SQL = f"""kn AS (SELECT 1 AS d1, * FROM cand WHERE sample%10=0), ca AS (SELE
 
 def known_and_candidates(spark, sf):
     """Every tenth sample is the known region; all other samples are candidate output."""
-    cand = views.cand(spark, sf)
-    return cand.filter(F.col("sample") % 10 == 0), cand.filter(F.col("sample") % 10 != 0)
+    moments = fit.path_moments(views.cand(spark, sf), [D, "candidate_id", "sample"]).persist()
+    return moments.filter(F.col("sample") % 10 == 0), moments.filter(F.col("sample") % 10 != 0)
 
 
 def fit_scores(spark, sf):

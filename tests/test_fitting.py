@@ -48,7 +48,7 @@ def all_pairs(candidates, targets):
 def test_pruned_search_finds_the_minimum_of_all_pairs(features, cell):
     candidates, targets = features
     want = {(r[D], r["window"]): (r["candidate_id"], r["total_score"]) for r in all_pairs(candidates, targets).collect()}
-    got = fit.best_candidates(targets, [D, "window"], candidates, cell=cell, count_pairs=True).collect()
+    got = fit.best_candidates(targets, [D, "window"], candidates, cell=cell, count_pairs=True, all_pairs=0).collect()
     assert {(r[D], r["window"]): (r["candidate_id"], r["total_score"]) for r in got} == want
     assert sum(r["n_scored"] for r in got) < (0.25 if cell < 1 else 1.2) * 120 * len(want)
 
@@ -58,16 +58,18 @@ def test_a_bound_that_excludes_nothing_scores_all(features):
     candidates, targets = features
     far = targets.withColumn("tq", F.transform("tq", lambda x: x + 6)).filter("window < 5")
     want = {(r[D], r["window"]): r["candidate_id"] for r in all_pairs(candidates, far).collect()}
-    assert {(r[D], r["window"]): r["candidate_id"] for r in fit.best_candidates(far, [D, "window"], candidates).collect()} == want
+    assert {(r[D], r["window"]): r["candidate_id"] for r in fit.best_candidates(far, [D, "window"], candidates, all_pairs=0).collect()} == want
 
 
 def test_few_and_no_candidates(features):
     candidates, targets = features
     few = candidates.filter("candidate_id < 3")
     want = {(r[D], r["window"]): r["candidate_id"] for r in all_pairs(few, targets).collect()}
-    assert {(r[D], r["window"]): r["candidate_id"] for r in fit.best_candidates(targets, [D, "window"], few).collect()} == want
-    assert fit.best_candidates(targets, [D, "window"], candidates.limit(0)).count() == 0
-    assert fit.best_candidates(targets.limit(0), [D, "window"], candidates).count() == 0
+    for limit in (0, 64):
+        best = fit.best_candidates(targets, [D, "window"], few, all_pairs=limit)
+        assert {(r[D], r["window"]): r["candidate_id"] for r in best.collect()} == want
+        assert fit.best_candidates(targets, [D, "window"], candidates.limit(0), all_pairs=limit).count() == 0
+        assert fit.best_candidates(targets.limit(0), [D, "window"], candidates, all_pairs=limit).count() == 0
 
 
 def test_kernel_against_one_pair_by_hand(spark):
