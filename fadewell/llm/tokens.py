@@ -3,7 +3,8 @@
 The vocabulary's pattern never lets a token reach over the place between a character that is not white
 space and one that is. A text is therefore cut there, each distinct piece is encoded once per worker, and
 the ids are joined; they are the ids of the whole text. Texts with white space beyond ASCII are encoded
-in one go, because there the tokenizer's and Python's ideas of white space differ.
+in one go, because there the tokenizer's and Python's ideas of white space differ, and so are texts that
+hold an added token (the end mark) literally: the tokenizer gives it its own id, as it does for whole texts.
 """
 
 from __future__ import annotations
@@ -47,7 +48,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: tokens that the tokenizer finds before its pattern cuts the text, such as an end mark written out
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
@@ -78,11 +80,15 @@ class Encoder:
         for i, ids in zip(rest, self._whole([pieces[i] for i in rest])):
             self.kept[keys[i]] = ids
 
+    def _uncut(self, text: str) -> bool:
+        """Texts that may have a token across a cut: other white space, or an added token written out."""
+        return (not text.isascii() and _OTHER_SPACE.search(text) is not None) or any(a in text for a in self.added)
+
     def ids(self, texts: list[str | None], group: int = 64) -> Iterator[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers; null: none."""
         for at in range(0, len(texts), group):
             part = texts[at : at + group]
-            keys = [[] if not t or (not t.isascii() and _OTHER_SPACE.search(t)) else _keys(t) for t in part]
+            keys = [[] if not t or self._uncut(t) else _keys(t) for t in part]
             found = [list(map(self.kept.get, k)) for k in keys]
             new = {k for ks, vs in zip(keys, found) if None in vs for k, v in zip(ks, vs) if v is None}
             if new:

@@ -48,9 +48,7 @@ def odd(spark):
 def whole_tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_path())
 
 
 def whole_ids(text):
@@ -65,6 +63,13 @@ def test_token_pieces_equal_whole_texts():
         assert ids == np.array(whole_ids(text), "<u4").tobytes(), repr(text)
 
 
+def test_literal_added_tokens():
+    mark = "<|endoftext|>"
+    texts = [mark, f"a {mark} b", f"{mark}{mark}", f"a{mark}", f"{mark} a", f"  {mark}\n", f"{mark}\t{mark}", "<|endoftext", f"é{mark}中"]
+    found = [np.frombuffer(raw, "<u4").tolist() for raw in encoder(tokenizer_path()).ids(texts)]
+    assert found == [whole_ids(t) for t in texts] and found[1] == [64, 220, 50256, 275]
+
+
 # --- 1 ---------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("bits", [False, True])
