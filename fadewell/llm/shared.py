@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 
 import numpy as np
@@ -62,6 +65,20 @@ class WordHashes(dict):
 #: One table per worker process for all operators, so its memory is held once.
 WORD_HASHES = WordHashes()
 
+#: Tables that a worker process keeps between tasks: word hashes, encoders.
+KEPT_TABLES: list[dict] = [WORD_HASHES]
+
+
+def keep_only(table: dict) -> None:
+    """Empty the tables of other stages: Spark reuses its Python workers, so they would stay until the end."""
+    others = [t for t in KEPT_TABLES if t is not table and t]
+    for t in others:
+        t.clear()
+    if others:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # give the memory back where the C library can
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
 
 def mixed(h: np.ndarray) -> np.ndarray:
     """A 64-bit finisher: every input bit reaches every output bit."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hamming import fingerprint_links
-from .shared import WORD_HASHES, gram_hashes, lower_words_of, mixed, scratch
+from .shared import WORD_HASHES, gram_hashes, keep_only, lower_words_of, mixed, scratch
 
 _AT_ONCE = 65_536  # hashes whose bits are counted at a time
 SKETCH = 64
@@ -122,6 +122,7 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFram
     schema = pa.schema([("doc_id", pa.int64()), ("content", pa.string()), ("fp", pa.int64()), ("sketch", pa.binary()), ("grams", pa.int64()), ("bits0", pa.int64()), ("bits1", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
+        keep_only(WORD_HASHES)
         for batch in batches:
             out = {n: [] for n in schema.names}
             out["doc_id"] = batch.column(0)

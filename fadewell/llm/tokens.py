@@ -15,6 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from .shared import KEPT_TABLES, keep_only
+
 PIECES_KEPT = 500_000  # encoded pieces a worker keeps, about 110 MB; beyond it the table starts anew
 _PIECES = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 _OTHER_SPACE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -103,10 +105,12 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+KEPT_TABLES.append(_ENCODERS)
 
 
 def encoder(path: str) -> Encoder:
     """One per worker process and vocabulary."""
+    keep_only(_ENCODERS)
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
