@@ -178,22 +178,30 @@ def qualification(sums: DataFrame, baselines: list[str], min_gain: float = 0.10,
                   min_wins: float = 0.60, max_ratio: float = 2.0) -> DataFrame:
     """Candidates against the best baseline: gain, group win rate, worst ratio, verdict.
 
-    `sums` are the validation error sums per (dataset, model, group); they are
-    kept, so the forecasts are read once.
+    `sums` are the validation error sums per (dataset, model, group) and, where
+    models have several runs, seed. Scores are averaged over seeds, overall and
+    per group. The best baseline is the least of a struct in the aggregate that
+    also gathers the models' scores, so nothing is joined back to choose it. The
+    sums are kept, so the forecasts are read once.
     """
     sums = sums.persist()
-    overall, by_group = score_of(sums, [D, "model"]), score_of(sums, [D, "model", "group_id"])
-    base = best_model(overall.filter(F.col("model").isin(baselines)), [D]).select(
-        D, F.col("model").alias("baseline"), F.col("nrmse").alias("base_score"))
-    cand = overall.filter(~F.col("model").isin(baselines)).join(base, D)
-    base_groups = by_group.join(base.select(D, F.col("baseline").alias("model")), [D, "model"]).select(
-        D, "group_id", F.col("nrmse").alias("base_nrmse"))
-    ratio = F.col("nrmse") / F.greatest(F.col("base_nrmse"), F.lit(1e-12))
-    wins = by_group.filter(~F.col("model").isin(baselines)).join(base_groups, [D, "group_id"]).groupBy(D, "model").agg(
+    runs = [D, "model", *(["seed"] if "seed" in sums.columns else [])]
+    score = F.struct("nrmse", "model")
+    models = score_of(sums, runs).groupBy(D, "model").agg(F.avg("nrmse").alias("nrmse"))
+    chosen = models.groupBy(D).agg(
+        F.min(F.when(F.col("model").isin(baselines), score)).alias("_base"),
+        F.collect_list(F.when(~F.col("model").isin(baselines), score)).alias("_models"))  # one entry per model
+    by_group = score_of(sums, [*runs, "group_id"]).groupBy(D, "group_id", "model").agg(F.avg("nrmse").alias("nrmse"))
+    of_group = by_group.groupBy(D, "group_id").agg(F.map_from_entries(F.collect_list(F.struct("model", "nrmse"))).alias("_of"))
+    rated = bounded_join(of_group, chosen, [D]).withColumn("_m", F.explode("_models"))
+    mine, theirs = F.try_element_at("_of", F.col("_m.model")), F.try_element_at("_of", F.col("_base.model"))
+    ratio = mine / F.greatest(theirs, F.lit(1e-12))
+    out = rated.groupBy(D, F.col("_m.model").alias("model"), F.col("_m.nrmse").alias("nrmse"),
+                        F.col("_base.model").alias("baseline"), F.col("_base.nrmse").alias("base_score")).agg(
         F.avg((ratio < 1).cast("double")).alias("win_rate"), F.max(ratio).alias("worst_ratio"))
     gain = 1 - F.col("nrmse") / F.greatest(F.col("base_score"), F.lit(1e-12))
-    out = cand.join(wins, [D, "model"]).withColumn("improvement", gain)
-    return out.withColumn("passed", (gain >= min_gain) & (F.col("win_rate") >= min_wins) & (F.col("worst_ratio") <= max_ratio))
+    passed = (gain >= min_gain) & (F.col("win_rate") >= min_wins) & (F.col("worst_ratio") <= max_ratio)
+    return out.withColumn("improvement", gain).withColumn("passed", passed)
 
 
 def selected_model(qualified: DataFrame) -> DataFrame:
@@ -293,16 +301,17 @@ def parameter_nrmse(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def bundle_summary(rows: DataFrame, scores: list[str]) -> DataFrame:
-    return rows.groupBy("task", "bundle").agg(F.count(F.lit(1)).alias("group_count"),
+    """Group count and mean scores per dataset, task and bundle."""
+    return rows.groupBy(D, "task", "bundle").agg(F.count(F.lit(1)).alias("group_count"),
                                               *[F.avg(s).alias(f"mean_{s}") for s in scores])
 
 
 def smallest_good_bundle(summary: DataFrame, score: str, tolerance: float = 0.05) -> DataFrame:
-    """Smallest bundle within the tolerance of the best score, per task."""
-    best = summary.groupBy("task").agg(F.min(score).alias("best"))
+    """Smallest bundle within the tolerance of the best score, per dataset and task."""
+    best = summary.groupBy(D, "task").agg(F.min(score).alias("best"))
     rank = F.substring("bundle", 2, 9).cast("int")
-    ok = summary.join(best, "task").filter(F.col(score) <= F.col("best") * (1 + tolerance))
-    return ok.groupBy("task").agg(
+    ok = summary.join(best, [D, "task"]).filter(F.col(score) <= F.col("best") * (1 + tolerance))
+    return ok.groupBy(D, "task").agg(
         F.min_by("bundle", rank).alias("selected_bundle"), F.first("best").alias("best_score"),
         F.min_by(score, rank).alias("selected_score"))
 

@@ -7,7 +7,7 @@ not gather its rows in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import (
@@ -17,10 +17,15 @@ from ..functions.scalars import (
 from . import signal
 from .blocks import weighted_histogram
 from .ordering import bounded_join, lagged, running
+from .rules import uniform_spacing
 
 D = "dataset_id"
 
 
+# Fixed value: the text of the error.
+INVALID_PATHS = "CIR power/delay values must be finite and nonnegative."
+
+
 def valid_path():
     return F.col("path_valid") & is_finite("delay_s")
 
@@ -153,8 +158,21 @@ def cir_to_ctf(cir: DataFrame, offsets_hz: list[float]) -> DataFrame:
     per observation and frequency shuffles.
     """
     cells = ", ".join(f"named_struct('f', {i}, 'hz', {float(x)!r}D)" for i, x in enumerate(offsets_hz))
-    f = F.expr(f"explode(array({cells}))")
-    rows = cir.filter("path_valid").select(D, "sample", "tx", "rx", "t", "re", "im", "delay_s", f.alias("g"))
+    return _rotated(cir, F.expr(f"array({cells})"))
+
+
+def cir_to_ctf_on_axis(cir: DataFrame, axis: DataFrame) -> DataFrame:
+    """The same on each dataset's own axis (dataset_id, f, offset_hz); adds the axis spacing.
+
+    The spacing is the median step of the axis itself. Datasets without an axis are left out.
+    """
+    steps = uniform_spacing(axis, [D], "offset_hz", "f").select(D, F.col("spacing").alias("spacing_hz"))
+    cells = axis.groupBy(D).agg(F.array_sort(F.collect_list(F.struct("f", F.col("offset_hz").alias("hz")))).alias("_axis"))
+    return bounded_join(_rotated(bounded_join(cir, cells, [D]), F.col("_axis")), steps, [D])
+
+
+def _rotated(cir: DataFrame, grid: Column) -> DataFrame:
+    rows = cir.filter("path_valid").select(D, "sample", "tx", "rx", "t", "re", "im", "delay_s", F.explode(grid).alias("g"))
     angle = -2 * F.pi() * F.col("g.hz") * F.col("delay_s")
     c, s = F.cos(angle), F.sin(angle)
     return rows.groupBy(D, "sample", "tx", "rx", "t", F.col("g.f").alias("f")).agg(
@@ -182,6 +200,12 @@ def frequency_axis(datasets: DataFrame) -> DataFrame:
     ).join(datasets.select(D, "center_hz"), D).withColumn("frequency_hz", F.col("center_hz") + F.col("offset_hz"))
 
 
+def time_axis(axis: DataFrame, interval_s: Column) -> DataFrame:
+    """Adds x, the given time_s or else the index times the interval, per dataset; and whether it was given."""
+    given = F.col("time_s").isNotNull()
+    return axis.withColumns({"x": F.coalesce("time_s", F.col("t") * interval_s), "explicit": given})
+
+
 def discrete_delay(n: int, spacing_hz: float):
     return F.col("tap") / F.lit(n * spacing_hz)
 
@@ -260,9 +284,12 @@ def frozen_grid_features(cir: DataFrame, keys: list[str], grid: DataFrame) -> Da
 
     Path power is summed and path delay averaged over all rows; the valid mask
     is not used. `grid` has dataset_id, finite_max, bins. Gives keys, bin
-    (0..bins, the last is overflow), pdp, rms_delay_s, overflow_fraction.
+    (0..bins, the last is overflow), pdp, rms_delay_s, overflow_fraction. A
+    path whose power or delay is negative or not finite is an error.
     """
-    paths = cir.groupBy(*keys, "path").agg(F.sum(power()).alias("p"), F.avg("delay_s").alias("d"))
+    sums = cir.groupBy(*keys, "path").agg(F.sum(power()).alias("p"), F.avg("delay_s").alias("d"))
+    sound = is_finite("p") & is_finite("d") & (F.col("p") >= 0) & (F.col("d") >= 0)
+    paths = sums.withColumn("d", F.when(sound, F.col("d")).otherwise(F.raise_error(F.lit(INVALID_PATHS)).cast("double")))
     eps = F.lit(2.220446049250313e-16)
     placed = bounded_join(paths, grid, [D]).withColumn(
         "bin", F.when(F.col("d") >= F.col("finite_max"), F.col("bins")).otherwise(

@@ -24,6 +24,26 @@ STANDARD_COUNT = {
     "wideband_dynamic_mimo": 9,
 }
 ADDITIONAL = {"delay_sample_heatmap"}
+# What a capability or a metric says, word for word.
+CAPABILITY_REASONS = {
+    "frequency": ("Frequency axis is available.", "Need Nf > 1 plus frequency_hz or center/subcarrier spacing."),
+    "time": ("Continuous time information is available.", "Need Nt > 1 plus time_s or snapshot_interval_s."),
+    "angle": ("Path angles or explicit ULA geometry are available.",
+              "Need CIR aoa_rad/aod_rad or explicit ULA geometry for angle-domain plots."),
+    "sample": ("Multiple samples are available.", "Need N_sample > 1 for an empirical distribution."),
+    "order": ("Samples have declared physical order.",
+              "Heatmaps need ordered sample semantics, not independent samples."),
+}
+NO_DELAY = "Need more than one valid path/tap and a physical delay definition."
+NO_CDF = "An empirical CDF requires at least two samples."
+NO_ARRAY = "Dimension-based angle plots require Tx > 1 or Rx > 1."
+NO_ANGLE = "Need explicit AoA/AoD or a complex array response with ULA geometry."
+NO_SPREAD = "Angular spread needs explicit path angles or valid beamspace spectra."
+NO_SPREAD_CDF = "Angular spread CDF requires at least two finite samples."
+NO_CORRELATION_ARRAY = "Spatial correlation requires Tx > 1 or Rx > 1."
+NO_CORRELATION = "Spatial correlation requires at least two channel observations."
+NO_HEATMAP_SAMPLES = "Heatmap requires N_sample > 1."
+NO_HEATMAP_ORDER = "Heatmap requires declared ordered sample semantics."
 UNITS = {"frequency": "Hz", "time": "s", "delay": "s", "position": "m", "angle": "rad", "power": "linear"}
 ORDERED_SEMANTICS = ["ordered_route", "ordered_time", "ordered_frequency", "other_ordered"]
 SEMANTICS = ["independent", *ORDERED_SEMANTICS]
@@ -164,7 +184,7 @@ def cir_rules(cir: DataFrame, metadata: DataFrame) -> DataFrame:
 # ---- capabilities ----------------------------------------------------------
 
 def capabilities(datasets: DataFrame) -> DataFrame:
-    """Capability flags and class per dataset.
+    """Capability flags, class and reasons per dataset; the has_* columns are what the flags are made of.
 
     Needs domain, n_tx, n_rx, n_f, n_path, n_t, n_sample, has_frequency_axis,
     has_time_axis, has_angles, tx_ula, rx_ula, sample_semantics.
@@ -187,24 +207,35 @@ def capabilities(datasets: DataFrame) -> DataFrame:
     }
     out = datasets.withColumns({**flags, "classification": classify(wide, time, array),
                                 "cdf_minimum_met": c("n_sample") >= 2, "cdf_recommended_met": c("n_sample") >= 20})
-    say = lambda ok, yes, no: F.when(ok, yes).otherwise(no)
-    return out.withColumns({
-        "frequency_reason": say(frequency, "Frequency axis is available.",
-                                "Need Nf > 1 plus frequency_hz or center/subcarrier spacing."),
-        "time_reason": say(time, "Continuous time information is available.",
-                           "Need Nt > 1 plus time_s or snapshot_interval_s."),
-        "angle_reason": say(angle, "Path angles or explicit ULA geometry are available.",
-                            "Need path angles or explicit ULA geometry for angle-domain plots."),
-        "sample_reason": say(many, "Multiple samples are available.", "Need N_sample > 1 for an empirical distribution."),
-        "order_reason": say(ordered, "Samples have declared physical order.",
-                            "Heatmaps need ordered sample semantics, not independent samples.")})
+    states = {"frequency": frequency, "time": time, "angle": angle, "sample": many, "order": ordered}
+    said = {f"{n}_reason": F.when(ok, CAPABILITY_REASONS[n][0]).otherwise(CAPABILITY_REASONS[n][1]) for n, ok in states.items()}
+    return out.withColumns({**said, "has_wideband": wide, "has_array": array, "has_angle": angle, "has_time": time,
+                            "has_samples": many, "has_order": ordered})
+
+
+def _why_not() -> dict[str, Column]:
+    """What each metric lacks first, from the columns of `capabilities`; null where it lacks nothing."""
+    lacks = lambda flag, text: F.when(~F.col(flag), text)
+    delay, array, time = lacks("has_wideband", NO_DELAY), lacks("has_array", NO_ARRAY), lacks("has_time", CAPABILITY_REASONS["time"][1])
+    return {
+        "power": F.lit(None).cast("string"), "pdp": delay,
+        "frequency_autocorrelation": lacks("frequency_autocorrelation", CAPABILITY_REASONS["frequency"][1]),
+        "delay_spread_cdf": F.coalesce(delay, lacks("has_samples", NO_CDF)),
+        "angular_power_spectrum": F.coalesce(array, lacks("has_angle", NO_ANGLE)),
+        "spatial_correlation": F.coalesce(lacks("has_array", NO_CORRELATION_ARRAY), lacks("spatial_correlation", NO_CORRELATION)),
+        "angular_spread_cdf": F.coalesce(lacks("angular_power_spectrum", NO_SPREAD), lacks("has_samples", NO_SPREAD_CDF)),
+        "doppler_power_spectrum": time, "time_autocorrelation": time,
+        "doppler_spread_cdf": F.coalesce(time, lacks("has_samples", NO_CDF)),
+        "delay_sample_heatmap": F.coalesce(delay, lacks("has_samples", NO_HEATMAP_SAMPLES), lacks("has_order", NO_HEATMAP_ORDER)),
+    }
 
 
 def metric_status(caps: DataFrame) -> DataFrame:
-    """Unpivot the flags: one row per dataset and metric."""
-    rows = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("available")) for m in METRICS]))
-    return caps.select(D, "classification", rows.alias("r")).select(D, "classification", "r.*").withColumn(
-        "reason", F.when(F.col("available"), "").otherwise(F.lit("capability missing")))
+    """Unpivot the flags: one row per dataset and metric, with what an unavailable metric lacks."""
+    why = _why_not()
+    rows = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("available"), F.coalesce(why[m], F.lit("")).alias("reason"))
+                               for m in METRICS]))
+    return caps.select(D, "classification", rows.alias("r")).select(D, "classification", "r.*")
 
 
 def pair_capabilities(cir_caps: DataFrame, ctf_caps: DataFrame) -> DataFrame:

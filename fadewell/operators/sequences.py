@@ -160,16 +160,18 @@ def long_targets(ex: DataFrame, params: list[str], column: str = "targets") -> D
 
 # ---- group split -----------------------------------------------------------
 
-def group_split(groups: DataFrame, order_key: str, fractions: tuple[float, float] = (0.70, 0.15)) -> DataFrame:
-    """Partition code per group (1 train, 2 validation, 3 test) in order of appearance.
+def group_split(groups: DataFrame, order_key: str, fractions: tuple[float, float] = (0.70, 0.15),
+                keys: list[str] | None = None) -> DataFrame:
+    """Partition code per group (1 train, 2 validation, 3 test) in order of appearance, in each dataset or other keys.
 
     `groups` has one row per group and is kept, since deriving it may read the
     whole sequence; one or two groups are special cases.
     """
+    keys = keys or [D]
     groups = groups.persist()
-    n, total, datasets = sized_groups(groups, [D])
-    ranked = positions(groups, [D], [order_key, "group_id"], order_key, "g", total=total)
-    sized = bounded_join(ranked, n, [D], counted=datasets)
+    n, total, datasets = sized_groups(groups, keys)
+    ranked = positions(groups, keys, [order_key, "group_id"], order_key, "g", total=total)
+    sized = bounded_join(ranked, n, keys, counted=datasets)
     t = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(fractions[0])))
     v = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(fractions[1])))
     short = F.col("n") - t - v < 1
@@ -181,7 +183,7 @@ def group_split(groups: DataFrame, order_key: str, fractions: tuple[float, float
         F.when(n == 1, 1).when(n == 2, F.when(g == 1, 1).otherwise(3))
         .when(g <= t2, 1).when(g <= t2 + v2, 2).otherwise(3)
     )
-    return sized.select(D, "group_id", "g", "n", code.alias("partition_code"))
+    return sized.select(*keys, "group_id", "g", "n", code.alias("partition_code"))
 
 
 def leaked_groups(split: DataFrame) -> DataFrame:
@@ -277,28 +279,41 @@ def scaled_windows(windows: DataFrame, stats: DataFrame, feature: str) -> DataFr
         "target", scale(F.col("target"))).drop("mu", "sd")
 
 
+def varied_windows(rows: DataFrame, group: list[str], pos: str, value: str, length: str, longest: int,
+                   horizon: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """sliding_windows with the window length in a column, at most `longest`; positions are dense in the group."""
+    wide = halo_blocks(rows, pos, after=longest + horizon - 1, block_rows=block_rows)
+    frame = Window.partitionBy(*group, "_block").orderBy(pos).rowsBetween(0, longest + horizon - 1)
+    ahead = F.col(length) + (horizon - 1)
+    return (
+        wide.withColumn("_seen", F.collect_list(value).over(frame))
+        .filter(F.col("_own") & (F.size("_seen") > ahead))
+        .select(*group, F.col(pos).alias("start_pos"), F.slice("_seen", F.lit(1), F.col(length)).alias("inputs"),
+                F.get("_seen", ahead).alias("target"), (F.col(pos) + ahead).alias("target_pos"))
+    )
+
+
 def temporal_experiment(rows: DataFrame, feature: str, pos: str, value: str, length: int = 10,
                         horizon: int = 1) -> tuple[DataFrame, DataFrame, int]:
     """Chronological windows scaled by the real training rows; also the stats and the longest window.
 
-    Each dataset has the window length that its own rows allow. Lengths are at most `length`, so datasets
-    of one length are windowed together and no loop runs over datasets.
+    Each dataset has the window length that its own rows allow, a column in one
+    plan. A dataset with too few rows for any window is left out; only if none
+    is long enough the call is an error.
     """
     sizes = rows.groupBy(D).agg(F.max(pos).alias("n"))
     t, v = F.floor(F.col("n") * 0.70), F.floor(F.col("n") * 0.15)
-    sized = sizes.select(D, F.least(F.lit(length), F.least(t, v, F.col("n") - t - v) - horizon).cast("int").alias("_length"))
-    lengths = sorted(r["_length"] for r in sized.select("_length").distinct().collect())
-    if not lengths or lengths[0] < 1:
+    fitting = F.least(F.lit(length), F.least(t, v, F.col("n") - t - v) - horizon).cast("int")
+    sized = sizes.select(D, fitting.alias("_length")).filter("_length >= 1").persist()
+    longest = sized.agg(F.max("_length")).first()[0]
+    if longest is None:
         raise ValueError(f"at least {3 * (horizon + 1)} snapshots are needed")
-    split = chronological_blocks(rows, [D], pos)
+    split = chronological_blocks(bounded_join(rows, sized, [D]), [D], pos)
     stats = feature_stats(split.filter("partition = 'train'"), feature, value)
-    placed = bounded_join(rows, sized, [D])
-    w = None
-    for size in lengths:
-        part = placed.filter(F.col("_length") == size).drop("_length")
-        one = chronological_windows(part, [D], [D, feature], pos, value, size, horizon)
-        w = one if w is None else w.unionByName(one)
-    return scaled_windows(w, stats, feature), stats, lengths[-1]
+    w = varied_windows(split, [D, feature, "partition"], "block_pos", value, "_length", longest, horizon)
+    offset = split.groupBy(D, "partition").agg(F.min(F.col(pos) - F.col("block_pos")).alias("_offset"))
+    placed = bounded_join(w, offset, [D, "partition"]).withColumn("target_index", F.col("target_pos") + F.col("_offset")).drop("_offset")
+    return scaled_windows(placed, stats, feature), stats, longest
 
 
 def merge_training(real: DataFrame, generated: DataFrame, generated_type: str = "synthetic_generated",

@@ -123,38 +123,69 @@ def combine_targets(parts: list[DataFrame], requested: list[str], optional: list
 
 
 def canonical_axes(rows: DataFrame, axes: list[str], value_columns: list[str]) -> DataFrame:
-    """Antenna x delay x snapshot table from at most three non-singleton axes, densely indexed."""
-    sizes = rows.agg(*[F.countDistinct(a).alias(a) for a in axes]).first().asDict()
-    kept = [a for a in axes if sizes[a] > 1]
-    if len(kept) > 3:
-        raise ValueError(f"{len(kept)} non-singleton axes; at most 3 are possible")
-    if len(kept) < 3:  # one axis is a delay vector, two are antenna x delay
-        names = {0: [], 1: ["delay"], 2: ["antenna", "delay"]}[len(kept)]
-    else:
-        names = ["antenna", "delay", "snapshot"]
-    for axis, name in zip(kept, names):
-        index = positions(rows.select(D, axis).distinct(), [D], [axis], axis, name)
-        rows = bounded_join(rows, index, [D, axis])
-    for name in ("antenna", "delay", "snapshot"):
-        if name not in names:
-            rows = rows.withColumn(name, F.lit(1).cast("long"))
-    return rows.select(D, "antenna", "delay", "snapshot", *value_columns)
+    """Antenna x delay x snapshot table from at most three non-singleton axes per dataset, densely indexed.
+
+    Each dataset has the layout that its own axis sizes give: one axis is the
+    delay, two are antenna and delay. The roles are a column made from those
+    sizes, so datasets of different layouts share one plan.
+    """
+    sizes = rows.groupBy(D).agg(*[F.countDistinct(a).alias(f"_n_{a}") for a in axes]).persist()
+    many = sum(((F.col(f"_n_{a}") > 1).cast("int") for a in axes), F.lit(0))
+    worst = sizes.select(D, many.alias("k")).filter("k > 3").orderBy(D).first()
+    if worst is not None:
+        raise ValueError(f"dataset {worst[D]} has {worst['k']} non-singleton axes; at most 3 are possible")
+    longest = sizes.agg(*[F.max(f"_n_{a}").alias(a) for a in axes]).first().asDict()
+    placed = bounded_join(rows, sizes, [D])
+    for a in axes:
+        if (longest[a] or 0) > 1:  # elsewhere the index is one in every dataset
+            index = positions(rows.select(D, a).distinct(), [D], [a], a, f"_i_{a}")
+            placed = bounded_join(placed, index, [D, a])
+        else:
+            placed = placed.withColumn(f"_i_{a}", F.lit(1).cast("long"))
+    roles = F.array_compact(F.array(*[F.when(F.col(f"_n_{a}") > 1, F.col(f"_i_{a}")) for a in axes]))
+    k = F.size("_roles")
+    at = lambda i: F.coalesce(F.get("_roles", F.lit(i)), F.lit(1).cast("long"))
+    return placed.withColumn("_roles", roles).select(
+        D, F.when(k >= 2, at(0)).otherwise(F.lit(1).cast("long")).alias("antenna"),
+        F.when(k >= 2, at(1)).otherwise(at(0)).alias("delay"), at(2).alias("snapshot"), *value_columns)
+
+
+# Recommended fields and texts of the record conversion.
+RECORD_FIELDS = ["alpha", "doa", "delay", "cir_e", "likelihood"]
+NO_CHANNEL = "No usable CIR, estimated CIR, or path amplitude is present."
+MISSING_FIELDS = "Missing recommended SAGE fields: "
 
 
 def flatten_records(records: DataFrame, keys: list[str], record: str) -> DataFrame:
     """Status and missing-field text of nested measurement records."""
-    recommended = ["alpha", "doa", "delay", "cir_e", "likelihood"]
-    lost = F.array_compact(F.array(*[F.when(F.col(f"{record}.{f}").isNull(), f) for f in recommended]))
+    lost = F.array_compact(F.array(*[F.when(F.col(f"{record}.{f}").isNull(), f) for f in RECORD_FIELDS]))
     usable = F.coalesce(*[F.col(f"{record}.{f}").cast("string") for f in ("cir", "cir_e", "alpha")]).isNotNull()
     return records.select(
         *keys, F.col(f"{record}.alpha").alias("alpha"), F.col(f"{record}.delay").alias("delay"),
         F.col(f"{record}.likelihood").alias("likelihood"),
         F.when(~usable, "FAIL").when(F.size(lost) > 0, "WARNING").otherwise("PASS").alias("validation_status"),
-        F.when(~usable, "No usable CIR, estimated CIR, or path amplitude is present.")
-        .when(F.size(lost) > 0, F.concat(F.lit("Missing recommended fields: "), F.array_join(lost, ", ")))
+        F.when(~usable, NO_CHANNEL)
+        .when(F.size(lost) > 0, F.concat(F.lit(MISSING_FIELDS), F.array_join(lost, ", ")))
         .otherwise("").alias("warning"))
 
 
+def with_record_ids(records: DataFrame, file_no: str, record_no: str) -> DataFrame:
+    """Adds record_id from the 1-based file and record numbers, and the warning under that id."""
+    ided = records.withColumn("record_id", F.format_string("sage_%04d_%04d", F.col(file_no).cast("long"), F.col(record_no).cast("long")))
+    return ided.withColumn("record_warning", F.when(F.col("warning") != "", F.concat_ws(": ", "record_id", "warning")).otherwise(""))
+
+
+def conversion_status(files: DataFrame, records: DataFrame, keys: list[str]) -> DataFrame:
+    """Per file: records, warnings and the worst status of its records; a file without records fails."""
+    worst = records.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("records"), F.count_if(F.col("warning") != "").alias("warnings"),
+        F.bool_or(F.col("validation_status") == "FAIL").alias("_f"), F.bool_or(F.col("validation_status") == "WARNING").alias("_w"))
+    zero = F.lit(0).cast("long")
+    return files.select(*keys).distinct().join(worst, keys, "left").select(
+        *keys, F.coalesce("records", zero).alias("records"), F.coalesce("warnings", zero).alias("warnings"),
+        F.when(F.col("records").isNull() | F.col("_f"), "FAIL").when(F.col("_w"), "WARNING").otherwise("PASS").alias("status"))
+
+
 def prediction_request(ex: DataFrame, params: list[str], task: str, layout: tuple[int, int, int]) -> DataFrame:
     """Target-free request rows: inputs in units, input index rebuilt from the target start."""
     left, right, target = layout

@@ -257,6 +257,43 @@ def _(spark, sf):
     return ev.selected_model(qualified(spark, sf)).select("selected", "reason")
 
 
+SEEDED_SQL = f"""{Z_SQL},
+pl AS (SELECT group_id, start_idx, step, param, max(CASE WHEN model='linear' THEN e END) AS l, max(CASE WHEN model='persistence' THEN e END) AS p FROM z GROUP BY 1,2,3,4),
+rn AS (SELECT group_id, 'linear' AS model, 0 AS seed, l AS e FROM pl UNION ALL SELECT group_id, 'persistence', 0, p FROM pl
+ UNION ALL SELECT group_id, 'mixed', s, l*(CAST(0.2 AS DOUBLE)+CAST(0.2 AS DOUBLE)*s)+p*(CAST(0.8 AS DOUBLE)-CAST(0.2 AS DOUBLE)*s) FROM pl, range(3) r(s)
+ UNION ALL SELECT group_id, 'damped', s, p*(CAST(0.7 AS DOUBLE)+CAST(0.1 AS DOUBLE)*s) FROM pl, range(3) r(s)),
+va AS (SELECT rn.* FROM rn JOIN split USING (group_id) WHERE partition_code=2),
+ov AS (SELECT model, avg(v) AS v FROM (SELECT model, seed, sqrt(avg(e*e)) AS v FROM va GROUP BY 1,2) GROUP BY 1),
+gs AS (SELECT model, group_id, avg(v) AS v FROM (SELECT model, group_id, seed, sqrt(avg(e*e)) AS v FROM va GROUP BY 1,2,3) GROUP BY 1,2),
+bs AS (SELECT model AS baseline, v AS bv FROM ov WHERE model IN ('persistence','linear') ORDER BY v, model LIMIT 1),
+ql AS (SELECT c.model, baseline, c.v, bv, avg(CASE WHEN g.v/greatest(h.v,1e-12)<1 THEN 1.0 ELSE 0 END) AS win, max(g.v/greatest(h.v,1e-12)) AS worst FROM ov c, bs, gs g, gs h
+  WHERE c.model IN ('mixed','damped') AND g.model=c.model AND h.model=baseline AND h.group_id=g.group_id GROUP BY 1,2,3,4)"""
+
+
+@query("g14_seed_qualification", "pseq", f"""WITH {SEEDED_SQL}
+SELECT model, baseline, {s6('v','nrmse')}, {s6('1-v/bv','improvement')}, {s6('win','win_rate')}, {s6('worst','worst_ratio')},
+ 1-v/bv>=CAST(0.1 AS DOUBLE) AND win>=CAST(0.6 AS DOUBLE) AND worst<=2 AS passed FROM ql""")
+def _(spark, sf):
+    """Two candidates of three seeds each against the better of two baselines, on the validation groups."""
+    seq = views.pseq(spark, sf)
+    ex = seqs.examples(seq, PARAMS, "extrapolation")
+    split = example_split(spark, sf, ex)
+    norm = seqs.fit_normalization(seq, PARAMS, train_groups(split))
+    held = ex.join(split.filter("partition_code = 2").select(D, "group_id"), [D, "group_id"], "left_semi")
+    scored = ev.with_z_error(fcst.forecast(held, PARAMS, "extrapolation", ("persistence", "linear")), norm)
+    of = lambda m: F.max(F.when(F.col("model") == m, F.col("z_err")))
+    both = scored.groupBy(D, "group_id", "start_idx", "step", "param").agg(of("linear").alias("l"), of("persistence").alias("p"))
+    run = lambda model, seed, e: F.struct(F.lit(model).alias("model"), F.lit(seed).alias("seed"), e.alias("z_err"))
+    linear, persistence = F.col("l"), F.col("p")
+    runs = [run("linear", 0, linear), run("persistence", 0, persistence)]
+    runs += [run("mixed", s, linear * (F.lit(0.2) + F.lit(0.2) * s) + persistence * (F.lit(0.8) - F.lit(0.2) * s)) for s in range(3)]
+    runs += [run("damped", s, persistence * (F.lit(0.7) + F.lit(0.1) * s)) for s in range(3)]
+    rows = both.select(D, "group_id", F.explode(F.array(*runs)).alias("r")).select(D, "group_id", "r.*")
+    q = ev.qualification(ev.error_sums(rows, [D, "model", "seed", "group_id"]), ["persistence", "linear"])
+    return q.select("model", "baseline", r6("nrmse", "nrmse"), r6("improvement", "improvement"), r6("win_rate", "win_rate"),
+                    r6("worst_ratio", "worst_ratio"), "passed")
+
+
 def truth_and_prediction(spark, sf):
     ex = pseq_examples(spark, sf)
     fc = fcst.forecast(ex, PARAMS, "extrapolation", ("persistence",))
@@ -350,7 +387,7 @@ def pair_scores(spark, sf):
     cir = views.cir(spark, sf).withColumn("pair_id", F.floor(F.col("sample") / 2)).withColumn("side", F.col("sample") % 2)
     grid = metrics.delay_grid(cir.filter("side = 0"))
     f = metrics.frozen_grid_features(cir, [D, "pair_id", "side"], grid)
-    return ev.profile_pair_scores(f.filter("side = 0"), f.filter("side = 1"), ["pair_id"], 64)
+    return ev.profile_pair_scores(f.filter("side = 0"), f.filter("side = 1"), [D, "pair_id"], 64)
 
 
 @query("g19_profile_pair_scores", "cir", f"""WITH {PAIR_SQL} SELECT pair_id, {s6('pdp_nrmse','pdp_nrmse')}, {s6('rms_err*1e9','rms_error_ns')}, {s6('t_over','truth_overflow')}, {s6('g_over','generated_overflow')} FROM sc""")

@@ -246,15 +246,14 @@ def _(spark, sf):
 @query("c21_ctf_dataset", "cir", f"""WITH {CTF_SQL}
 SELECT sample, f, {s6('(3e9+(f-3.5)*120000)/1e6','frequency_mhz')}, {s6('120','spacing_khz')}, {s6('10*log10(avg(re*re+im*im))','level_db')} FROM h GROUP BY 1,2""")
 def _(spark, sf):
-    offsets = metrics.centred_offsets(8, SUBCARRIER_HZ)
-    axis = [CARRIER_HZ + o for o in offsets]
-    gaps = sorted(b - a for a, b in zip(axis, axis[1:]))
-    spacing = gaps[len(gaps) // 2]
-    h = metrics.cir_to_ctf(views.cir(spark, sf), [a - CARRIER_HZ for a in axis])
-    hz = F.array(*[F.lit(a) for a in axis])
-    return h.groupBy("sample", "f").agg(F.avg(power()).alias("p")).select(
-        "sample", "f", r6(F.get(hz, F.col("f")) / 1e6, "frequency_mhz"),
-        r6(F.lit(spacing) / 1e3, "spacing_khz"), r6(db("p"), "level_db"))
+    cir = views.cir(spark, sf)
+    declared = cir.select(D).distinct().select(
+        D, F.lit(8).alias("n_f"), F.lit(SUBCARRIER_HZ).alias("spacing_hz"), F.lit(CARRIER_HZ).alias("center_hz"))
+    axis = metrics.frequency_axis(declared)
+    h = metrics.cir_to_ctf_on_axis(cir, axis)
+    mean = h.groupBy(D, "sample", "f").agg(F.avg(power()).alias("p"), F.first("spacing_hz").alias("spacing_hz"))
+    return mean.join(axis, [D, "f"]).select(
+        "sample", "f", r6(F.col("frequency_hz") / 1e6, "frequency_mhz"), r6(F.col("spacing_hz") / 1e3, "spacing_khz"), r6(db("p"), "level_db"))
 
 
 @query("c22_ctf_to_discrete_cir", "ctf", f"""WITH h AS ({IDFT_SQL})
@@ -280,11 +279,25 @@ m AS (SELECT median(d) AS m, max(abs(s)) AS top FROM b)
 SELECT CAST(count(*) AS BIGINT) AS n, {s6('max(m)*1e3','spacing_ms')}, min(d)>0 AND bool_and(d IS NULL OR abs(d-m)<=greatest(m*1e-6, 1e-15)) AS uniform FROM b, m""")
 def _(spark, sf):
     from ..operators import rules
-    axis = views.cir(spark, sf).groupBy(D, "t").agg(F.lit(None).cast("double").alias("time_s"))
-    axis = axis.withColumn("x", F.coalesce("time_s", F.col("t") * F.lit(SNAPSHOT_S)))
+    axis = metrics.time_axis(views.cir(spark, sf).groupBy(D, "t").agg(F.lit(None).cast("double").alias("time_s")), F.lit(SNAPSHOT_S))
     return rules.uniform_spacing(axis, [D], "x", "t").select("n", r6(F.col("spacing") * 1e3, "spacing_ms"), "uniform")
 
 
+@query("c24_explicit_time_axis", "cand", f"""WITH a AS (SELECT DISTINCT candidate_id, t FROM cand), x AS (SELECT candidate_id, t, candidate_id%3<>0 AS explicit,
+ CASE candidate_id%3 WHEN 1 THEN t*CAST(0.002 AS DOUBLE)+1 WHEN 2 THEN t*t*CAST(0.001 AS DOUBLE) ELSE t*CAST(0.001 AS DOUBLE) END AS s FROM a),
+b AS (SELECT *, s-lag(s) OVER (PARTITION BY candidate_id ORDER BY t) AS d FROM x), m AS (SELECT candidate_id, median(d) AS m FROM b GROUP BY 1)
+SELECT candidate_id AS dataset_id, explicit, CAST(count(*) AS BIGINT) AS n, {s6('any_value(m)*1e3','spacing_ms')}, coalesce(min(d)>0 AND bool_and(d IS NULL OR abs(d-m)<=greatest(m*1e-6, 1e-15)), false) AS uniform FROM b JOIN m USING (candidate_id) GROUP BY 1,2""")
+def _(spark, sf):
+    """Two of three datasets declare their times; one of those is not uniform."""
+    from ..operators import rules
+    k, t = F.col(D) % 3, F.col("t")
+    axis = views.cand(spark, sf).select(F.col("candidate_id").alias(D), "t").distinct().withColumn(
+        "time_s", F.when(k == 1, t * F.lit(0.002) + 1).when(k == 2, (t * t) * F.lit(0.001)))
+    axis = metrics.time_axis(axis, F.lit(SNAPSHOT_S))
+    u = rules.uniform_spacing(axis, [D], "x", "t")
+    return u.join(axis.select(D, "explicit").distinct(), D).select(D, "explicit", "n", r6(F.col("spacing") * 1e3, "spacing_ms"), "uniform")
+
+
 @query("c25_path_length_axis", "pseq", f"""WITH d AS (SELECT group_id, idx, sqrt(pow(DS_mu-lag(DS_mu) OVER w,2)+pow(KF_mu-lag(KF_mu) OVER w,2)) AS s
   FROM pseq WINDOW w AS (PARTITION BY group_id ORDER BY idx))
 SELECT group_id, idx, {s6('sum(coalesce(s,0)) OVER (PARTITION BY group_id ORDER BY idx)','x')} FROM d""")

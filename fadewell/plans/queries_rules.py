@@ -137,6 +137,19 @@ def _(spark, sf):
                     "available_additional")
 
 
+@query("b07_metric_reasons", "cand", f"""WITH {DIMS_SQL},
+m AS (SELECT cl.*, unnest(['power','pdp','frequency_autocorrelation','delay_spread_cdf','angular_power_spectrum','spatial_correlation','angular_spread_cdf','doppler_power_spectrum','time_autocorrelation','doppler_spread_cdf','delay_sample_heatmap']) AS metric,
+ unnest([1,2,3,4,5,6,7,8,9,10,11]) AS k, CASE WHEN NOT wide THEN '{rules.NO_DELAY}' END AS dl, CASE WHEN NOT has_time THEN 'Need Nt > 1 plus time_s or snapshot_interval_s.' END AS tm FROM cl)
+SELECT candidate_id AS dataset_id, metric, coalesce(CASE k WHEN 2 THEN dl WHEN 3 THEN 'Need Nf > 1 plus frequency_hz or center/subcarrier spacing.'
+ WHEN 4 THEN coalesce(dl, CASE WHEN n_sample<2 THEN '{rules.NO_CDF}' END) WHEN 5 THEN CASE WHEN NOT arr THEN '{rules.NO_ARRAY}' END
+ WHEN 6 THEN CASE WHEN NOT arr THEN '{rules.NO_CORRELATION_ARRAY}' WHEN n_t*n_sample<2 THEN '{rules.NO_CORRELATION}' END
+ WHEN 7 THEN CASE WHEN NOT arr THEN '{rules.NO_SPREAD}' WHEN n_sample<2 THEN '{rules.NO_SPREAD_CDF}' END WHEN 8 THEN tm WHEN 9 THEN tm
+ WHEN 10 THEN coalesce(tm, CASE WHEN n_sample<2 THEN '{rules.NO_CDF}' END)
+ WHEN 11 THEN coalesce(dl, CASE WHEN n_sample<2 THEN '{rules.NO_HEATMAP_SAMPLES}' WHEN NOT ordered THEN '{rules.NO_HEATMAP_ORDER}' END) END, '') AS reason FROM m""")
+def _(spark, sf):
+    return candidate_registry(spark, sf).select(D, "metric", "reason")
+
+
 @query("b08_visible_metrics", "cand", f"WITH {DIMS_SQL} SELECT dataset_id, metric FROM rg WHERE available AND (is_standard OR is_additional OR NOT standard_class)")
 def _(spark, sf):
     return rules.visible_metrics(candidate_registry(spark, sf)).select(D, "metric")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import r6
+from ..operators import corpora
 from ..operators import sequences as seqs
 from ..operators.ordering import keyed_positions, positions
 from ..operators.sequences import D
@@ -287,6 +288,46 @@ def _(spark, sf):
     return out
 
 
+NESTED_SQL = """bd AS (SELECT * FROM (VALUES ('P2',2),('P4',4),('P6',6),('P8',8)) v(bundle, size)),
+tk AS (SELECT * FROM (VALUES ('extrapolation',16),('interpolation',8)) v(task, lft)),
+sp AS (SELECT group_id, idx AS start_idx, count(*) OVER w AS n, min(level) OVER w AS lowest FROM pseq8 WINDOW w AS (PARTITION BY group_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+ne AS (SELECT task, lft, bundle, size, group_id, start_idx FROM sp JOIN bd ON size<=lowest, tk WHERE n=20),
+ng AS (SELECT task, bundle, size, group_id, row_number() OVER w AS g, count(*) OVER (PARTITION BY task, bundle) AS n FROM (SELECT DISTINCT task, bundle, size, group_id FROM ne) WINDOW w AS (PARTITION BY task, bundle ORDER BY group_id)),
+nc AS (SELECT *, greatest(1, floor(n*CAST(0.70 AS DOUBLE))) AS t, greatest(1, floor(n*CAST(0.15 AS DOUBLE))) AS v FROM ng),
+ns AS (SELECT task, bundle, size, group_id, CASE WHEN g<=t THEN 1 WHEN g<=t+v THEN 2 ELSE 3 END AS partition_code FROM nc),
+nm AS (SELECT task, bundle, i, avg(vals[i+1]) AS mean, stddev_samp(vals[i+1]) AS std, count(*) AS n_rows FROM pseq8 JOIN ns USING (group_id), range(8) r(i)
+  WHERE partition_code=1 AND level>=size AND i<size GROUP BY 1,2,3)"""
+
+
+def nested_corpus(spark, sf):
+    """Leveled rows, examples, split and normalization of the four bundles and both tasks."""
+    leveled = corpora.with_level(views.pseq8(spark, sf), seqs.PARAMETERS)
+    ex = corpora.nested_examples(leveled)
+    split = corpora.bundle_split(ex)
+    return ex, split, corpora.bundle_normalization(leveled, seqs.PARAMETERS, split)
+
+
+@query("f17_nested_bundles", "pseq8", f"""WITH {NESTED_SQL},
+tg AS (SELECT ne.task, ne.bundle, partition_code, start_idx, ne.group_id, p.idx, i, (vals[i+1]-mean)/std AS z FROM ne JOIN ns USING (task, bundle, group_id)
+  JOIN pseq8 p ON p.group_id=ne.group_id AND p.idx BETWEEN start_idx+lft AND start_idx+lft+3 JOIN nm ON nm.task=ne.task AND nm.bundle=ne.bundle)
+SELECT task, bundle, CAST(partition_code AS INTEGER) AS partition_code, count(DISTINCT (group_id, start_idx)) AS examples, {s6('avg(z)','mean_z')}, {s6('avg(z*z)','mean_zz')} FROM tg GROUP BY 1,2,3""")
+def _(spark, sf):
+    ex, split, norm = nested_corpus(spark, sf)
+    z = corpora.normalized_examples(ex, norm).join(split.drop("size", "g", "n"), [*corpora.KEYS, "group_id"])
+    total = lambda f: F.aggregate("targets", F.lit(0.0), lambda s, c: s + F.aggregate(c["values"], F.lit(0.0), f))
+    cells = F.sum(F.col("size") * F.size("targets"))
+    out = z.groupBy("task", "bundle", "partition_code").agg(
+        F.count(F.lit(1)).alias("examples"), (F.sum(total(lambda a, v: a + v)) / cells).alias("m"), (F.sum(total(lambda a, v: a + v * v)) / cells).alias("q"))
+    return out.select("task", "bundle", "partition_code", "examples", r6("m", "mean_z"), r6("q", "mean_zz"))
+
+
+@query("f17_bundle_normalization", "pseq8", f"""WITH {NESTED_SQL}
+SELECT task, bundle, ['DS_mu','KF_mu','DS_sigma','KF_sigma','r_DS','LNS_ksi','num_clusters','num_rays'][i+1] AS param, n_rows, {s6('mean','mean')}, {s6('std','std')} FROM nm""")
+def _(spark, sf):
+    norm = nested_corpus(spark, sf)[2]
+    return norm.select("task", "bundle", "param", F.col("rows").alias("n_rows"), r6("mean", "mean"), r6("std", "std"))
+
+
 @query("f18_group_catalogue", "pseq", """WITH g AS (SELECT group_id, row_number() OVER (ORDER BY group_id) AS group_index FROM (SELECT DISTINCT group_id FROM pseq)),
 c AS (SELECT * FROM (VALUES (0,'sub-6 GHz_UMa_LoS',3.5),(1,'sub-6 GHz_UMa_NLoS',3.5),(2,'sub-6 GHz_UMi_LoS',3.5),(3,'sub-6 GHz_UMi_NLoS',3.5),
  (4,'sub-6 GHz_RMa_LoS',3.5),(5,'sub-6 GHz_RMa_NLoS',3.5),(6,'sub-6 GHz_Indoor_LoS',3.5),(7,'sub-6 GHz_Indoor_NLoS',3.5),

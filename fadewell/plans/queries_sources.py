@@ -147,18 +147,63 @@ def _(spark, sf):
     return c.select("antenna", "delay", "snapshot", r6("re", "re"), r6("im", "im"))
 
 
+@query("a12_mixed_layouts", "ctf", f"""SELECT 'array' AS dataset_id, k%4+1 AS antenna, CAST(k//4+1 AS BIGINT) AS delay, obs+1 AS snapshot, {s6('re','re')}, {s6('im','im')} FROM ctf
+UNION ALL SELECT 'sweep', obs+1, k+1, 1, {s6('re','re')}, {s6('im','im')} FROM ctf WHERE obs<40
+UNION ALL SELECT 'line', 1, k+1, 1, {s6('re','re')}, {s6('im','im')} FROM ctf WHERE obs=7""")
+def _(spark, sf):
+    """Three, two and one axis in one table; each dataset keeps its own layout."""
+    v = views.ctf(spark, sf)
+    zero = F.lit(0)
+    side = lambda name, rows, tx, rx, path: rows.select(
+        F.lit(name).alias(D), tx.alias("tx"), rx.alias("rx"), path.alias("path"), zero.alias("t"), "obs", "re", "im")
+    k, obs = F.col("k"), F.col("obs")
+    mixed = side("array", v, zero, k % 4, F.floor(k / 4).cast("int")).withColumn("sample", obs).unionByName(
+        side("sweep", v.filter("obs < 40"), obs.cast("int"), zero, k).withColumn("sample", F.lit(0).cast("long"))).unionByName(
+        side("line", v.filter("obs = 7"), zero, zero, k).withColumn("sample", F.lit(0).cast("long")))
+    c = tensors.canonical_axes(mixed, ["tx", "rx", "path", "t", "sample"], ["re", "im"])
+    return c.select(D, "antenna", "delay", "snapshot", r6("re", "re"), r6("im", "im"))
+
+
 @query("a13_record_flattening", "", """WITH r AS (SELECT doc_id, doc_id%6 AS k FROM documents)
 SELECT doc_id, CASE WHEN k IN (4) THEN 'FAIL' WHEN k=0 THEN 'PASS' ELSE 'WARNING' END AS validation_status,
- CASE k WHEN 4 THEN 'No usable CIR, estimated CIR, or path amplitude is present.' WHEN 0 THEN '' WHEN 1 THEN 'Missing recommended fields: alpha' WHEN 2 THEN 'Missing recommended fields: doa' WHEN 3 THEN 'Missing recommended fields: delay, likelihood' ELSE 'Missing recommended fields: cir_e' END AS warning FROM r""")
+ CASE k WHEN 4 THEN 'No usable CIR, estimated CIR, or path amplitude is present.' WHEN 0 THEN '' WHEN 1 THEN 'Missing recommended SAGE fields: alpha' WHEN 2 THEN 'Missing recommended SAGE fields: doa' WHEN 3 THEN 'Missing recommended SAGE fields: delay, likelihood' ELSE 'Missing recommended SAGE fields: cir_e' END AS warning FROM r""")
 def _(spark, sf):
+    return record_rows(spark, sf, ["doc_id"]).select("doc_id", "validation_status", "warning")
+
+
+def record_rows(spark, sf, keys):
+    """One nested record per document; which fields are missing depends on its id."""
     k = F.col("doc_id") % 6
     size = F.col("n_chars").cast("double")
-    # Fields are missing depending on the document.
     record = F.struct(
         F.when(~k.isin(1, 4), size).alias("alpha"), F.when(k != 2, size).alias("doa"), F.when(k != 3, size).alias("delay"),
         F.when(~k.isin(4), size).alias("cir"), F.when(~k.isin(4, 5), size).alias("cir_e"), F.when(k != 3, size).alias("likelihood"))
-    rows = views.table(spark, sf, "documents").select("doc_id", record.alias("sage"))
-    return tensors.flatten_records(rows, ["doc_id"], "sage").select("doc_id", "validation_status", "warning")
+    docs = views.table(spark, sf, "documents").withColumns({
+        "file_no": F.floor(F.col("doc_id") / 3) + 1, "record_no": F.col("doc_id") % 3 + 1, "sage": record})
+    return tensors.flatten_records(docs, keys, "sage")
+
+
+RECORD_SQL = """r AS (SELECT doc_id, doc_id%6 AS k, doc_id//3+1 AS file_no, doc_id%3+1 AS record_no FROM documents),
+f AS (SELECT *, CASE WHEN k=4 THEN 'FAIL' WHEN k=0 THEN 'PASS' ELSE 'WARNING' END AS status,
+ CASE k WHEN 4 THEN 'No usable CIR, estimated CIR, or path amplitude is present.' WHEN 0 THEN '' WHEN 1 THEN 'Missing recommended SAGE fields: alpha' WHEN 2 THEN 'Missing recommended SAGE fields: doa' WHEN 3 THEN 'Missing recommended SAGE fields: delay, likelihood' ELSE 'Missing recommended SAGE fields: cir_e' END AS warning FROM r)"""
+
+
+@query("a13_record_warnings", "", f"""WITH {RECORD_SQL}
+SELECT printf('sage_%04d_%04d', file_no, record_no) AS record_id, CASE WHEN warning='' THEN '' ELSE printf('sage_%04d_%04d', file_no, record_no)||': '||warning END AS record_warning FROM f""")
+def _(spark, sf):
+    rows = record_rows(spark, sf, ["file_no", "record_no"])
+    return tensors.with_record_ids(rows, "file_no", "record_no").select("record_id", "record_warning")
+
+
+@query("a13_conversion_status", "", f"""WITH {RECORD_SQL}, fl AS (SELECT DISTINCT file_no FROM r UNION SELECT -1)
+SELECT fl.file_no, count(f.doc_id) AS records, CAST(coalesce(count_if(f.warning<>''), 0) AS BIGINT) AS warnings,
+ CASE WHEN count(f.doc_id)=0 OR bool_or(f.status='FAIL') THEN 'FAIL' WHEN bool_or(f.status='WARNING') THEN 'WARNING' ELSE 'PASS' END AS status FROM fl LEFT JOIN f USING (file_no) GROUP BY 1""")
+def _(spark, sf):
+    rows = record_rows(spark, sf, ["file_no"])
+    # one listed file has no record
+    listed = rows.select("file_no").distinct()
+    listed = listed.union(listed.agg(F.lit(-1).cast("long").alias("file_no")))
+    return tensors.conversion_status(listed, rows, ["file_no"]).select("file_no", "records", "warnings", "status")
 
 
 def archive_files(spark, sf):

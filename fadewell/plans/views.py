@@ -86,6 +86,16 @@ def pseq(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise("sa_fitted").alias("label_source"))
 
 
+def pseq8(spark: SparkSession, sf: str) -> DataFrame:
+    """V3 with all eight parameters; two of them are missing now and then."""
+    e = F.col("event_id")
+    return pseq(spark, sf).withColumns({
+        "DS_sigma": F.lit(0.1) + F.pmod(e, F.lit(17)) / 50, "KF_sigma": F.lit(1.0) + F.pmod(e, F.lit(13)) / 4,
+        "r_DS": F.lit(1.5) + (F.col("DS_mu") + 9) / 8, "LNS_ksi": F.when(F.pmod(e, F.lit(89)) != 0, F.lit(2.0) + (F.col("KF_mu") + 5) / 10),
+        "num_clusters": (F.lit(5) + F.pmod(e, F.lit(11))).cast("double"),
+        "num_rays": F.when(F.pmod(e, F.lit(97)) != 0, (F.lit(10) + F.pmod(e, F.lit(7))).cast("double"))})
+
+
 def dpsd(spark: SparkSession, sf: str) -> DataFrame:
     """Power profile in dBm (V4)."""
     return table(spark, sf, "embeddings").select(
@@ -144,6 +154,11 @@ SQL = {
   CASE WHEN value < 2 THEN 'FAIL' WHEN event_type = 'error' THEN 'WARNING' ELSE 'PASS' END AS quality_status,
   CASE WHEN event_type IN ('click','view') THEN 'generator_truth' WHEN event_type = 'purchase' THEN 'grid_fitted'
        ELSE 'sa_fitted' END AS label_source FROM events)""",
+    "pseq8": """pseq8 AS (SELECT *, CASE WHEN quality_status='FAIL' THEN 0 WHEN LNS_ksi IS NULL THEN 5 WHEN num_rays IS NULL THEN 7 ELSE 8 END AS level,
+  [DS_mu, KF_mu, DS_sigma, KF_sigma, r_DS, LNS_ksi, num_clusters, num_rays] AS vals FROM (SELECT *, CAST(0.1 AS DOUBLE) + (event_id%17)/CAST(50 AS DOUBLE) AS DS_sigma,
+  CAST(1 AS DOUBLE) + (event_id%13)/CAST(4 AS DOUBLE) AS KF_sigma, CAST(1.5 AS DOUBLE) + (DS_mu+9)/8 AS r_DS,
+  CASE WHEN event_id%89<>0 THEN CAST(2 AS DOUBLE) + (KF_mu+5)/10 END AS LNS_ksi, CAST(5+event_id%11 AS DOUBLE) AS num_clusters,
+  CASE WHEN event_id%97<>0 THEN CAST(10+event_id%7 AS DOUBLE) END AS num_rays FROM pseq))""",
     "dpsd": """dpsd AS (SELECT vec_id AS snapshot, CAST(b AS INTEGER) AS bin,
   CAST(-65 AS DOUBLE) + 10 * CAST(embedding[b+1] AS DOUBLE) AS dbm FROM embeddings, range(64) r(b))""",
     "cand": """cand AS (SELECT cir.*, s_nationkey AS candidate_id FROM cir JOIN supplier ON s_suppkey = sample)""",
@@ -153,7 +168,7 @@ files AS (SELECT file_id, path, size_bytes,
   coalesce(nullif(lower(regexp_extract(string_split(path, '/')[-1], '(\\.[A-Za-z0-9]+)$', 1)), ''), '(none)') AS extension,
   regexp_split_to_array(lower(path), '[/._-]') AS tokens FROM files0)""",
 }
-NEEDS = {"cand": ["cir"]}
+NEEDS = {"cand": ["cir"], "pseq8": ["pseq"]}
 
 
 def with_views(views: str, body: str) -> str:

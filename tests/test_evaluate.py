@@ -2,6 +2,8 @@ import math
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from fadewell.operators import evaluate as ev
 from fadewell.operators import fitting as fit
 
@@ -66,9 +68,12 @@ def test_pairs_round_half_to_even_and_report_misalignment(spark):
 
 
 def test_smallest_bundle_within_tolerance(spark):
-    s = spark.createDataFrame([("e", "P2", 1.2), ("e", "P4", 1.04), ("e", "P8", 1.0), ("i", "P2", 1.0)], "task string, bundle string, v double")
-    got = {r["task"]: r["selected_bundle"] for r in ev.smallest_good_bundle(s, "v").collect()}
-    assert got == {"e": "P4", "i": "P2"}
+    rows = [("d", "e", "P2", 1.2), ("d", "e", "P4", 1.04), ("d", "e", "P8", 1.0), ("d", "i", "P2", 1.0), ("f", "e", "P2", 5.0), ("f", "e", "P4", 6.0)]
+    s = spark.createDataFrame(rows, "dataset_id string, task string, bundle string, v double")
+    got = {(r["dataset_id"], r["task"]): r["selected_bundle"] for r in ev.smallest_good_bundle(s, "v").collect()}
+    assert got == {("d", "e"): "P4", ("d", "i"): "P2", ("f", "e"): "P2"}
+    means = {(r["dataset_id"], r["bundle"]): (r["group_count"], r["mean_v"]) for r in ev.bundle_summary(s.withColumn("task", F.lit("e")), ["v"]).collect()}
+    assert means["d", "P2"] == (2, 1.1) and means["f", "P2"] == (1, 5.0)
 
 
 # ---- candidate fitting -----------------------------------------------------
