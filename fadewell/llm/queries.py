@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fadewell.session import ensure_checkpoint_dir
 
-from . import decontaminate, embeddings, html, language, packing, planes, prefixtree, secrets, sharding, simhash, substrings, suffixes, whitening
+from . import decontaminate, embeddings, html, language, oracles, packing, planes, prefixtree, secrets, sharding, simhash, substrings, suffixes, whitening
 from .shared import table
 
 
@@ -86,5 +86,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op7_seed_and_extend, op8_simhash_windows, op9_nearest_centroid, op10_residual_packing, op11_ternary_trees, op12_two_stage_suffixes,
     op13_qdwh_whitening, pipeline)}
 
-#: Tokenizers, hashes and learned models are not in SQL; the tests compare with brute force.
-ORACLES: dict[str, str] = {}
+#: Tokenizers, XXH64, learned models and matrix functions are not in SQL; the tests compare those with brute force.
+ORACLES: dict[str, str] = {"op11_ternary_trees": oracles.PREFIX_TREE, "op12_two_stage_suffixes": oracles.SUFFIX_REPEATS}
