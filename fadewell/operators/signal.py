@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -191,19 +192,30 @@ def correlation_matrix(vectors: DataFrame, keys: list[str]) -> DataFrame:
         F.when(scale > 0, F.col("ci") / scale).otherwise(0.0).alias("im"))
 
 
-def _pieces_fft(batches, size: int, total: int, twiddle: bool):
-    """FFT of each sparse piece; used by the two passes of long_fft."""
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        x = np.zeros((len(pdf), size), dtype=complex)
-        for row, cells in enumerate(pdf["cells"]):
-            at = np.fromiter((c["at"] for c in cells), dtype=np.int64, count=len(cells))
-            x[row, at] = [complex(c["re"], c["im"]) for c in cells]
-        y = np.fft.fft(x, axis=1)
-        if twiddle:
-            y *= np.exp(-2j * np.pi * np.outer(pdf["piece"].to_numpy(), np.arange(size)) / total)
-        yield pd.DataFrame({"piece": pdf["piece"], "re": list(y.real), "im": list(y.imag)})
+FFT_VALUES = 2_000_000  # complex values of the pieces transformed at a time, 32 MB and as much again for the result
+
+
+def _pieces_fft(batches: Iterator[pa.RecordBatch], size: int, total: int, twiddle: bool) -> Iterator[pa.RecordBatch]:
+    """FFT of each sparse piece; used by the two passes of long_fft.
+
+    Cells are read as flat arrays and at most FFT_VALUES values, or one piece,
+    are held dense.
+    """
+    step = max(1, FFT_VALUES // size)
+    for batch in batches:
+        for first in range(0, batch.num_rows, step):
+            part = batch.slice(first, step)
+            cells, piece = part.column("cells"), part.column("piece").to_numpy()
+            flat = cells.flatten()
+            row = np.repeat(np.arange(len(cells)), np.diff(cells.offsets.to_numpy()))
+            x = np.zeros((len(cells), size), dtype=complex)
+            x[row, flat.field("at").to_numpy()] = flat.field("re").to_numpy() + 1j * flat.field("im").to_numpy()
+            y = np.fft.fft(x, axis=1)
+            if twiddle:
+                y *= np.exp(-2j * np.pi * np.outer(piece, np.arange(size)) / total)
+            ends = pa.array(np.arange(0, len(cells) * size + 1, size), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(v).ravel())) for v in (y.real, y.imag)]
+            yield pa.RecordBatch.from_arrays([part.column("piece"), *lists], names=["piece", "re", "im"])
 
 
 def long_fft(series: DataFrame, n: int) -> DataFrame:
@@ -211,7 +223,8 @@ def long_fft(series: DataFrame, n: int) -> DataFrame:
 
     `series` has a 0-based `k` with `re` and `im`. The transform is split into
     two passes over pieces of about sqrt(n) values with one shuffle each, so
-    no task holds the series.
+    no task holds the series. A task holds one Arrow batch of sparse pieces and
+    FFT_VALUES dense values.
     """
     nfft = next_pow2(n)
     first = 1 << ((nfft.bit_length() - 1) // 2)
@@ -219,7 +232,7 @@ def long_fft(series: DataFrame, n: int) -> DataFrame:
 
     def one_pass(df: DataFrame, size: int, twiddle: bool) -> DataFrame:
         packed = df.groupBy("piece").agg(F.collect_list(F.struct("at", "re", "im")).alias("cells"))
-        done = packed.mapInPandas(
+        done = packed.mapInArrow(
             lambda b: _pieces_fft(b, size, nfft, twiddle),
             "piece long, re array<double>, im array<double>")
         return done.select("piece", F.posexplode(F.arrays_zip("re", "im")).alias("q", "v")).select(

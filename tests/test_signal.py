@@ -74,3 +74,25 @@ def test_beam_peaks_at_the_arrival_angle(spark):
     v = spark.createDataFrame([("d", e.real.tolist(), e.imag.tolist())], "dataset_id string, re array<double>, im array<double>")
     top = signal.beam_power(v, ["dataset_id"], 0.5, list(range(-90, 91))).orderBy(F.desc("power")).first()
     assert top["angle"] == 25
+
+
+def test_long_fft_of_a_million_values_in_bounded_pieces(spark, monkeypatch):
+    """A million values; the dense block that a call holds stays within its limit."""
+    from pyspark.sql import functions as F
+
+    n = 1_000_000
+    s = spark.range(n).select(F.col("id").alias("k"), (F.pmod(F.col("id") * 7919, F.lit(1009)) / 1009 - 0.5).alias("re"), F.lit(0.0).alias("im"))
+    k = np.arange(n)
+    want = np.fft.fft((k * 7919 % 1009) / 1009 - 0.5, signal.next_pow2(n))
+    got = signal.long_fft(s, n).toPandas().sort_values("q")
+    assert np.allclose(got["re"].to_numpy() + 1j * got["im"].to_numpy(), want, atol=1e-6)
+    made = []
+    real = np.zeros
+    monkeypatch.setattr(signal, "FFT_VALUES", 4096)
+    monkeypatch.setattr(signal.np, "zeros", lambda shape, **k: (made.append(int(np.prod(shape))), real(shape, **k))[1])
+    import pyarrow as pa
+
+    cells = pa.array([[{"at": i, "re": 1.0, "im": 0.0}] for i in range(100)], pa.list_(pa.struct([("at", pa.int64()), ("re", pa.float64()), ("im", pa.float64())])))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100), pa.int64()), cells], names=["piece", "cells"])
+    out = list(signal._pieces_fft(iter([batch]), 1024, 1 << 20, True))
+    assert sum(b.num_rows for b in out) == 100 and max(made) <= 4096
