@@ -143,7 +143,7 @@ hi AS (SELECT *, prior IS NULL OR score<prior AS improved FROM hb)"""
 def history(spark, sf):
     """Example scores in order as the proposals of one search per group."""
     fc = pseq_forecast(spark, sf, models=("persistence",))
-    rows = fc.groupBy(D, "group_id", "start_idx").agg(F.sqrt(F.avg((F.col("predicted") - F.col("truth")) ** 2)).alias("score"))
+    rows = fc.groupBy(D, "group_id", "start_idx").agg(F.sqrt(F.avg((F.col("predicted") - F.col("truth")) ** 2)).alias("score")).persist()  # one row per example, counted and ranked
     ranked = positions(rows, [D, "group_id"], ["start_idx"], "start_idx", "i")
     return fit.search_history(ranked, [D, "group_id"], "i", "score")
 
