@@ -58,17 +58,17 @@ def standard_metrics(classification: str) -> list[str]:
 def axis_counts(cir: DataFrame, **facts: Column) -> DataFrame:
     """Number of values on each axis of each dataset, with additive facts.
 
-    The short axes are counted on their distinct combinations and the samples
-    on their own, so no row is copied once per axis. `facts` are counts; they
-    are added up.
+    One pass over the rows: the combinations of the short axes and the samples
+    are two grouping sets, which the map side reduces, so no row is copied once
+    per axis. `facts` are counts; they are added up.
     """
-    cells = cir.groupBy(D, "tx", "rx", "path", "t").agg(
-        F.count(F.lit(1)).alias("rows"), *[f.alias(n) for n, f in facts.items()])
-    short = cells.groupBy(D).agg(
-        *[F.countDistinct(c).alias(f"n_{c}") for c in ("tx", "rx", "path", "t")],
-        F.sum("rows").alias("rows"), *[F.sum(n).alias(n) for n in facts])
-    samples = cir.select(D, "sample").distinct().groupBy(D).agg(F.count(F.lit(1)).alias("n_sample"))
-    return short.join(samples, D)
+    axes = ["tx", "rx", "path", "t"]
+    cells = cir.groupingSets([[D, *axes], [D, "sample"]], D, *axes, "sample").agg(
+        (F.grouping("sample") == 0).alias("_is_sample"), F.count(F.lit(1)).alias("rows"), *[f.alias(n) for n, f in facts.items()])
+    once = lambda n: F.sum(F.when(~F.col("_is_sample"), F.col(n))).alias(n)
+    return cells.groupBy(D).agg(
+        *[F.countDistinct(F.when(~F.col("_is_sample"), F.col(c))).alias(f"n_{c}") for c in axes],
+        once("rows"), *[once(n) for n in facts], F.count_if("_is_sample").alias("n_sample"))
 
 
 def dataset_summary(cir: DataFrame) -> DataFrame:

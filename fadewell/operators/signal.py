@@ -40,14 +40,15 @@ def _matrices(pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
 
 
 def sum_over_rows(vectors: DataFrame, keys: list[str], outputs: list[str],
-                  kernel: Callable[[np.ndarray], list[np.ndarray]], width: int = 512) -> DataFrame:
+                  kernel: Callable[[np.ndarray], list[np.ndarray]], width: Callable[[int], int] | None = None) -> DataFrame:
     """Per-key sums of a row-wise kernel: keys, pos, n_rows, one column per output.
 
-    `width` is about the number of values the kernel makes per row; it sets how
-    many rows one call gets, so memory stays bounded.
+    `width` gives the number of values the kernel makes per row from the length
+    of its vector (about four times that length by default); it sets how many
+    rows one call gets, so memory stays bounded.
     """
     slim = vectors.select(*keys, "re", "im")
-    step = max(1, 4_000_000 // width)
+    width = width or (lambda n: max(512, 4 * n))
     fields = [slim.schema[k] for k in keys] + [T.StructField("n_rows", T.LongType())]
     fields += [T.StructField(o, T.ArrayType(T.DoubleType())) for o in outputs]
 
@@ -55,6 +56,7 @@ def sum_over_rows(vectors: DataFrame, keys: list[str], outputs: list[str],
         for pdf in batches:
             for part, x in _matrices(pdf):
                 index = pd.MultiIndex.from_frame(part[keys])
+                step = max(1, 4_000_000 // width(x.shape[1]))
                 for at in range(0, len(x), step):
                     codes, names = pd.factorize(index[at:at + step])
                     out = pd.DataFrame(list(names), columns=keys)
@@ -175,7 +177,7 @@ def correlation_matrix(vectors: DataFrame, keys: list[str]) -> DataFrame:
         size = np.full((len(x), outer.shape[1]), float(x.shape[1]))
         return [outer.real, outer.imag, size]
 
-    s = sum_over_rows(vectors, keys, ["cr", "ci", "elements"], kernel, width=4096)
+    s = sum_over_rows(vectors, keys, ["cr", "ci", "elements"], kernel, width=lambda n: 3 * n * n)
     e = F.round(F.col("elements") / F.col("n_rows")).cast("int")
     cells = s.select(*keys, F.floor(F.col("pos") / e).cast("int").alias("i"),
                      F.pmod(F.col("pos"), e).alias("j"), "n_rows",

@@ -126,3 +126,16 @@ def test_short_dataset_is_left_out(spark):
     assert rows(w) == rows(alone) and longest == 8
     with pytest.raises(ValueError):
         sequences.temporal_experiment(ramp("short", 4), "bin", "pos", "x")
+
+
+def test_axis_counts_read_the_rows_once(spark):
+    from fadewell.plans import views
+
+    cir = views.cir(spark, "/root/testdata/sf0.001")
+    counts = rules.axis_counts(cir, valid=F.count_if("path_valid"))
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    got, rows = counts.first(), cir.collect()
+    for name, axis in (("n_tx", "tx"), ("n_rx", "rx"), ("n_path", "path"), ("n_t", "t"), ("n_sample", "sample")):
+        assert got[name] == len({r[axis] for r in rows})
+    assert got["rows"] == len(rows) and got["valid"] == sum(r["path_valid"] for r in rows)
