@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import peak_db
 from ..operators import blocks, metrics, rules, signal
+from ..sources import bundles
 
 D = metrics.D
 
@@ -88,7 +89,7 @@ def characterize(cir: DataFrame, channel: DataFrame, power: DataFrame, caps: Dat
     status = rules.metric_status(caps)
     spread = metrics.delay_spread(cir).withColumn("ns", c("spread_s") * 1e9)
     delay_cdf = blocks.empirical_cdf(spread, "ns", [D])
-    channel = channel.persist()  # read by the time, antenna and frequency metrics
+    channel = bundles.shared_copy(channel, "channel")  # read by the time, antenna and frequency metrics
     vectors = complete_vectors(channel, "t")
     doppler = peak_db(metrics.doppler_spectrum(vectors, [D], spacing_s), "power", [D], "db")
     doppler_cdf = blocks.empirical_cdf(metrics.doppler_spread(vectors, [D, "sample"], spacing_s), "spread_hz", [D])

@@ -24,6 +24,12 @@ def write_table(df: DataFrame, folder: str, partition_by: list[str] | None = Non
     return folder
 
 
+def shared_copy(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read back: they cost no executor memory and outlive a lost executor."""
+    folder = write_table(df, scratch_folder(df.sparkSession, name))
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def write_bundle(folder: str, tables: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None) -> str:
     """One parquet folder per table."""
     for name, df in tables.items():
