@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import uuid
+from operator import itemgetter
 
 import numpy as np
 import xxhash
@@ -59,7 +60,9 @@ class WordHashes(dict):
     def of(self, words: list[bytes]) -> np.ndarray:
         if len(self) > MAX_WORDS_KEPT:
             self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        if len(words) < 2:
+            return np.array([self[w] for w in words], np.uint64)
+        return np.fromiter(itemgetter(*words)(self), np.uint64, len(words))
 
 
 #: One table per worker process for all operators, so its memory is held once.
