@@ -271,12 +271,12 @@ class Scanner:
         self.whole = [compiled([t], everywhere=False) for t in whole]
 
     @staticmethod
-    def _longest(a: Automaton, data: bytes, at: int) -> int:
-        """End of the longest match from `at`, or -1."""
+    def _longest(a: Automaton, data: bytes, at: int, stop: int) -> int:
+        """End of the longest match from `at` that ends at `stop` or before, or -1."""
         state, end, step, first_hit, dead = a.first, -1, a.next, a.first_hit, a.dead
         if state >= first_hit:
             end = at
-        for i in range(at, len(data)):
+        for i in range(at, stop):
             state = step[state + data[i]]
             if state >= first_hit:
                 end = i + 1
@@ -304,10 +304,10 @@ class Scanner:
         for at, state in reversed(self.places(data)):
             for r in self.begins.hits[state >> 8]:
                 if at >= free[r]:
-                    end = self._longest(self.whole[r], data, at)
+                    end = self._longest(self.whole[r], data, at, len(data))
                     free[r] = end
                     # ASCII values: bytes are characters
-                    if end - self._longest(self.before[r], data[:end], at) >= self.rules[r].least:
+                    if end - self._longest(self.before[r], data, at, end) >= self.rules[r].least:
                         found.append((at, r, end))
         if not found or len(data) == len(text):
             return found
