@@ -18,6 +18,7 @@ from .shared import bounded_batches
 DIMENSIONS = 4096
 PER_LANGUAGE = 1000  # about as many training texts of each language are taken at most
 CENTROIDS = 4
+LEAST_SHARE = 0.05  # of a language's training texts in each of its clusters
 GRAMS = (1, 2, 3)
 _CHARS_AT_ONCE = 1 << 20
 
@@ -59,6 +60,7 @@ class Model:
     centroids: np.ndarray  # unit rows
     owner: np.ndarray  # language of each centroid
     reach: np.ndarray  # cosine below which a text is rejected
+    sizes: np.ndarray  # training texts of each centroid
 
     def classify(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score in 0 to 1, rejected); "und" for a null text or one without a letter."""
@@ -72,15 +74,37 @@ class Model:
         return self.languages[self.owner[best]], score, score < self.reach[best]
 
 
-def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means; the first centres are mutually far texts, so a run repeats itself."""
-    centres = [_unit(x.mean(0))]
+def _clusters(x: np.ndarray, k: int, rounds: int = 12, least: float = LEAST_SHARE) -> np.ndarray:
+    """Spherical k-means from drawn texts, the far ones likelier; a fixed seed makes runs repeat.
+
+    A cluster with less than the share `least` of the texts is one odd text rather than a way of writing: its centre
+    goes to the largest cluster, which two of its texts part in two. What is still small in the end is left out.
+    """
+    rng = np.random.default_rng(len(x))
+    floor = max(1, int(least * len(x)))
+    chosen = [int(rng.integers(len(x)))]
     for _ in range(min(k, len(x)) - 1):
-        centres.append(x[int(np.argmin(np.max(x @ np.array(centres).T, axis=1)))])
-    c = np.array(centres)
-    for _ in range(rounds):
+        far = np.maximum(0.0, 1 - np.max(x @ x[chosen].T, axis=1)).astype(float)
+        if far.sum() < 1e-9:
+            break
+        chosen.append(int(rng.choice(len(x), p=far / far.sum())))
+    c = x[chosen]
+    for r in range(rounds):
         mine = np.argmax(x @ c.T, axis=1)
-        c = np.array([_unit(x[mine == j].mean(0)) if (mine == j).any() else c[j] for j in range(len(c))])
+        sizes = np.bincount(mine, minlength=len(c))
+        c = np.array([_unit(x[mine == j].mean(0)) if sizes[j] else c[j] for j in range(len(c))])
+        small, large = int(np.argmin(sizes)), int(np.argmax(sizes))
+        if sizes[small] < floor and sizes[large] >= 2 * floor and r < rounds - 4:
+            inside = x[mine == large]
+            pair = inside[rng.choice(len(inside), 2, replace=False)]
+            half = np.argmax(inside @ pair.T, axis=1) == 0
+            if half.any() and not half.all():
+                c[small], c[large] = _unit(inside[half].mean(0)), _unit(inside[~half].mean(0))
+    while len(c) > 1:
+        sizes = np.bincount(np.argmax(x @ c.T, axis=1), minlength=len(c))
+        if sizes.min() >= floor:
+            break
+        c = np.delete(c, int(np.argmin(sizes)), axis=0)
     return c
 
 
@@ -99,7 +123,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         empty = np.zeros((0, DIMENSIONS))
-        return Model((), np.zeros(DIMENSIONS), empty, np.zeros(0, int), np.zeros(0))
+        return Model((), np.zeros(DIMENSIONS), empty, np.zeros(0, int), np.zeros(0), np.zeros(0, int))
     share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))) for lang, n in counts.items()], F.lit(0.0))
     drawn = F.shiftrightunsigned(F.xxhash64("id", F.lit("language sample")), 11) / F.lit(2.0**53) < share
 
@@ -116,7 +140,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1
     x = _unit(x * idf)
     languages = tuple(sorted(set(names)))
-    parts, owner, reach = [], [], []
+    parts, owner, reach, sizes = [], [], [], []
     for k, lang in enumerate(languages):
         mine = x[names == lang]
         c = _clusters(mine, centroids)
@@ -124,9 +148,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         near = np.argmax(cos, axis=1)
         for j in range(len(c)):
             own = cos[near == j, j]
-            parts.append(c[j]), owner.append(k)
+            parts.append(c[j]), owner.append(k), sizes.append(len(own))
             reach.append((1 - slack) * float(np.quantile(own, 0.01)) if len(own) else 0.0)
-    return Model(languages, idf.astype(np.float32), np.array(parts, np.float32), np.array(owner), np.array(reach))
+    return Model(languages, idf.astype(np.float32), np.array(parts, np.float32), np.array(owner), np.array(reach), np.array(sizes))
 
 
 def classified(model: Model, text: Column) -> Column:
