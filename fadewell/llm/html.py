@@ -41,12 +41,12 @@ _NAMED = {
     "nav", "navbar", "navigation", "main-nav", "site-nav", "nav-menu", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "toc", "masthead", "site-header", "footer", "site-footer", "colophon",
     "sidebar", "aside", "rail", "widget", "widgets", "widget-area", "related-posts", "related-articles", "recommended", "share", "sharing", "share-buttons", "social-share",
     "cookie", "cookies", "cookie-notice", "cookie-banner", "cookie-consent", "consent", "gdpr", "popup", "modal", "newsletter", "newsletter-signup", "subscribe", "subscription", "signup", "login", "search-form",
-    "comment", "comments", "commentlist", "comment-list", "comments-area", "disqus", "respond", "toolbar",
+    "comment", "comments", "commentlist", "comment-list", "comments-area", "comment-section", "comments-section", "user-comments", "reader-comments", "disqus", "respond", "toolbar",
 }
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alertdialog", "toolbar"}
 #: Ids here are anchors of the text.
 _ANCHORS = {"h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "main"}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _RAW = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "math", "canvas", "object", "audio", "video")}
 
