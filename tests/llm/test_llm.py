@@ -6,6 +6,7 @@ import functools
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -116,6 +117,14 @@ def test_secret_automaton_random():
         assert [f for f in s.spans(text) if f[1] < 3] == brute_spans(text), text
 
 
+def test_many_secrets_take_linear_time():
+    text = "token = abcdefghijklmnop; " * 20_000
+    scan = secrets.Scanner(secrets.BASE_RULES)
+    begin = time.time()
+    assert len(scan.spans(text)) == 20_000 and time.time() - begin < 20
+    assert scan.spans(text[:2600]) == brute_spans(text[:2600])
+
+
 def test_secret_query(spark, odd, documents):
     for docs in (odd, documents):
         got = {(r["doc_id"], r["base_sha256"], r["n_assign"], r["n_access"], r["n_hex"]) for r in secrets.secret_spans(docs, more=()).collect()}
@@ -298,6 +307,16 @@ def test_names_do_not_take_main_text():
     assert kept("<p>Text<div class='ad wide'>no</div><div role=navigation>no</div><div id=cookie-notice>no</div><p hidden>no") == ["Text"]
 
 
+def test_quotes_and_reader_comments():
+    kept = lambda page: [t for _, t, prior in html.blocks(page) if prior >= 0]
+    assert kept("<article><p don't>one isn't two</p><p title='a > b' x=\"c > d\">three<p title='open>four</article>") == ["one isn't two", "three", "four"]
+    for name in ("comment-section", "user-comments", "reader-comments"):
+        assert kept(f"<main><p>Text<div class='{name}'><p>reply</div></main>") == ["Text"]
+    begin = time.time()
+    html.blocks("<p " + "a='b' " * 50_000)
+    assert time.time() - begin < 5
+
+
 def test_style_tree_removes_what_every_page_repeats(spark):
     rng = random.Random(6)
     page = lambda i: f"<body><div class='x1'>Welcome to our site</div><div class='x2'><p>{words(rng, 30)}</p><p>{words(rng, 20)}</p></div><div class='x3'>All rights</div></body>"
@@ -429,6 +448,24 @@ def test_language(spark):
     assert np.mean([r["rejected"] for r in got]) < 0.01
 
 
+def test_language_clusters(spark):
+    for sf in ("sf0.01", "sf0.1"):
+        model = language.train(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"))
+        for k, name in enumerate(model.languages):
+            mine = model.sizes[model.owner == k]
+            assert len(mine) >= 2 and mine.min() >= language.LEAST_SHARE / 2 * mine.sum(), (sf, name, mine)
+
+
+def test_clusters_find_what_was_mixed():
+    rng = np.random.default_rng(4)
+    centres = np.eye(4, 200)
+    x = np.concatenate([c + rng.normal(0, 0.03, (n, 200)) for c, n in zip(centres, (400, 60, 200, 100))] + [rng.normal(0, 1, (3, 200))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = language._clusters(x, 4)
+    assert (np.max(found @ centres.T, axis=0) > 0.97).all()
+    assert len(language._clusters(x[:1], 4)) == 1 and len(language._clusters(np.repeat(x[:1], 9, 0), 4)) == 1
+
+
 def test_language_edges(spark, odd):
     got = {r["doc_id"]: r for r in language.identify(odd).collect()}
     assert all(got[i]["lang_pred"] == "und" for i in (0, 1, 2))
@@ -499,3 +536,16 @@ def test_pipeline(spark):
     assert not any(brute_spans(r["text"]) for r in rows)
     out = corpus_pipeline.run(spark, SF).collect()
     assert {r["doc_id"] for r in out} == {r["doc_id"] for r in rows}
+
+
+def test_stages_keep_clashing_columns(spark, odd):
+    import corpus_pipeline
+
+    extra = ("gone_id", "GONE_ID_", "items", "rejected", "near", "item_id")
+    docs = odd.selectExpr("*", *(f"{i} `{c}`" for i, c in enumerate(extra)))
+    want = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, odd, SF).collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, SF).columns == docs.columns, name
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    assert {r["doc_id"] for r in kept} == want and all(r["gone_id"] == 0 for r in kept)
+    assert corpus_pipeline.pack_sequences(spark, docs, SF).count() > 0
