@@ -1,10 +1,11 @@
 """Best-fit packing of documents into sequences: hierarchical residual packing.
 
-Level 0 packs the pieces of each partition by best fit, largest first. Nearly full sequences are done. The
+Level 0 packs the pieces of each partition by best fit, largest first. Full sequences are done. The
 underfull ones of `fan_in` neighbours then meet in one task of the next level as items of their own, and so
 on up the tree. Two sequences of at most half the capacity would have been joined, so a task has at most one
-of those left; a larger one can only take in such small ones, so per fill it is enough to hand up as many
-as there are tasks below that could bring one. That bounds what goes up without losing a possible fit.
+of those left; a larger one can only take in such small ones. A task of the next level meets at most `fan_in`
+small ones, so each level above uses up at most `fan_in` sequences of one fill, and it is enough to hand up
+`fan_in` per fill for each level still to come. That bounds what goes up without losing a possible fit.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return place, offset
 
 
-def _pack_group(rows: pa.Table, level: int, task: int, capacity: int, full: int, fan_in: int) -> pa.Table:
+def _pack_group(rows: pa.Table, level: int, task: int, capacity: int, full: int, handed_up: int) -> pa.Table:
     """One task of a level: pieces with their current sequence and place in, packed again out."""
     length, offset = rows["length"].to_numpy(), rows["offset"].to_numpy()
     _, at = np.unique(rows["sequence_id"].to_numpy(), return_inverse=True)
@@ -81,29 +82,38 @@ def _pack_group(rows: pa.Table, level: int, task: int, capacity: int, full: int,
     place, shift = best_fit(sizes, capacity)
     fills = np.bincount(place, sizes).astype(np.int64)
     mine = place[at]
-    # at most fan_in sequences per fill go up: no more small ones can come to meet them
+    # the levels above bring at most handed_up small ones, so no more sequences of a fill can meet one
     order = np.argsort(fills, kind="stable")
     rank = np.empty(len(fills), np.int64)
     rank[order] = np.arange(len(fills)) - np.searchsorted(fills[order], fills[order], "left")
-    goes_up = (fills < full) & (rank < fan_in)
+    goes_up = (fills < full) & (rank < handed_up)
     out = {name: rows[name] for name in _PIECE_ARROW.names}
     out |= {"sequence_id": (level << 56) + (task << 32) + mine, "offset": offset + shift[at], "fill": fills[mine],
             "task": np.full(len(at), task, np.int64), "open": goes_up[mine]}
     return pa.table(out)
 
 
-def _packer(level: int, capacity: int, full: int, fan_in: int):
+def _packer(level: int, capacity: int, full: int, handed_up: int):
     def group(key, rows):
-        return _pack_group(rows, level, key[0].as_py(), capacity, full, fan_in)
+        return _pack_group(rows, level, key[0].as_py(), capacity, full, handed_up)
 
     return group
 
 
-def pack(spark: SparkSession, pieces: DataFrame, capacity: int = 1024, nearly_full: float = 0.999, fan_in: int = FAN_IN, items_per_task: int = ITEMS_PER_TASK) -> DataFrame:
+def levels_above(tasks: int, fan_in: int) -> int:
+    """Levels that follow one of so many tasks until a single task is left."""
+    levels = 0
+    while tasks > 1:
+        tasks, levels = -(-tasks // fan_in), levels + 1
+    return levels
+
+
+def pack(spark: SparkSession, pieces: DataFrame, capacity: int = 1024, nearly_full: float = 1.0, fan_in: int = FAN_IN, items_per_task: int = ITEMS_PER_TASK) -> DataFrame:
     """Pieces (token_pieces' columns) with sequence_id and offset; each piece once, offsets gapless from 0.
 
     Only lengths and keys are shuffled, dealt evenly by a hash of the whole row, so a hot document or source
-    spreads. The number of tasks follows the number of pieces; an empty table gives an empty result.
+    spreads. The number of tasks follows the number of pieces; an empty table gives an empty result. Sequences
+    filled to less than `nearly_full` may take in more; below 1 the last places of some stay free.
     """
     full = int(np.ceil(capacity * nearly_full))
     # of two equal rows the place in the file decides, so ids are unique
@@ -113,7 +123,7 @@ def pack(spark: SparkSession, pieces: DataFrame, capacity: int = 1024, nearly_fu
            .withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")))
     results, level = [], 0
     while True:
-        packed = scratch(spark, now.groupBy("task").applyInArrow(_packer(level, capacity, full, fan_in), _PACKED), "packed")
+        packed = scratch(spark, now.groupBy("task").applyInArrow(_packer(level, capacity, full, fan_in * levels_above(tasks, fan_in)), _PACKED), "packed")
         if tasks == 1:
             results.append(packed)
             break

@@ -512,6 +512,20 @@ def test_best_fit():
     assert packing.pack  # empty tables are covered below
 
 
+def test_packing_hands_up_enough(spark):
+    """20 sequences of one fill in one task, a small one that fits in a task of the next, second and third level."""
+    from pyspark.sql import functions as F
+
+    at = spark.range(2000).select("id", F.pmod(F.xxhash64("id", F.lit(0)), F.lit(8)).alias("task")).collect()
+    rows = {t: [r["id"] for r in at if r["task"] == t] for t in range(8)}
+    items = [(i, 700) for i in rows[0][:20]] + [(rows[t][0], 300) for t in (1, 2, 4)]
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
+    pieces = spark.createDataFrame([(i, 0, 0, n, 0, i) for i, n in items], schema)
+    out = packing.pack(spark, pieces, fan_in=2, items_per_task=3).collect()
+    assert len(out) == 23 and len({r["sequence_id"] for r in out}) == 20
+    assert sum(r["fill"] == 1000 for r in out) == 6
+
+
 def test_empty_tables(spark, odd):
     none = odd.limit(0)
     assert packing.pack_documents(spark, none, tokenizer_path()).count() == 0
