@@ -14,10 +14,11 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WORD_HASHES, bounded_batches, gram_hashes, lower_words_of, scratch
+from .shared import WORD_HASHES, bounded_batches, gram_hashes, keep_words, lower_words_of, scratch
 from .simhash import majority
 
 SHINGLE = 5
@@ -337,12 +338,11 @@ def item_shards(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
         yield Shard(sorted((r["id"], r["text"]) for r in rows.collect()))
         return
 
-    @F.pandas_udf("array<long>")
-    def distinct_grams(texts):
-        import pandas as pd
-
-        return pd.Series([np.unique(item_grams(t)).view(np.int64) for t in texts], dtype=object)
+    def distinct(texts: pa.Array) -> pa.Array:
+        keep_words()
+        return pa.array([np.unique(item_grams(t)).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
 
+    distinct_grams = F.arrow_udf(distinct, "array<long>")
     held = rows.withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards))).withColumn("grams", distinct_grams("text"))
     held = scratch(spark, held, "items")
     total = held.where(F.size("grams") > 0).count()
@@ -361,15 +361,14 @@ def found_in(shard: Shard, text: Column, radius: int = RADIUS, similarity: float
     """Column expression: the items found in each whole text; no shuffle of documents."""
     made: list[Index] = []
 
-    @F.pandas_udf(_MATCH)
-    def match(texts):
-        import pandas as pd
-
+    def match(texts: pa.Array) -> pa.Array:
+        keep_words()
         if not made:
             made.append(Index(shard.items, radius, similarity, shard.seen, shard.total))
-        return pd.Series([[{"item_id": i, "first_word": s, "similarity": v} for i, s, v in row] for row in made[0].matches(list(texts))], dtype=object)
+        rows = [[{"item_id": i, "first_word": s, "similarity": v} for i, s, v in row] for row in made[0].matches(texts.to_pylist())]
+        return pa.array(rows, pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int64()), ("similarity", pa.float64())])))
 
-    return match(text)
+    return F.arrow_udf(match, _MATCH)(text)
 
 
 def contaminated(

@@ -10,10 +10,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches
+from .shared import bounded_batches, keep_only
 
 DIMENSIONS = 4096
 PER_LANGUAGE = 1000  # about as many training texts of each language are taken at most
@@ -127,11 +128,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))) for lang, n in counts.items()], F.lit(0.0))
     drawn = F.shiftrightunsigned(F.xxhash64("id", F.lit("language sample")), 11) / F.lit(2.0**53) < share
 
-    @F.pandas_udf("binary")
-    def vector(texts):
-        import pandas as pd
+    def vectors(texts: pa.Array) -> pa.Array:
+        keep_only()
+        return pa.array([np.log1p(gram_counts(t)).astype(np.float16).tobytes() if t and has_letter(t) else None for t in texts.to_pylist()], pa.binary())
 
-        return pd.Series([np.log1p(gram_counts(t)).astype(np.float16).tobytes() if t and has_letter(t) else None for t in texts], dtype=object)
+    vector = F.arrow_udf(vectors, "binary")
 
     found = rows.where(drawn).select("lang", "id", vector("text").alias("v")).where("v is not null").collect()
     found.sort(key=lambda r: (r["lang"], r["id"]))
@@ -156,13 +157,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def classified(model: Model, text: Column) -> Column:
     """Column expression struct(lang_pred, score, rejected) of whole texts; no shuffle."""
 
-    @F.pandas_udf("lang_pred string, score double, rejected boolean")
-    def classify(texts):
-        import pandas as pd
+    def classify(texts: pa.Array) -> pa.Array:
+        keep_only()
+        kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
+        return pa.array([dict(zip(("lang_pred", "score", "rejected"), model.classify(t))) for t in texts.to_pylist()], kind)
 
-        return pd.DataFrame([model.classify(t) for t in texts], columns=["lang_pred", "score", "rejected"])
-
-    return classify(text)
+    return F.arrow_udf(classify, "lang_pred string, score double, rejected boolean")(text)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import scratch
+from .shared import keep_only, scratch
 from .tokens import encoder
 
 FAN_IN = 8
@@ -95,6 +95,7 @@ def _pack_group(rows: pa.Table, level: int, task: int, capacity: int, full: int,
 
 def _packer(level: int, capacity: int, full: int, handed_up: int):
     def group(key, rows):
+        keep_only()
         return _pack_group(rows, level, key[0].as_py(), capacity, full, handed_up)
 
     return group

@@ -15,10 +15,11 @@ import hashlib
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches
+from .shared import bounded_batches, keep_only
 
 
 @dataclass(frozen=True)
@@ -338,27 +339,27 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bounded_batches(docs.sparkSession)
     rules = BASE_RULES + more
 
-    @F.pandas_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
-    def scan(texts):
-        import pandas as pd
+    fields = [("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())]
 
+    def scanned(texts: pa.Array) -> pa.Array:
+        keep_only()
         s, out = scanner(rules), []
-        for text in texts:
+        for text in texts.to_pylist():
             found = s.spans(text)
             base = [f for f in found if f[1] < len(BASE_RULES)]
             named = [[f"{rules[r].kind}:{a}:{b}" for a, r, b in x] for x in (base, found)]
             out.append((*(sum(f[1] == k for f in base) for k in range(3)), hashlib.sha256(",".join(named[0]).encode()).hexdigest(), ",".join(named[1])))
-        return pd.DataFrame(out, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+        return pa.array([dict(zip((n for n, _ in fields), row)) for row in out], pa.struct(fields))
 
+    scan = F.arrow_udf(scanned, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
     return docs.select(F.col(id_col).alias("doc_id"), scan(F.col(text_col)).alias("f")).select("doc_id", "f.*")
 
 
 def redacted(text, mark: str = "[secret]", rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES):
     """Column expression: the text with every found span replaced; overlapping spans become one mark."""
 
-    @F.pandas_udf("string")
-    def replace(texts):
-        import pandas as pd
+    def replaced(texts: pa.Array) -> pa.Array:
+        keep_only()
 
         def one(t):
             out, at, s = [], 0, scanner(rules)
@@ -371,6 +372,6 @@ def redacted(text, mark: str = "[secret]", rules: tuple[Rule, ...] = BASE_RULES
                 at = max(at, b)
             return "".join([*out, t[at:]])
 
-        return pd.Series([one(t) for t in texts], dtype=object)
+        return pa.array([one(t) for t in texts.to_pylist()], pa.string())
 
-    return replace(text)
+    return F.arrow_udf(replaced, "string")(text)

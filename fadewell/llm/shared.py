@@ -72,8 +72,11 @@ WORD_HASHES = WordHashes()
 KEPT_TABLES: list[dict] = [WORD_HASHES]
 
 
-def keep_only(table: dict) -> None:
-    """Empty the tables of other stages: Spark reuses its Python workers, so they would stay until the end."""
+def keep_only(table: dict | None = None) -> None:
+    """Empty the tables of other stages: Spark reuses its Python workers, so they would stay until the end.
+
+    Every Python stage calls it, those without a table of their own too.
+    """
     others = [t for t in KEPT_TABLES if t is not table and t]
     for t in others:
         t.clear()
@@ -83,6 +86,16 @@ def keep_only(table: dict) -> None:
             ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """From the worker's own table: a nested function that names the table would carry a copy of it."""
+    return WORD_HASHES.of(words)
+
+
+def keep_words() -> None:
+    """Keep the worker's word hashes only."""
+    keep_only(WORD_HASHES)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A 64-bit finisher: every input bit reaches every output bit."""
     h = h ^ (h >> np.uint64(30))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hamming import fingerprint_links
-from .shared import WORD_HASHES, gram_hashes, keep_only, lower_words_of, mixed, scratch
+from .shared import WORD_HASHES, gram_hashes, keep_only, keep_words, lower_words_of, mixed, scratch, word_hashes
 
 _AT_ONCE = 65_536  # hashes whose bits are counted at a time
 SKETCH = 64
@@ -47,13 +47,11 @@ def shingle_fingerprint(text: str | None, k: int = 4, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4) -> DataFrame:
     """(doc_id, fp) of each row; no shuffle. Null or empty text: zero."""
 
-    @F.pandas_udf("long")
-    def fingerprint(texts):
-        import pandas as pd
-
-        values = np.array([shingle_fingerprint(t, k) for t in texts], np.uint64)
-        return pd.Series(values.view(np.int64))
+    def values(texts: pa.Array) -> pa.Array:
+        keep_only()
+        return pa.array(np.array([shingle_fingerprint(t, k) for t in texts.to_pylist()], np.uint64).view(np.int64))
 
+    fingerprint = F.arrow_udf(values, "long")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text_col)).alias("fp"))
 
 
@@ -122,13 +120,13 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFram
     schema = pa.schema([("doc_id", pa.int64()), ("content", pa.string()), ("fp", pa.int64()), ("sketch", pa.binary()), ("grams", pa.int64()), ("bits0", pa.int64()), ("bits1", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
-        keep_only(WORD_HASHES)
+        keep_words()
         for batch in batches:
             out = {n: [] for n in schema.names}
             out["doc_id"] = batch.column(0)
             for text in batch.column(1).to_pylist():
                 words = lower_words_of(text)
-                hashes = WORD_HASHES.of(words)
+                hashes = word_hashes(words)
                 out["content"].append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
                 fp = majority(np.unique(hashes))
                 out["fp"].append(fp - (1 << 64) if fp >> 63 else fp)
@@ -182,16 +180,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     nodes = items.dropDuplicates(["id"])
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
-    @F.pandas_udf("double")
-    def jaccard(left, right):
-        import pandas as pd
+    def similarities(left: pa.Array, right: pa.Array) -> pa.Array:
+        keep_words()
 
         def one(x, y):
             x, y = shingle_set(x, k), shingle_set(y, k)
             both = len(np.intersect1d(x, y, assume_unique=True))
             return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
-        return pd.Series([one(x, y) for x, y in zip(left, right)], dtype="float64")
+        return pa.array([one(x, y) for x, y in zip(left.to_pylist(), right.to_pylist())], pa.float64())
+
+    jaccard = F.arrow_udf(similarities, "double")
 
     def checked(edges: DataFrame) -> DataFrame:
         named = edges.select("a").union(edges.select(F.col("b").alias("a"))).distinct()

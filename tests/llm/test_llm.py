@@ -526,6 +526,39 @@ def test_packing_hands_up_enough(spark):
     assert sum(r["fill"] == 1000 for r in out) == 6
 
 
+def test_stages_release_kept_tables(spark):
+    """A stage without an encoder empties the encoders that an earlier stage left in the worker; a stage of words keeps the word hashes."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from fadewell.llm import shared
+
+    docs = spark.createDataFrame([(i, "plain words here", "en") for i in range(640)], "doc_id long, text string, lang string").repartition(64)
+    model = language.train(docs)
+    bench = spark.createDataFrame([(1, "one item of six plain words")], "item_id long, text string")
+
+    def left(x):
+        return pa.array([[len(shared.KEPT_TABLES[0]), len(shared.KEPT_TABLES[1])]] * len(x), pa.list_(pa.int64()))
+
+    def encode(x):
+        return pa.array([len(b) for b in encoder(tokenizer_path()).ids(x.to_pylist())], pa.int64())
+
+    def by_arrow(fn, kind):
+        return F.arrow_udf(fn, kind, F.ArrowUDFType.SCALAR)
+
+    stages = {
+        "language": lambda d: d.where(language.classified(model, F.col("text"))["lang_pred"] != ""),
+        "secrets": lambda d: d.withColumn("text", secrets.redacted(F.col("text"))),
+        "leaks": lambda d: decontaminate.without_leaks(d, bench),
+    }
+    for name, stage in stages.items():
+        docs.select(F.sum(by_arrow(encode, "long")("text"))).collect()
+        stage(docs).select(F.sum(F.length("text"))).collect()
+        held = [r["n"] for r in docs.select(by_arrow(left, "array<long>")("doc_id").alias("n")).collect()]
+        assert not any(encoders for _, encoders in held), name
+        assert any(words for words, _ in held) == (name == "leaks")
+
+
 def test_empty_tables(spark, odd):
     none = odd.limit(0)
     assert packing.pack_documents(spark, none, tokenizer_path()).count() == 0
