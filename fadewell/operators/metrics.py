@@ -154,11 +154,12 @@ def delay_sample_heatmap(cir: DataFrame) -> DataFrame:
 def cir_to_ctf(cir: DataFrame, offsets_hz: list[float]) -> DataFrame:
     """Sum of rotated path coefficients at each frequency offset.
 
-    Expanded rows meet the map-side aggregate in the same stage; only one row
-    per observation and frequency shuffles.
+    A row gets the sums of FREQUENCIES_AT_ONCE offsets side by side; only one such row per observation and
+    block of offsets shuffles.
     """
     cells = ", ".join(f"named_struct('f', {i}, 'hz', {float(x)!r}D)" for i, x in enumerate(offsets_hz))
-    return _rotated(cir, F.expr(f"array({cells})"))
+    grid = F.expr(f"array({cells})")
+    return _long_cells(_rotated(cir, grid), grid)
 
 
 def cir_to_ctf_on_axis(cir: DataFrame, axis: DataFrame) -> DataFrame:
@@ -168,16 +169,33 @@ def cir_to_ctf_on_axis(cir: DataFrame, axis: DataFrame) -> DataFrame:
     """
     steps = uniform_spacing(axis, [D], "offset_hz", "f").select(D, F.col("spacing").alias("spacing_hz"))
     cells = axis.groupBy(D).agg(F.array_sort(F.collect_list(F.struct("f", F.col("offset_hz").alias("hz")))).alias("_axis"))
-    return bounded_join(_rotated(bounded_join(cir, cells, [D]), F.col("_axis")), steps, [D])
+    sums = _rotated(bounded_join(cir, cells, [D]), F.col("_axis"))
+    h = _long_cells(bounded_join(sums, cells, [D]), F.col("_axis"))
+    return bounded_join(h, steps, [D])
+
+
+FREQUENCIES_AT_ONCE = 8
 
 
 def _rotated(cir: DataFrame, grid: Column) -> DataFrame:
-    rows = cir.filter("path_valid").select(D, "sample", "tx", "rx", "t", "re", "im", "delay_s", F.explode(grid).alias("g"))
-    angle = -2 * F.pi() * F.col("g.hz") * F.col("delay_s")
-    c, s = F.cos(angle), F.sin(angle)
-    return rows.groupBy(D, "sample", "tx", "rx", "t", F.col("g.f").alias("f")).agg(
-        F.sum(F.col("re") * c - F.col("im") * s).alias("re"),
-        F.sum(F.col("re") * s + F.col("im") * c).alias("im"))
+    """Sums of each observation in blocks of the grid: _block, _re and _im of its cells in order."""
+    blocks = F.when(F.size(grid) > 0, F.sequence(F.lit(0), F.floor((F.size(grid) - 1) / FREQUENCIES_AT_ONCE).cast("int")))
+    rows = cir.filter("path_valid").select(
+        D, "sample", "tx", "rx", "t", "re", "im", "delay_s", grid.alias("_grid"), F.explode(blocks).alias("_block"))
+    re, im = [], []
+    for i in range(FREQUENCIES_AT_ONCE):
+        angle = -2 * F.pi() * F.get("_grid", F.col("_block") * FREQUENCIES_AT_ONCE + i)["hz"] * F.col("delay_s")
+        c, s = F.cos(angle), F.sin(angle)
+        re.append(F.sum(F.col("re") * c - F.col("im") * s))
+        im.append(F.sum(F.col("re") * s + F.col("im") * c))
+    return rows.groupBy(D, "sample", "tx", "rx", "t", "_block").agg(F.array(*re).alias("_re"), F.array(*im).alias("_im"))
+
+
+def _long_cells(sums: DataFrame, grid: Column) -> DataFrame:
+    """One row per observation and grid cell."""
+    cells = F.slice(grid, F.col("_block") * FREQUENCIES_AT_ONCE + 1, FREQUENCIES_AT_ONCE)
+    return sums.select(D, "sample", "tx", "rx", "t", "_re", "_im", F.posexplode(cells).alias("_i", "_c")).select(
+        D, "sample", "tx", "rx", "t", F.col("_c.f").alias("f"), F.get("_re", F.col("_i")).alias("re"), F.get("_im", F.col("_i")).alias("im"))
 
 
 def narrowband(cir: DataFrame) -> DataFrame:

@@ -153,3 +153,21 @@ def test_bad_range_text_raises(spark):
     t = spark.createDataFrame([("g", "1:3:5")], "g string, text string")
     with pytest.raises(Exception, match="cannot parse range"):
         rules.parse_ranges(t, ["g"], "text").collect()
+
+
+def test_frequency_sums_shuffle_one_row_per_block(spark):
+    """11 offsets are two blocks: two summed rows per observation, and the values of a plain sum."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    paths = [("d", 0, 0, 0, t, 1.0 + t, 0.5 * p, p * 3e-8, p != 2) for t in range(2) for p in range(4)]
+    cir = spark.createDataFrame(paths, "dataset_id string, sample int, tx int, rx int, t int, re double, im double, delay_s double, path_valid boolean")
+    offsets = metrics.centred_offsets(11, 120e3)
+    grid = F.array(*[F.struct(F.lit(i).alias("f"), F.lit(x).alias("hz")) for i, x in enumerate(offsets)])
+    assert metrics._rotated(cir, grid).count() == 4
+    axis = spark.createDataFrame([("d", i, x) for i, x in enumerate(offsets)], "dataset_id string, f int, offset_hz double")
+    for h in (metrics.cir_to_ctf(cir, offsets), metrics.cir_to_ctf_on_axis(cir, axis)):
+        got = {(r["t"], r["f"]): complex(r["re"], r["im"]) for r in h.collect()}
+        want = {(t, f): sum(complex(p[5], p[6]) * np.exp(-2j * np.pi * x * p[7]) for p in paths if p[4] == t and p[8])
+                for t in range(2) for f, x in enumerate(offsets)}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
