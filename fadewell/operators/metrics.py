@@ -112,16 +112,19 @@ def doppler_spectrum(vectors: DataFrame, keys: list[str], spacing_s: float) -> D
         "frequency_hz", (F.col("q") - F.floor(F.col("nfft") / 2)) / (F.col("nfft") * F.lit(spacing_s)))
 
 
+def moment_spread(moments: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """RMS spread from the sums p, px and pxx of each key; keys without power are left out."""
+    mean = F.col("px") / F.col("p")
+    spread = F.sqrt(F.greatest(F.col("pxx") / F.col("p") - mean * mean, F.lit(0.0)))
+    return moments.filter("p > 0").select(*keys, spread.alias(out)).filter(F.col(out).isNotNull())
+
+
 def doppler_spread(vectors: DataFrame, keys: list[str], spacing_s: float) -> DataFrame:
-    spectrum = doppler_spectrum(vectors, keys, spacing_s)
-    return spectrum.groupBy(*keys).agg(
-        weighted_spread("frequency_hz", "power").alias("spread_hz")).filter("spread_hz IS NOT NULL")
+    return moment_spread(signal.doppler_moments(vectors, keys, spacing_s), keys, "spread_hz")
 
 
 def beam_spread(vectors: DataFrame, keys: list[str], spacing_wavelengths: float) -> DataFrame:
-    beams = signal.beam_power(vectors, keys, spacing_wavelengths, list(range(-90, 91)))
-    return beams.groupBy(*keys).agg(
-        weighted_spread(F.col("angle").cast("double"), "power").alias("spread_deg")).filter("spread_deg IS NOT NULL")
+    return moment_spread(signal.beam_moments(vectors, keys, spacing_wavelengths, list(range(-90, 91))), keys, "spread_deg")
 
 
 def delay_sample_heatmap(cir: DataFrame) -> DataFrame:

@@ -33,6 +33,54 @@ def unpack_axis(vectors: DataFrame, keys: list[str], axis: str) -> DataFrame:
         *keys, axis, F.col("v.re").alias("re"), F.col("v.im").alias("im"))
 
 
+def axis_vectors(rows: DataFrame, keys: list[str], inner: list[str], axis: str, places: str) -> DataFrame:
+    """Vectors along one inner axis of the cells of each row: keys, the other inner axes, re, im; no shuffle.
+
+    `cells` holds structs of the inner axes, re and im; `places` the sorted places of the axis, one list for
+    each value of the first key. Missing cells are zero; a place that a vector has twice is an error.
+    """
+    others = [k for k in inner if k != axis]
+    types = {f.name: f for f in rows.schema["cells"].dataType.elementType.fields}
+    numbers = T.ArrayType(T.DoubleType())
+    schema = T.StructType([*[rows.schema[k] for k in keys], *[types[k] for k in others], T.StructField("re", numbers), T.StructField("im", numbers)])
+
+    def run(batches):
+        for batch in batches:
+            cells = batch.column("cells")
+            flat, row = cells.flatten(), np.repeat(np.arange(len(cells)), np.diff(cells.offsets.to_numpy()))
+            if not len(row):
+                continue
+            named = [flat.field(k).dictionary_encode(null_encoding="encode") for k in others]
+            codes = [d.indices.to_numpy() for d in named]
+            order = np.lexsort([*codes[::-1], row])
+            new = np.ones(len(order), bool)
+            new[1:] = np.any([c[order][1:] != c[order][:-1] for c in (row, *codes)], axis=0)
+            vector = np.empty(len(order), np.int64)
+            vector[order] = np.cumsum(new) - 1
+            head = order[new]  # a cell of each vector
+            sets = batch.column(keys[0]).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            at, parts = flat.field(axis).to_numpy(zero_copy_only=False), [flat.field(c).fill_null(0.0).to_numpy() for c in ("re", "im")]
+            for one in np.unique(sets):
+                mine = np.flatnonzero(sets[row] == one)
+                grid = batch.column(places)[int(np.argmax(sets == one))].values.to_numpy()
+                found, local = np.unique(vector[mine], return_inverse=True)
+                slot = local.ravel() * len(grid) + np.searchsorted(grid, at[mine])
+                if len(np.unique(slot)) < len(slot):
+                    raise ValueError(f"an observation has a place of {axis} twice")
+                first = head[found]
+                ends = pa.array(np.arange(0, len(found) * len(grid) + 1, len(grid)), pa.int32())
+                lists = []
+                for p in parts:
+                    dense = np.zeros(len(found) * len(grid))
+                    dense[slot] = p[mine]
+                    lists.append(pa.ListArray.from_arrays(ends, pa.array(dense)))
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(k).take(pa.array(row[first])) for k in keys], *[d.dictionary.take(pa.array(c[first])) for d, c in zip(named, codes)], *lists],
+                    names=schema.names)
+
+    return rows.select(*keys, "cells", places).mapInArrow(run, schema)
+
+
 def _matrices(pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
     """Sub-frames of equal vector length with their complex matrix."""
     for _, part in pdf.groupby(pdf["re"].str.len(), sort=False):
@@ -119,6 +167,20 @@ def autocorrelation(vectors: DataFrame, keys: list[str]) -> DataFrame:
     ).withColumn("magnitude", F.hypot("re", "im"))
 
 
+def _periodograms(x: np.ndarray, demean: bool, hann: bool, shift: bool, nfft: int | None = None) -> np.ndarray:
+    n = x.shape[1]
+    w = np.ones(n)
+    if hann and n > 1:
+        w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / (n - 1))
+    if demean:
+        x = x - x.mean(axis=1, keepdims=True)
+    y = np.fft.fft(x * w, nfft or next_pow2(n), axis=1)
+    if shift:
+        y = np.fft.fftshift(y, axes=1)
+    p = np.abs(y) ** 2
+    return p / max(np.sum(w**2), np.finfo(float).eps) if hann else p
+
+
 def power_spectrum(vectors: DataFrame, keys: list[str], *, demean: bool, hann: bool,
                    shift: bool, nfft: int | None = None) -> DataFrame:
     """Mean power spectrum per key: q (0-based, shifted if asked), n, power.
@@ -126,20 +188,7 @@ def power_spectrum(vectors: DataFrame, keys: list[str], *, demean: bool, hann: b
     Zero-pads to nfft or to the next power of two; the window and its energy
     use the unpadded length.
     """
-    def kernel(x):
-        n = x.shape[1]
-        w = np.ones(n)
-        if hann and n > 1:
-            w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / (n - 1))
-        if demean:
-            x = x - x.mean(axis=1, keepdims=True)
-        y = np.fft.fft(x * w, nfft or next_pow2(n), axis=1)
-        if shift:
-            y = np.fft.fftshift(y, axes=1)
-        p = np.abs(y) ** 2
-        return [p / max(np.sum(w**2), np.finfo(float).eps) if hann else p]
-
-    s = sum_over_rows(vectors, keys, ["p"], kernel)
+    s = sum_over_rows(vectors, keys, ["p"], lambda x: [_periodograms(x, demean, hann, shift, nfft)])
     return s.select(*keys, F.col("pos").alias("q"), (F.col("p") / F.col("n_rows")).alias("power"))
 
 
@@ -152,21 +201,49 @@ def inverse_dft(vectors: DataFrame, keys: list[str]) -> DataFrame:
     return map_vectors(vectors, keys, lambda x: np.fft.ifft(x, axis=1))
 
 
-def beam_power(vectors: DataFrame, keys: list[str], spacing_wavelengths: float,
-               angles_deg: list[int]) -> DataFrame:
-    """Mean beamformed power of a uniform linear array per key and angle."""
+def _beams(x: np.ndarray, spacing_wavelengths: float, angles_deg: list[int]) -> np.ndarray:
     sines = np.sin(np.deg2rad(np.asarray(angles_deg, dtype=float)))
+    e = x.shape[1]
+    steer = np.exp(2j * np.pi * spacing_wavelengths * np.outer(np.arange(e), sines)) / np.sqrt(e)
+    return np.abs(x @ np.conj(steer)) ** 2
 
-    def kernel(x):
-        e = x.shape[1]
-        steer = np.exp(2j * np.pi * spacing_wavelengths * np.outer(np.arange(e), sines)) / np.sqrt(e)
-        return [np.abs(x @ np.conj(steer)) ** 2]
 
-    s = sum_over_rows(vectors, keys, ["p"], kernel)
+def beam_power(vectors: DataFrame, keys: list[str], spacing_wavelengths: float,
+               angles_deg: list[int]) -> DataFrame:
+    """Mean beamformed power of a uniform linear array per key and angle."""
+    s = sum_over_rows(vectors, keys, ["p"], lambda x: [_beams(x, spacing_wavelengths, angles_deg)])
     return s.select(*keys, (F.col("pos") + F.lit(int(angles_deg[0]))).alias("angle"),
                     (F.col("p") / F.col("n_rows")).alias("power"))
 
 
+def power_moments(vectors: DataFrame, keys: list[str], power: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Sums of p, p*x and p*x*x per key, as p, px and pxx; `power` gives the axis x and the powers p of each row.
+
+    The spectrum itself is as long as its axis; what leaves a batch is three numbers a key.
+    """
+    def kernel(v):
+        x, p = power(v)
+        return [(p @ x**i)[:, None] for i in range(3)]
+
+    return sum_over_rows(vectors, keys, ["p", "px", "pxx"], kernel)
+
+
+def doppler_moments(vectors: DataFrame, keys: list[str], spacing_s: float) -> DataFrame:
+    """Moments of the Hann-windowed periodogram over frequency."""
+    def power(x):
+        p = _periodograms(x, True, True, True)
+        nfft = p.shape[1]
+        return (np.arange(nfft) - nfft // 2) / (nfft * spacing_s), p
+
+    return power_moments(vectors, keys, power)
+
+
+def beam_moments(vectors: DataFrame, keys: list[str], spacing_wavelengths: float, angles_deg: list[int]) -> DataFrame:
+    """Moments of the beamformed power over angle."""
+    angles = np.asarray(angles_deg, dtype=float)
+    return power_moments(vectors, keys, lambda x: (angles, _beams(x, spacing_wavelengths, angles_deg)))
+
+
 def correlation_matrix(vectors: DataFrame, keys: list[str]) -> DataFrame:
     """E[x_i conj(x_j)] with unit diagonal: i, j, re, im; zero scale gives zero.
 

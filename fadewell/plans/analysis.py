@@ -19,17 +19,30 @@ def describe(cir: DataFrame, metadata: DataFrame) -> DataFrame:
         "n_f", F.coalesce("n_f", F.lit(1)))
 
 
-def complete_vectors(channel: DataFrame, axis: str) -> DataFrame:
+INNER = ["tx", "rx", "f", "t"]
+
+
+def sample_cells(channel: DataFrame) -> DataFrame:
+    """The channel with the cells of a sample in one row, as many as its instrument axes give.
+
+    Written to the shared folder: the vectors along every axis are cut from these rows without a shuffle.
+    """
+    cell = F.struct(*INNER, F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im"))
+    return bundles.shared_copy(channel.groupBy(D, "sample").agg(F.collect_list(cell).alias("cells")), "channel")
+
+
+def cell_vectors(packed: DataFrame, axis: str) -> DataFrame:
     """Vectors along one axis of the channel over all its places in the dataset; missing cells are zero.
 
     The places are those of one instrument axis, so their list is as small as one vector.
     """
-    keys = [D, *[k for k in ("sample", "tx", "rx", "f", "t") if k != axis]]
-    places = channel.groupBy(D).agg(F.array_sort(F.collect_set(axis)).alias("_places"))
-    cells = channel.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(axis, F.struct("re", "im").alias("c")))).alias("_cells"))
-    part = lambda name: F.transform("_places", lambda at: F.coalesce(
-        F.try_element_at("_cells", at)[name].cast("double"), F.lit(0.0))).alias(name)
-    return metrics.bounded_join(cells, places, [D]).select(*keys, part("re"), part("im"))
+    at = packed.select(D, F.explode(F.array_distinct(f"cells.{axis}")).alias("at"))
+    places = at.groupBy(D).agg(F.array_sort(F.collect_set("at")).alias("_places"))
+    return signal.axis_vectors(metrics.bounded_join(packed, places, [D]), [D, "sample"], INNER, axis, "_places")
+
+
+def complete_vectors(channel: DataFrame, axis: str) -> DataFrame:
+    return cell_vectors(sample_cells(channel), axis)
 
 
 def points(metric: str, df: DataFrame, x, y, series="") -> DataFrame:
@@ -38,31 +51,31 @@ def points(metric: str, df: DataFrame, x, y, series="") -> DataFrame:
                      x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
-def discrete_cir(ctf: DataFrame, step_hz: float) -> DataFrame:
-    """Delay taps of a frequency response as path rows without angles: path is the tap."""
+def discrete_cir(packed: DataFrame, step_hz: float) -> DataFrame:
+    """Delay taps of a frequency response (sample_cells) as path rows without angles: path is the tap."""
     keys = [D, "sample", "tx", "rx", "t"]
-    taps = signal.unpack_axis(signal.inverse_dft_shifted(complete_vectors(ctf, "f"), keys), keys, "path")
-    bins = ctf.groupBy(D).agg(F.countDistinct("f").alias("_n"))
+    transformed = signal.inverse_dft_shifted(cell_vectors(packed, "f"), keys).withColumn("_n", F.size("re"))  # a vector has all places
     none = F.lit(None).cast("double")
-    return metrics.bounded_join(taps, bins, [D]).select(
-        *keys, "path", "re", "im", (F.col("path") / (F.col("_n") * F.lit(step_hz))).alias("delay_s"),
-        F.col("re").isNotNull().alias("path_valid"), none.alias("aoa_rad"), none.alias("aod_rad"))
+    taps = transformed.select(*keys, "_n", F.posexplode(F.arrays_zip("re", "im")).alias("path", "v"))
+    return taps.select(
+        *keys, "path", "v.re", "v.im", (F.col("path") / (F.col("_n") * F.lit(step_hz))).alias("delay_s"),
+        F.col("v.re").isNotNull().alias("path_valid"), none.alias("aoa_rad"), none.alias("aod_rad"))
 
 
-def side_vectors(channel: DataFrame, caps: DataFrame, side: str, wanted) -> DataFrame:
+def side_vectors(packed: DataFrame, caps: DataFrame, side: str, wanted) -> DataFrame:
     """Antenna vectors of one side, for the datasets (one row each in caps) with a real array there."""
     some = caps.filter((F.col(f"n_{side}") > 1) & wanted).select(D)
-    return complete_vectors(channel, side).join(some, D, "left_semi")
+    return cell_vectors(metrics.bounded_join(packed, some, [D], "left_semi"), side)
 
 
-def angular_points(cir: DataFrame, channel: DataFrame, caps: DataFrame, element_wavelengths: float | None) -> list[DataFrame]:
+def angular_points(cir: DataFrame, packed: DataFrame, caps: DataFrame, element_wavelengths: float | None) -> list[DataFrame]:
     """Path angles where the dataset has them, else beams of each side with a declared linear array."""
     c = F.col
     spectra = [(metrics.path_angle_spectrum(cir), "angle_deg", "normalized_db")]
     spreads = [metrics.angular_spread(cir)]
     if element_wavelengths:
         for side in ("rx", "tx"):
-            rows = side_vectors(channel, caps, side, ~c("has_angles") & c(f"{side}_ula")).withColumn("series", F.lit(f"{side} beamspace"))
+            rows = side_vectors(packed, caps, side, ~c("has_angles") & c(f"{side}_ula")).withColumn("series", F.lit(f"{side} beamspace"))
             beams = signal.beam_power(rows, [D, "series"], element_wavelengths, list(range(-90, 91)))
             spectra.append((peak_db(beams, "power", [D, "series"], "db"), "angle", "db"))
             spreads.append(metrics.beam_spread(rows, [D, "series", "sample"], element_wavelengths))
@@ -71,26 +84,25 @@ def angular_points(cir: DataFrame, channel: DataFrame, caps: DataFrame, element_
         points("angular_spread_cdf", cdf.filter("n >= 2"), c("x"), c("y"), "series") for cdf in cdfs]
 
 
-def spatial_points(channel: DataFrame, caps: DataFrame) -> list[DataFrame]:
+def spatial_points(packed: DataFrame, caps: DataFrame) -> list[DataFrame]:
     """Magnitudes of the receive and the transmit correlation matrix; a series is one row of a matrix."""
     out = []
     for side in ("rx", "tx"):
-        m = signal.correlation_matrix(side_vectors(channel, caps, side, F.lit(True)), [D]).filter("n_rows >= 2")
+        m = signal.correlation_matrix(side_vectors(packed, caps, side, F.lit(True)), [D]).filter("n_rows >= 2")
         out.append(points("spatial_correlation", m.withColumn("series", F.concat(F.lit(f"{side} "), F.col("i").cast("string"))),
                           F.col("j"), F.hypot("re", "im"), "series"))
     return out
 
 
-def characterize(cir: DataFrame, channel: DataFrame, power: DataFrame, caps: DataFrame, *, spacing_s: float,
+def characterize(cir: DataFrame, packed: DataFrame, power: DataFrame, caps: DataFrame, *, spacing_s: float,
                  step_hz: float | None, element_wavelengths: float | None) -> tuple[DataFrame, DataFrame]:
-    """Points and registry from path rows, the channel over (sample, tx, rx, f, t), power per sample and flags."""
+    """Points and registry from path rows, the channel's sample_cells, power per sample and flags."""
     c = F.col
     caps = caps.persist()  # one row per dataset
     status = rules.metric_status(caps)
     spread = metrics.delay_spread(cir).withColumn("ns", c("spread_s") * 1e9)
     delay_cdf = blocks.empirical_cdf(spread, "ns", [D])
-    channel = bundles.shared_copy(channel, "channel")  # read by the time, antenna and frequency metrics
-    vectors = complete_vectors(channel, "t")
+    vectors = cell_vectors(packed, "t")
     doppler = peak_db(metrics.doppler_spectrum(vectors, [D], spacing_s), "power", [D], "db")
     doppler_cdf = blocks.empirical_cdf(metrics.doppler_spread(vectors, [D, "sample"], spacing_s), "spread_hz", [D])
     acf = signal.autocorrelation(vectors, [D])
@@ -100,22 +112,22 @@ def characterize(cir: DataFrame, channel: DataFrame, power: DataFrame, caps: Dat
         points("power", metrics.peak_normalized(power), c("sample"), c("normalized_db")),
         points("pdp", pdp, c("delay_s") * 1e9, c("normalized_db")),
         points("delay_spread_cdf", delay_cdf.filter("n >= 2"), c("x"), c("y")),
-        *angular_points(cir, channel, caps, element_wavelengths),
-        *spatial_points(channel, caps),
+        *angular_points(cir, packed, caps, element_wavelengths),
+        *spatial_points(packed, caps),
         points("doppler_power_spectrum", doppler, c("frequency_hz"), c("db")),
         points("time_autocorrelation", acf, c("lag") * spacing_s, c("magnitude")),
         points("doppler_spread_cdf", doppler_cdf.filter("n >= 2"), c("x"), c("y")),
         points("delay_sample_heatmap", heat, c("delay_s") * 1e9, c("normalized_db"), "sample"),
     ]
     if step_hz:
-        facf = signal.autocorrelation(complete_vectors(channel, "f"), [D])
+        facf = signal.autocorrelation(cell_vectors(packed, "f"), [D])
         parts.append(points("frequency_autocorrelation", facf, c("lag") * step_hz, c("magnitude")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     # The status has eleven rows per dataset.
     allowed = status.filter("available").select(D, "metric")
-    return out.join(allowed, [D, "metric"], "left_semi"), rules.metric_registry(status)
+    return metrics.bounded_join(out, allowed, [D, "metric"], "left_semi"), rules.metric_registry(status)
 
 
 def without_arrays(metadata: DataFrame) -> DataFrame:
@@ -137,7 +149,7 @@ def analyze(cir: DataFrame, metadata: DataFrame, *, spacing_s: float, offsets_hz
         metadata, element_wavelengths = without_arrays(metadata), None
     channel = metrics.cir_to_ctf(cir, offsets_hz) if offsets_hz else metrics.narrowband(cir).withColumn("f", F.lit(0))
     step = offsets_hz[1] - offsets_hz[0] if offsets_hz else None
-    return characterize(cir, channel, metrics.cir_power(cir), rules.capabilities(describe(cir, metadata)),
+    return characterize(cir, sample_cells(channel), metrics.cir_power(cir), rules.capabilities(describe(cir, metadata)),
                         spacing_s=spacing_s, step_hz=step, element_wavelengths=element_wavelengths)
 
 
@@ -152,5 +164,7 @@ def analyze_ctf(ctf: DataFrame, metadata: DataFrame, *, spacing_s: float, step_h
     dims = rules.axis_counts(ctf.withColumnRenamed("f", "path")).withColumnRenamed("n_path", "n_f")
     described = dims.join(metadata.drop("n_f"), D).withColumns(
         {"domain": F.lit("ctf"), "has_angles": F.lit(False), "n_path": F.lit(1)})
-    return characterize(discrete_cir(ctf, step_hz), ctf, metrics.ctf_power(ctf), rules.capabilities(described),
+    packed = sample_cells(ctf)
+    taps = bundles.shared_copy(discrete_cir(packed, step_hz), "taps")  # read by the delay metrics
+    return characterize(taps, packed, metrics.ctf_power(ctf), rules.capabilities(described),
                         spacing_s=spacing_s, step_hz=step_hz, element_wavelengths=element_wavelengths)

@@ -96,3 +96,33 @@ def test_long_fft_of_a_million_values_in_bounded_pieces(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(100), pa.int64()), cells], names=["piece", "cells"])
     out = list(signal._pieces_fft(iter([batch]), 1024, 1 << 20, True))
     assert sum(b.num_rows for b in out) == 100 and max(made) <= 4096
+
+
+def test_spread_per_sample_keeps_three_sums_and_matches_the_spectrum(vectors):
+    keys = ["dataset_id", "obs"]
+    sums = signal.beam_moments(vectors, keys, 0.5, list(range(-90, 91)))
+    assert sums.count() == len(X)  # one row a sample, not one for each angle
+    got = {r["obs"]: r["spread_deg"] for r in metrics.beam_spread(vectors, keys, 0.5).collect()}
+    angles = np.arange(-90, 91)
+    steer = np.exp(2j * np.pi * 0.5 * np.outer(np.arange(12), np.sin(np.deg2rad(angles)))) / np.sqrt(12)
+    for i in (0, 7, 39):
+        p = abs(X[i] @ steer.conj()) ** 2
+        mean = p @ angles / p.sum()
+        assert got[i] == pytest.approx(np.sqrt(p @ (angles - mean) ** 2 / p.sum()))
+
+
+def test_vectors_of_every_axis_come_from_packed_samples_without_a_shuffle(spark):
+    from pyspark.errors import PythonException
+
+    from fadewell.plans import analysis
+
+    cells = [("a", s, 0, r, f, t, float(100 * s + 10 * r + t), float(f)) for s in (1, 2) for r in (0, 1) for f in (3, 5) for t in (0, 2, 4) if (s, t) != (2, 2)]
+    rows = spark.createDataFrame([*cells, ("b", 1, None, 0, 0, 9, 7.0, None)], "dataset_id string, sample long, tx int, rx int, f int, t int, re double, im double")
+    packed = analysis.sample_cells(rows)
+    found = analysis.cell_vectors(packed, "t")
+    assert "Exchange hashpartitioning(dataset_id" not in found._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    got = {(r["dataset_id"], r["sample"], r["tx"], r["rx"], r["f"]): (r["re"], r["im"]) for r in found.collect()}
+    assert len(got) == 9 and got["a", 2, 0, 1, 5] == ([210.0, 0.0, 214.0], [5.0, 0.0, 5.0]) and got["b", 1, None, 0, 0] == ([7.0], [0.0])
+    assert {len(r["re"]) for r in analysis.cell_vectors(packed, "rx").filter("dataset_id = 'a'").collect()} == {2}
+    with pytest.raises(PythonException, match="twice"):
+        analysis.complete_vectors(rows.union(rows), "t").collect()
