@@ -228,12 +228,19 @@ def pair_table(truth: DataFrame, predicted: DataFrame, params: list[str], intege
     return wide(truth, "truth").join(wide(predicted, "predicted"), [D, "group_id", "start_idx", "step", "idx"])
 
 
+PAIR_KEYS = [D, "group_id", "start_idx", "step", "idx"]
+
+
+def pair_sides(truth: DataFrame, predicted: DataFrame) -> DataFrame:
+    """One row per key of either side with in_truth and in_predicted, from one aggregate of both."""
+    sides = [rows.select(*PAIR_KEYS, F.lit(a).alias("a"), F.lit(b).alias("b")) for rows, a, b in ((truth, True, False), (predicted, False, True))]
+    return sides[0].unionByName(sides[1]).groupBy(*PAIR_KEYS).agg(F.bool_or("a").alias("in_truth"), F.bool_or("b").alias("in_predicted"))
+
+
 def misaligned(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     """Keys that only one side has; empty when the sides align."""
-    keys = [D, "group_id", "start_idx", "step", "idx"]
-    a, b = truth.select(*keys).distinct(), predicted.select(*keys).distinct()
-    return a.exceptAll(b).withColumn("side", F.lit("truth")).unionByName(
-        b.exceptAll(a).withColumn("side", F.lit("predicted")))
+    return pair_sides(truth, predicted).filter("in_truth <> in_predicted").select(
+        *PAIR_KEYS, F.when(F.col("in_truth"), "truth").otherwise("predicted").alias("side"))
 
 
 def first_per_group(rows: DataFrame, group: str, order: list[str], n: int | None = None) -> DataFrame:

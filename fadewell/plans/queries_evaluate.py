@@ -318,9 +318,8 @@ def _(spark, sf):
 SELECT count(*) AS pair_keys, CAST(0 AS BIGINT) AS misaligned FROM (SELECT DISTINCT group_id, start_idx, step, idx FROM fc)""")
 def _(spark, sf):
     truth, predicted = truth_and_prediction(spark, sf)
-    keys = truth.select("group_id", "start_idx", "step", "idx").distinct().select(F.lit(1).alias("k"), F.lit(0).alias("m"))
-    bad = ev.misaligned(truth, predicted).select(F.lit(0).alias("k"), F.lit(1).alias("m"))
-    return keys.unionByName(bad).agg(F.sum("k").alias("pair_keys"), F.sum("m").alias("misaligned"))
+    return ev.pair_sides(truth, predicted).agg(
+        F.count_if("in_truth").alias("pair_keys"), F.count_if(F.col("in_truth") != F.col("in_predicted")).alias("misaligned"))
 
 
 @query("g16_independent_rows", "pseq", f"""WITH {FC_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY start_idx, step, param, model) AS rn FROM fc)

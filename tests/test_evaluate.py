@@ -110,3 +110,13 @@ def test_search_history_over_blocks(spark):
     assert [r["best"] for r in rows] == [5, 5, 4, 4, 4, 3, 3, 3]
     assert [r["improved"] for r in rows] == [True, False, True, False, False, True, False, False]
     assert [r["streak"] for r in rows] == [0, 1, 0, 1, 2, 0, 1, 2]
+
+
+def test_alignment_counts_keys_of_both_sides_in_one_shuffle(spark):
+    keys = "dataset_id string, group_id long, start_idx long, step int, idx long, value double"
+    truth = spark.createDataFrame([("d", 1, 1, s, 16 + s, float(v)) for s in range(4) for v in range(3)], keys)
+    predicted = spark.createDataFrame([("d", 1, 1, s, 16 + s, 0.0) for s in range(1, 4)] + [("d", 2, 1, 0, 16, 0.0), (None, 2, 1, 0, 16, 0.0)], keys)
+    bad = ev.misaligned(truth, predicted)
+    assert bad._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+    assert bad._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted((r["group_id"], r["step"], r["side"]) for r in bad.collect()) == [(1, 0, "truth"), (2, 0, "predicted"), (2, 0, "predicted")]
