@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ordering import bounded_join
 
@@ -240,32 +241,34 @@ def resample(rows: DataFrame, keys: list[str], pos: str, value: str, totals: Dat
     if most > OUT_ROWS:  # a short series can have many pieces, which would all lie in one task
         cut = cut.repartition(*keys, "block", "_k")
 
-    def evaluate(n: pa.Array, count: pa.Array, total: pa.Array, block: pa.Array, lo: pa.Array, own: pa.Array, after: pa.Array,
-                 k: pa.Array, stop: pa.Array, y: pa.Array) -> pa.Array:
-        found = []
-        for size, number, points, at_block, low, x, z, begin, end, values in _rows(n, count, total, block, lo, own, after, k, stop, y):
-            values = values.values.to_numpy()
-            a, b = _bounds(at_block, number, size, block_knots)
-            places = np.arange(begin, end)
-            at = places * ((size - 1) / max(points - 1, 1))
-            segment = np.minimum(np.floor(at), max(size - 2, 0))
-            mine = (segment >= a) & (segment < b)
-            places, at = places[mine], at[mine]
-            if size == 1:
-                made = np.full(len(at), values[0])
-            elif kind == "spline" and size < 4:
-                made = _short_series(values, at)
-            elif kind == "spline":
-                slopes = _Block(values, low, a, b, size).slopes(x or 0.0, z or 0.0)
-                made = _hermite(values[a - low : a - low + len(slopes)], slopes, at - a)
-            else:
-                made = _hermite(values, pchip_slopes(values, low == 0, low + len(values) == size), at - low)
-            found.append([{"k": p, "v": v} for p, v in zip((places + 1).tolist(), made.tolist())])
-        return pa.array(found, pa.list_(pa.struct([("k", pa.int64()), ("v", pa.float64())])))
-
-    kernel = F.arrow_udf(evaluate, "array<struct<k: bigint, v: double>>")
-    points = cut.withColumn("_p", F.explode(kernel("n", "blocks", "total", "block", "lo", "own", "after", "_k", "_stop", "y")))
-    return points.select(*keys, F.col("_p.k").alias(out), F.col("_p.v").alias(value))
+    inputs = ["n", "blocks", "total", "block", "lo", "own", "after", "_k", "_stop", "y"]
+    schema = T.StructType([*[cut.schema[k] for k in keys], T.StructField(out, T.LongType()), T.StructField(value, T.DoubleType())])
+
+    def evaluate(batches):
+        # the points of one piece leave before those of the next are made
+        for batch in batches:
+            for row, (size, number, points, at_block, low, x, z, begin, end, values) in enumerate(_rows(*(batch.column(c) for c in inputs))):
+                values = values.values.to_numpy()
+                a, b = _bounds(at_block, number, size, block_knots)
+                places = np.arange(begin, end)
+                at = places * ((size - 1) / max(points - 1, 1))
+                segment = np.minimum(np.floor(at), max(size - 2, 0))
+                mine = (segment >= a) & (segment < b)
+                places, at = places[mine], at[mine]
+                if size == 1:
+                    made = np.full(len(at), values[0])
+                elif kind == "spline" and size < 4:
+                    made = _short_series(values, at)
+                elif kind == "spline":
+                    slopes = _Block(values, low, a, b, size).slopes(x or 0.0, z or 0.0)
+                    made = _hermite(values[a - low : a - low + len(slopes)], slopes, at - a)
+                else:
+                    made = _hermite(values, pchip_slopes(values, low == 0, low + len(values) == size), at - low)
+                same = pa.array(np.full(len(places), row))
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(k).take(same) for k in keys], pa.array(places + 1, pa.int64()), pa.array(made, pa.float64())], names=schema.names)
+
+    return cut.select(*keys, *[c for c in inputs if c not in keys]).mapInArrow(evaluate, schema)
 
 
 def blend_on_common_grid(real: DataFrame, synthetic: DataFrame, feature: str, pos: str, value: str,

@@ -213,3 +213,18 @@ def test_partitioned_solve_equals_the_whole_one():
             for b, (start, x) in enumerate(blocks):
                 got = x.slopes(ends["own"].iloc[b], ends["after"].iloc[b])
                 assert np.allclose(got, want[start:start + len(got)], atol=1e-12)
+
+
+def test_resampled_points_leave_python_row_by_row(spark):
+    from fadewell.operators import splines
+
+    rows = spark.createDataFrame([("d", b, k + 1, float((k * 7 + b) % 11)) for b in range(3) for k in range(40)], "dataset_id string, bin int, pos long, v double")
+    totals = spark.createDataFrame([("d", b, 90) for b in range(3)], "dataset_id string, bin int, total long")
+    for kind, whole in (("pchip", splines.pchip), ("spline", splines.cubic_spline)):
+        made = splines.resample(rows, ["dataset_id", "bin"], "pos", "v", totals, kind, 8)
+        assert "ArrowEvalPython" not in made._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]  # no array of a batch's points
+        got = {(r["bin"], r["pos"]): r["v"] for r in made.collect()}
+        assert len(got) == 270
+        y = np.array([float((k * 7 + 1) % 11) for k in range(40)])
+        want = whole(np.arange(40), y, np.arange(90) * 39 / 89)
+        assert np.allclose([got[1, p + 1] for p in range(90)], want)
