@@ -77,9 +77,10 @@ def bundle_split(examples: DataFrame, order_key: str = "group_id") -> DataFrame:
 
 def level_moments(leveled: DataFrame, params: list[str]) -> DataFrame:
     """Row count and per-parameter mean and variance of each dataset, group and level, from one aggregate."""
-    at = [F.when(F.col("level") > i, F.col("values")[i]) for i in range(len(params))]
+    # the level is the same in the whole group, so it cuts the results, not each row
+    of = lambda fold: F.array(*[F.when(F.col("level") > i, fold(F.col("values")[i])) for i in range(len(params))])
     return leveled.filter("level > 0").groupBy(D, "group_id", "level").agg(
-        F.count(F.lit(1)).alias("n"), F.array(*[F.avg(c) for c in at]).alias("means"), F.array(*[F.var_pop(c) for c in at]).alias("vars"))
+        F.count(F.lit(1)).alias("n"), of(F.avg).alias("means"), of(F.var_pop).alias("vars"))
 
 
 def bundle_normalization(leveled: DataFrame, params: list[str], split: DataFrame,

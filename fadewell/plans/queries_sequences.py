@@ -9,6 +9,7 @@ from ..operators import corpora
 from ..operators import sequences as seqs
 from ..operators.ordering import keyed_positions, positions
 from ..operators.sequences import D
+from ..sources import bundles
 from . import views
 from .registry import query, s6
 from .views import PARAMS
@@ -301,7 +302,8 @@ nm AS (SELECT task, bundle, i, avg(vals[i+1]) AS mean, stddev_samp(vals[i+1]) AS
 
 def nested_corpus(spark, sf):
     """Leveled rows, examples, split and normalization of the four bundles and both tasks."""
-    leveled = corpora.with_level(views.pseq8(spark, sf), seqs.PARAMETERS)
+    leveled = corpora.with_level(views.pseq8(spark, sf), seqs.PARAMETERS).select(D, "group_id", "pos", "idx", "label_source", "level", "values")
+    leveled = bundles.shared_copy(leveled, "leveled")  # ranked once for the examples, the split and the moments
     ex = corpora.nested_examples(leveled)
     split = corpora.bundle_split(ex)
     return ex, split, corpora.bundle_normalization(leveled, seqs.PARAMETERS, split)
@@ -313,11 +315,16 @@ tg AS (SELECT ne.task, ne.bundle, partition_code, start_idx, ne.group_id, p.idx,
 SELECT task, bundle, CAST(partition_code AS INTEGER) AS partition_code, count(DISTINCT (group_id, start_idx)) AS examples, {s6('avg(z)','mean_z')}, {s6('avg(z*z)','mean_zz')} FROM tg GROUP BY 1,2,3""")
 def _(spark, sf):
     ex, split, norm = nested_corpus(spark, sf)
-    z = corpora.normalized_examples(ex, norm).join(split.drop("size", "g", "n"), [*corpora.KEYS, "group_id"])
+    z = corpora.normalized_examples(ex, norm)
     total = lambda f: F.aggregate("targets", F.lit(0.0), lambda s, c: s + F.aggregate(c["values"], F.lit(0.0), f))
-    cells = F.sum(F.col("size") * F.size("targets"))
-    out = z.groupBy("task", "bundle", "partition_code").agg(
-        F.count(F.lit(1)).alias("examples"), (F.sum(total(lambda a, v: a + v)) / cells).alias("m"), (F.sum(total(lambda a, v: a + v * v)) / cells).alias("q"))
+    # the split is by group, so examples are summed by group before they meet it
+    groups = z.groupBy(*corpora.KEYS, "group_id").agg(
+        F.count(F.lit(1)).alias("c"), F.sum(total(lambda a, v: a + v)).alias("s"), F.sum(total(lambda a, v: a + v * v)).alias("ss"),
+        F.sum(F.col("size") * F.size("targets")).alias("cells"))
+    coded = groups.join(split.drop("size", "g", "n"), [*corpora.KEYS, "group_id"])
+    cells = F.sum("cells")
+    out = coded.groupBy("task", "bundle", "partition_code").agg(
+        F.sum("c").alias("examples"), (F.sum("s") / cells).alias("m"), (F.sum("ss") / cells).alias("q"))
     return out.select("task", "bundle", "partition_code", "examples", r6("m", "mean_z"), r6("q", "mean_zz"))
 
 

@@ -139,3 +139,13 @@ def test_axis_counts_read_the_rows_once(spark):
     for name, axis in (("n_tx", "tx"), ("n_rx", "rx"), ("n_path", "path"), ("n_t", "t"), ("n_sample", "sample")):
         assert got[name] == len({r[axis] for r in rows})
     assert got["rows"] == len(rows) and got["valid"] == sum(r["path_valid"] for r in rows)
+
+
+def test_moments_cut_by_level_ignore_what_lies_beyond_it(spark):
+    rows = [("d", 1, 1, [1.0, float("nan")]), ("d", 1, 1, [3.0, None]), ("d", 1, 2, [2.0, 5.0]), ("d", 1, 0, [9.0, 9.0])]
+    leveled = spark.createDataFrame(rows, "dataset_id string, group_id long, level int, values array<double>")
+    made = corpora.level_moments(leveled, ["x", "y"])
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan[plan.index("Aggregate"):].split("\n")[0].count("avg(values") == 2 and "avg(CASE" not in plan
+    got = {r["level"]: (r["n"], r["means"], r["vars"]) for r in made.collect()}
+    assert got == {1: (2, [2.0, None], [1.0, None]), 2: (1, [2.0, 5.0], [0.0, 0.0])}
