@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_finite
+from ..sources.bundles import shared_copy
 from .blocks import quantiles
 from .ordering import lagged, positions
 
@@ -325,7 +326,7 @@ def task_rules(tasks: DataFrame, axis_length: DataFrame) -> DataFrame:
     n, n_f, n_t, has_position.
     """
     k, t = F.col("region") == "known", F.col("region") == "target"
-    per_idx = tasks.groupBy("task_id", "mode", "axis", "idx").agg(F.count_if(k).alias("k"), F.count_if(t).alias("t"))
+    per_idx = shared_copy(tasks.groupBy("task_id", "mode", "axis", "idx").agg(F.count_if(k).alias("k"), F.count_if(t).alias("t")), "indices")  # read twice
     bad = ~is_finite("idx") | (F.col("idx") < 1) | (F.floor("idx") != F.col("idx"))
     facts = per_idx.groupBy("task_id", "mode", "axis").agg(
         (F.sum("k") == 0).cast("int").alias("no_known"), (F.sum("t") == 0).cast("int").alias("no_target"),

@@ -8,6 +8,7 @@ from ..functions.scalars import r6
 from ..operators import rules, sequences as seqs
 from ..operators.ordering import positions
 from ..operators.sequences import D
+from ..sources.bundles import shared_copy
 from . import views
 from .queries_metrics import SNAPSHOT_S, SUBCARRIER_HZ
 from .queries_sequences import SPAN_SQL, pseq_examples
@@ -175,7 +176,7 @@ tk AS (SELECT 'interpolation' AS mode, p.group_id, idx, CASE WHEN idx BETWEEN fl
 
 
 def preset_tasks(spark, sf):
-    axis = views.pseq(spark, sf).select(D, "group_id", "idx")
+    axis = shared_copy(views.pseq(spark, sf).select(D, "group_id", "idx"), "axis")  # ranked once for both presets
     return rules.preset_task(axis, [D, "group_id"], "idx", "interpolation").unionByName(
         rules.preset_task(axis, [D, "group_id"], "idx", "extrapolation"))
 
@@ -193,7 +194,7 @@ def _(spark, sf):
     broken = tasks.unionByName(overlap).unionByName(doubled).withColumn("axis", F.lit("sample"))
     length = tasks.groupBy("task_id").agg(F.max("idx").alias("n")).withColumns(
         {"n_f": F.lit(1), "n_t": F.lit(1), "has_position": F.lit(False)})
-    r = rules.task_rules(broken, length)
+    r = shared_copy(rules.task_rules(broken, length), "rules")  # nine rows a task, for the counts and the status
     pick = lambda rule: F.max(F.when(F.col("rule") == rule, F.col("violations"))).alias(rule)
     wide = r.groupBy("task_id").agg(pick("duplicate_known"), pick("overlap"), pick("wrong_side"))
     return wide.join(rules.overall_status(r, ["task_id"]), "task_id")
