@@ -162,7 +162,9 @@ def cir_to_ctf(cir: DataFrame, offsets_hz: list[float]) -> DataFrame:
     """
     cells = ", ".join(f"named_struct('f', {i}, 'hz', {float(x)!r}D)" for i, x in enumerate(offsets_hz))
     grid = F.expr(f"array({cells})")
-    return _long_cells(_rotated(cir, grid), grid)
+    blocks = max(1, -(-len(offsets_hz) // FREQUENCIES_AT_ONCE))
+    at_once = max(1, -(-len(offsets_hz) // blocks))  # no more sums than there are offsets
+    return _long_cells(_rotated(cir, grid, at_once), grid, at_once)
 
 
 def cir_to_ctf_on_axis(cir: DataFrame, axis: DataFrame) -> DataFrame:
@@ -180,23 +182,23 @@ def cir_to_ctf_on_axis(cir: DataFrame, axis: DataFrame) -> DataFrame:
 FREQUENCIES_AT_ONCE = 8
 
 
-def _rotated(cir: DataFrame, grid: Column) -> DataFrame:
+def _rotated(cir: DataFrame, grid: Column, at_once: int = FREQUENCIES_AT_ONCE) -> DataFrame:
     """Sums of each observation in blocks of the grid: _block, _re and _im of its cells in order."""
-    blocks = F.when(F.size(grid) > 0, F.sequence(F.lit(0), F.floor((F.size(grid) - 1) / FREQUENCIES_AT_ONCE).cast("int")))
+    blocks = F.when(F.size(grid) > 0, F.sequence(F.lit(0), F.floor((F.size(grid) - 1) / at_once).cast("int")))
     rows = cir.filter("path_valid").select(
         D, "sample", "tx", "rx", "t", "re", "im", "delay_s", grid.alias("_grid"), F.explode(blocks).alias("_block"))
     re, im = [], []
-    for i in range(FREQUENCIES_AT_ONCE):
-        angle = -2 * F.pi() * F.get("_grid", F.col("_block") * FREQUENCIES_AT_ONCE + i)["hz"] * F.col("delay_s")
+    for i in range(at_once):
+        angle = -2 * F.pi() * F.get("_grid", F.col("_block") * at_once + i)["hz"] * F.col("delay_s")
         c, s = F.cos(angle), F.sin(angle)
         re.append(F.sum(F.col("re") * c - F.col("im") * s))
         im.append(F.sum(F.col("re") * s + F.col("im") * c))
     return rows.groupBy(D, "sample", "tx", "rx", "t", "_block").agg(F.array(*re).alias("_re"), F.array(*im).alias("_im"))
 
 
-def _long_cells(sums: DataFrame, grid: Column) -> DataFrame:
+def _long_cells(sums: DataFrame, grid: Column, at_once: int = FREQUENCIES_AT_ONCE) -> DataFrame:
     """One row per observation and grid cell."""
-    cells = F.slice(grid, F.col("_block") * FREQUENCIES_AT_ONCE + 1, FREQUENCIES_AT_ONCE)
+    cells = F.slice(grid, F.col("_block") * at_once + 1, at_once)
     return sums.select(D, "sample", "tx", "rx", "t", "_re", "_im", F.posexplode(cells).alias("_i", "_c")).select(
         D, "sample", "tx", "rx", "t", F.col("_c.f").alias("f"), F.get("_re", F.col("_i")).alias("re"), F.get("_im", F.col("_i")).alias("im"))
 

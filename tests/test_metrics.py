@@ -171,3 +171,26 @@ def test_frequency_sums_shuffle_one_row_per_block(spark):
         want = {(t, f): sum(complex(p[5], p[6]) * np.exp(-2j * np.pi * x * p[7]) for p in paths if p[4] == t and p[8])
                 for t in range(2) for f, x in enumerate(offsets)}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+@pytest.mark.parametrize("count", [1, 4, 9, 17])
+def test_rotated_sums_are_as_many_as_the_offsets(cir, count):
+    offsets = metrics.centred_offsets(count, 15e3)
+    h = metrics.cir_to_ctf(cir, offsets)
+    sums = h._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[1].count("sum(")
+    assert sums <= 2 * math.ceil(count / math.ceil(count / 8))
+    got = {r["f"]: complex(r["re"], r["im"]) for r in h.filter("dataset_id = 'dyn' AND sample = 3 AND tx = 1 AND rx = 2 AND t = 5").collect()}
+    paths = cir.filter("dataset_id = 'dyn' AND sample = 3 AND tx = 1 AND rx = 2 AND t = 5 AND path_valid").collect()
+    for f, hz in enumerate(offsets):
+        turned = [complex(p["re"], p["im"]) * complex(math.cos(-2 * math.pi * hz * p["delay_s"]), math.sin(-2 * math.pi * hz * p["delay_s"])) for p in paths]
+        assert abs(got[f] - sum(turned)) < 1e-9
+    assert len(got) == count
+
+
+def test_task_rules_read_their_tasks_once(spark):
+    rows = [("t", "interpolation", "sample", r, i) for i, r in enumerate(["known", "known", "target", "known", "known"], 1)]
+    tasks = spark.createDataFrame(rows, "task_id string, mode string, axis string, region string, idx long")
+    length = spark.createDataFrame([("t", 5, 1, 1, False)], "task_id string, n long, n_f int, n_t int, has_position boolean")
+    r = rules.task_rules(tasks, length)
+    assert r._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 1  # the axis length only
+    assert sum(x["violations"] for x in r.collect()) == 0
