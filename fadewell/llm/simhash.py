@@ -142,21 +142,39 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFram
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _SIGNED)
 
 
-def _band_pairs(spark: SparkSession, nodes: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+def lone_shingles(texts: DataFrame, k: int) -> DataFrame:
+    """(id, alone): how many shingles of a text no other one of the texts (id, text) has; ids with none or with several texts are left out."""
+
+    def hashes(column: pa.Array) -> pa.Array:
+        keep_words()
+        return pa.array([shingle_set(t, k).view(np.int64) for t in column.to_pylist()], pa.list_(pa.int64()))
+
+    cells = texts.select("id", F.explode(F.arrow_udf(hashes, "array<long>")("text")).alias("h"))
+    owners = cells.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last")
+    repeated = texts.groupBy("id").agg(F.count("*").alias("c")).where("c > 1")
+    return owners.groupBy("id").agg(F.count("*").alias("alone")).join(repeated, "id", "left_anti")
+
+
+def _band_pairs(spark: SparkSession, nodes: DataFrame, links: DataFrame, similarity: float, source: DataFrame, k: int) -> DataFrame:
     """Distinct pairs (a, b) of nodes that share a band and are not joined by the checked links.
 
-    Left out are only pairs that cannot be as similar (by their numbers of shingles) or whose bits say so
-    with five sigma. A band's largest component is not paired with itself, so a large family of copies
+    Left out are only pairs that cannot be as similar or whose bits say so with five sigma. Two texts of n and
+    m shingles are similar only if they share similarity / (1 + similarity) * (n + m), and neither can share
+    the shingles that no other text of a mixed band has. A band's largest component is not paired with itself, so a large family of copies
     costs one row for each of its members and each of the others that share a band with it.
     """
     labels = components(spark, links)
     rows = nodes.join(labels, nodes.id == labels.node, "left").select("id", "grams", "bits0", "bits1", F.coalesce("component", "id").alias("label"), F.explode("bands").alias("band"))
     rows = scratch(spark, rows, "bands")
     counts = rows.groupBy("band", "label").agg(F.count("*").alias("m")).groupBy("band").agg(F.max_by("label", F.struct("m", "label")).alias("most"), F.count("*").alias("labels"))
-    rows = rows.join(counts.where("labels > 1").drop("labels"), "band")
-    other = rows.where("label <> most").select(*(F.col(c).alias(f"o_{c}") for c in ("band", "id", "grams", "bits0", "bits1", "label")))
+    rows = scratch(spark, rows.join(counts.where("labels > 1").drop("labels"), "band"), "mixed")
+    alone = lone_shingles(scratch(spark, source.join(rows.select("id").distinct(), "id"), "suspects"), k)
+    rows = rows.join(scratch(spark, alone, "alone"), "id", "left").withColumn("shared", F.col("grams") - F.coalesce("alone", F.lit(0)))
+    rows = scratch(spark, rows.where(F.col("shared") >= F.lit(similarity) * F.col("grams") - 1e-6), "mixed")
+    other = rows.where("label <> most").select(*(F.col(c).alias(f"o_{c}") for c in ("band", "id", "grams", "bits0", "bits1", "label", "shared")))
     apart = F.bit_count(F.col("bits0").bitwiseXOR(F.col("o_bits0"))) + F.bit_count(F.col("bits1").bitwiseXOR(F.col("o_bits1")))
     alike = (F.least("grams", "o_grams") >= F.lit(similarity) * F.greatest("grams", "o_grams") - 1e-6) & (apart <= bits_allowed(similarity))
+    alike = alike & (F.least("shared", "o_shared") >= F.lit(similarity / (1 + similarity)) * (F.col("grams") + F.col("o_grams")) - 1e-6)
     once = (F.col("label") == F.col("most")) | (F.col("id") < F.col("o_id"))
     pairs = rows.join(other, (F.col("band") == F.col("o_band")) & (F.col("label") != F.col("o_label")) & once & alike)
     return scratch(spark, pairs.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct(), "pairs")
@@ -199,7 +217,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         return scratch(spark, edges.join(left, "a").join(right, "b").where(jaccard("ta", "tb") >= similarity).select("a", "b"), "checked")
 
     links = checked(scratch(spark, fingerprint_links(spark, nodes.select("id", "fp", "sketch"), radius, guaranteed, similarity - margin, search_again=False), "candidates"))
-    links = links.union(checked(_band_pairs(spark, nodes, links, similarity)))
+    links = links.union(checked(_band_pairs(spark, nodes, links, similarity, source, k)))
     copies = signed.join(items.select("content", "id"), "content").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     groups = components(spark, links.union(copies))
     return groups.where("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("kept_id"))

@@ -596,3 +596,30 @@ def test_stages_keep_clashing_columns(spark, odd):
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
     assert {r["doc_id"] for r in kept} == want and all(r["gone_id"] == 0 for r in kept)
     assert corpus_pipeline.pack_sequences(spark, docs, SF).count() > 0
+
+
+def test_lone_shingles_bound_the_pairs_of_a_family_and_lose_none(spark):
+    import numpy as np
+
+    from fadewell.llm import simhash
+
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(60):  # every copy has its own edits, from none to many
+        words = list(base)
+        for at in rng.choice(120, i // 6, replace=False):
+            words[at] = f"x{i}n{at}"
+        texts.append((i, " ".join(words)))
+    docs = spark.createDataFrame([*texts, (100, "a b c d e f"), (100, "g h i j k l"), (101, None)], "doc_id long, text string")
+    sets = {i: set(simhash.shingle_set(t).tolist()) for i, t in texts}
+    found = {r["id"]: r["alone"] for r in simhash.lone_shingles(docs.withColumnRenamed("doc_id", "id"), 5).collect()}
+    want = {i: len(s - set().union(*(o for j, o in sets.items() if j != i))) for i, s in sets.items()}
+    assert found == {i: n for i, n in want.items() if n}
+    label = {i: i for i in sets}
+    linked = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for _ in sets:
+        for i, j in linked:
+            label[i] = label[j] = min(label[i], label[j])
+    gone = {r["doc_id"]: r["kept_id"] for r in simhash.near_duplicates(spark, docs).collect()}
+    assert gone == {i: c for i, c in label.items() if i != c}
