@@ -15,7 +15,7 @@ import xxhash
 
 from fadewell.llm import components, decontaminate, embeddings, hamming, html, language, packing, planes, secrets, sharding, simhash, substrings
 from fadewell.llm.queries import tokenizer_path
-from fadewell.llm.tokens import encoder
+from fadewell.llm.tokens import Encoder, encoder
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, fp long, id long, a string"
@@ -71,6 +71,20 @@ def test_literal_added_tokens():
     assert found == [whole_ids(t) for t in texts] and found[1] == [64, 220, 50256, 275]
 
 
+def test_new_pieces_cost_little(monkeypatch):
+    """New words go to the model alone, and a word that meets other marks is not learned again."""
+    monkeypatch.setattr("fadewell.llm.tokens.PIECES_KEPT", 40)
+    rng, one, asked = random.Random(5), Encoder(tokenizer_path()), []
+    whole = one._whole
+    monkeypatch.setattr(one, "_whole", lambda texts: asked.extend(texts) or whole(texts))
+    texts = ["The" + "".join(rng.choice(" \n") + rng.choice(("the", "Straße", "été", "a1b2", "Ab" + rng.choice("cdefgh") * 3)) + rng.choice((",", "!!", ")...", "")) for _ in range(40)) for _ in range(20)]
+    texts += ["a×b ×, ×", "it's, 'll x's!"]
+    for text, raw in zip(texts, one.ids(texts, group=4)):
+        assert np.frombuffer(raw, "<u4").tolist() == whole_ids(text), text
+    assert len("".join(asked)) < 200 < 2000 < len("".join(texts))  # first words of texts and odd ones
+    assert {k for k in one.kept | one.former if k.endswith((",", "!", "."))} <= {"×,"}
+
+
 # --- 1 ---------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("bits", [False, True])
