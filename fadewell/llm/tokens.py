@@ -30,7 +30,7 @@ _PIECES = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 _OTHER_SPACE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SPACES = frozenset("\t\n\v\f\r ")
 _RUN = 4000  # pieces encoded in one call
-_GROUP_CHARS = 4_000_000  # of texts whose distinct pieces are looked up at once
+_GROUP_CHARS = 1_000_000  # of texts whose distinct pieces are looked up at once
 _MODEL_RUN = 50  # plain pieces in one call of the model
 _LATIN = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"  # letters in every version of Unicode
 _PLAIN = re.compile(rf"\n?[!-&(-~{_LATIN}]+").fullmatch  # keys; an apostrophe may begin a word of its own
@@ -179,7 +179,7 @@ class Encoder:
         starts = self._found([" " + f for f in firsts])
         return [first + b"".join(found[a:b]) for first, a, b in zip(starts, ends, ends[1:])]
 
-    def ids(self, texts: list[str | None], group: int = 1000) -> Iterator[bytes]:
+    def ids(self, texts: list[str | None], group: int = 250) -> Iterator[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers; null: none."""
         at = 0
         while at < len(texts):

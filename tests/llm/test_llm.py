@@ -85,6 +85,16 @@ def test_new_pieces_cost_little(monkeypatch):
     assert {k for k in one.kept | one.former if k.endswith((",", "!", "."))} <= {"×,"}
 
 
+def test_lookups_are_bounded(monkeypatch):
+    """A worker holds the words of few texts at once, and of long texts fewer."""
+    one, groups = Encoder(tokenizer_path()), []
+    spaced = one._ids_spaced
+    monkeypatch.setattr(one, "_ids_spaced", lambda texts: groups.append(texts) or spaced(texts))
+    texts = ["ab cd"] * 1000 + ["ab " * 300_000 + "ab"] * 6
+    assert [len(raw) for raw in one.ids(texts)] == [len(whole_ids(t)) * 4 for t in texts[:1] * 1000 + texts[-1:] * 6]
+    assert max(map(len, groups)) <= 250 and max(sum(map(len, g)) for g in groups) < 2_000_000
+
+
 # --- 1 ---------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("bits", [False, True])
