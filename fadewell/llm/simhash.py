@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -18,6 +20,7 @@ SKETCH = 64
 #: (1 - 0.8^4)^24 = 3e-6, and more alike pairs with less; the bands are the same at every corpus size.
 BANDS, BAND_ROWS = 24, 4
 FUNCTIONS = 128  # of these the first SKETCH give the sketch, the first BANDS * BAND_ROWS the bands, all one bit each
+OWNERS = 8  # a shingle of at most so many texts is rare; each set of owners gives 28 pairs at most, and no value changes a result
 _MULTIPLIERS = mixed(np.arange(1, FUNCTIONS + 1, dtype=np.uint64)) | np.uint64(1)
 _BAND_FACTORS = mixed(np.arange(1001, 1001 + BAND_ROWS, dtype=np.uint64)) | np.uint64(1)
 
@@ -142,42 +145,90 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFram
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _SIGNED)
 
 
-def lone_shingles(texts: DataFrame, k: int) -> DataFrame:
-    """(id, alone): how many shingles of a text no other one of the texts (id, text) has; ids with none or with several texts are left out."""
+def owner_sets(texts: DataFrame, k: int, most: int) -> DataFrame:
+    """(ids, shingles): how many shingles have exactly these owners among the texts (id, text); only sets of at most `most` ids.
+
+    A shingle that every text has leaves each task in `most` + 1 rows: Spark limits the ranks before the shuffle.
+    """
 
     def hashes(column: pa.Array) -> pa.Array:
         keep_words()
         return pa.array([shingle_set(t, k).view(np.int64) for t in column.to_pylist()], pa.list_(pa.int64()))
 
     cells = texts.select("id", F.explode(F.arrow_udf(hashes, "array<long>")("text")).alias("h"))
-    owners = cells.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last")
+    first = cells.withColumn("n", F.row_number().over(Window.partitionBy("h").orderBy("id"))).where(F.col("n") <= most + 1)
+    owners = first.groupBy("h").agg(F.sort_array(F.collect_set("id")).alias("ids"), F.count("*").alias("c")).where(F.col("c") <= most)
+    return owners.groupBy("ids").agg(F.count("*").alias("shingles"))
+
+
+def rare_shingles(sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, rare): how many shingles of a text are in the owner sets; ids with none or with several texts are left out."""
     repeated = texts.groupBy("id").agg(F.count("*").alias("c")).where("c > 1")
-    return owners.groupBy("id").agg(F.count("*").alias("alone")).join(repeated, "id", "left_anti")
+    return sets.select(F.explode("ids").alias("id"), "shingles").groupBy("id").agg(F.sum("shingles").alias("rare")).join(repeated, "id", "left_anti")
+
+
+def lone_shingles(texts: DataFrame, k: int) -> DataFrame:
+    """(id, alone): how many shingles of a text no other one of the texts (id, text) has; ids with none or with several texts are left out."""
+    return rare_shingles(owner_sets(texts, k, 1), texts).withColumnRenamed("rare", "alone")
 
 
-def _band_pairs(spark: SparkSession, nodes: DataFrame, links: DataFrame, similarity: float, source: DataFrame, k: int) -> DataFrame:
-    """Distinct pairs (a, b) of nodes that share a band and are not joined by the checked links.
+def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (band, id, ...) of bands with several labels, with the row's label and the band's commonest one, `most`."""
+    rows = rows.join(labels, rows.id == labels.node, "left").withColumn("label", F.coalesce("component", "id")).drop("node", "component")
+    counts = rows.groupBy("band", "label").agg(F.count("*").alias("m")).groupBy("band").agg(F.max_by("label", F.struct("m", "label")).alias("most"), F.count("*").alias("labels"))
+    return rows.join(counts.where("labels > 1").drop("labels"), "band")
+
+
+def _theirs(rows: DataFrame) -> DataFrame:
+    return rows.select(*(F.col(c).alias(f"o_{c}") for c in rows.columns))
+
+
+def _band_links(spark: SparkSession, nodes: DataFrame, links: DataFrame, similarity: float, source: DataFrame, k: int, checked: Callable) -> DataFrame:
+    """Checked links of nodes that share a band or a rare shingle and that the links given do not join.
 
     Left out are only pairs that cannot be as similar or whose bits say so with five sigma. Two texts of n and
-    m shingles are similar only if they share similarity / (1 + similarity) * (n + m), and neither can share
-    the shingles that no other text of a mixed band has. A band's largest component is not paired with itself, so a large family of copies
-    costs one row for each of its members and each of the others that share a band with it.
+    m shingles are similar only if they share similarity / (1 + similarity) * (n + m). They share what they both
+    have of shingles with at most OWNERS owners among the texts of mixed bands, which is counted for each pair
+    that has any, and of the others no more than either has. So edits that few copies share keep a loose family from
+    being paired. First each node is checked with the node of its band's largest component that has the least
+    share of rare shingles; what that joins needs no more pairs. Then a band's largest component is not paired with
+    itself, so a large family of copies costs one row for each of its members and each of the others that share a band with it.
     """
+    rows = nodes.select("id", F.explode("bands").alias("band"))
+    rows = scratch(spark, rows.join(rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").drop("n").hint("merge"), "band"), "bands")
     labels = components(spark, links)
-    rows = nodes.join(labels, nodes.id == labels.node, "left").select("id", "grams", "bits0", "bits1", F.coalesce("component", "id").alias("label"), F.explode("bands").alias("band"))
-    rows = scratch(spark, rows, "bands")
-    counts = rows.groupBy("band", "label").agg(F.count("*").alias("m")).groupBy("band").agg(F.max_by("label", F.struct("m", "label")).alias("most"), F.count("*").alias("labels"))
-    rows = scratch(spark, rows.join(counts.where("labels > 1").drop("labels"), "band"), "mixed")
-    alone = lone_shingles(scratch(spark, source.join(rows.select("id").distinct(), "id"), "suspects"), k)
-    rows = rows.join(scratch(spark, alone, "alone"), "id", "left").withColumn("shared", F.col("grams") - F.coalesce("alone", F.lit(0)))
-    rows = scratch(spark, rows.where(F.col("shared") >= F.lit(similarity) * F.col("grams") - 1e-6), "mixed")
-    other = rows.where("label <> most").select(*(F.col(c).alias(f"o_{c}") for c in ("band", "id", "grams", "bits0", "bits1", "label", "shared")))
+    rows = scratch(spark, _mixed(rows, labels), "mixed")
+    suspects = rows.select("id").distinct()
+    texts = scratch(spark, source.join(suspects, "id"), "suspects")
+    sets = scratch(spark, owner_sets(texts, k, OWNERS), "owners")
+    known = nodes.select("id", "grams", "bits0", "bits1").join(suspects, "id").join(rare_shingles(sets, texts), "id", "left")
+    known = scratch(spark, known.withColumn("others", F.col("grams") - F.coalesce("rare", F.lit(0))).drop("rare"), "known")
+    rows = scratch(spark, rows.join(known.where(F.col("others") >= F.lit(similarity) * F.col("grams") - 1e-6), "id"), "mixed")
+
     apart = F.bit_count(F.col("bits0").bitwiseXOR(F.col("o_bits0"))) + F.bit_count(F.col("bits1").bitwiseXOR(F.col("o_bits1")))
-    alike = (F.least("grams", "o_grams") >= F.lit(similarity) * F.greatest("grams", "o_grams") - 1e-6) & (apart <= bits_allowed(similarity))
-    alike = alike & (F.least("shared", "o_shared") >= F.lit(similarity / (1 + similarity)) * (F.col("grams") + F.col("o_grams")) - 1e-6)
+    alike = (F.least("grams", "o_grams") >= F.lit(similarity) * F.greatest("grams", "o_grams") - 1e-6) & (apart <= bits_allowed(similarity)) & (F.col("label") != F.col("o_label"))
+
+    def enough(rare: Column) -> Column:
+        return rare + F.least("others", "o_others") >= F.lit(similarity / (1 + similarity)) * (F.col("grams") + F.col("o_grams")) - 1e-6
+
+    def in_order(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b"))
+
+    own = F.struct(F.col("others") / F.col("grams"), "id", "grams", "bits0", "bits1", "others", "label")
+    middle = rows.where("label = most").groupBy("band").agg(F.max(own).alias("x")).select("band", *(F.col(f"x.{c}").alias(f"o_{c}") for c in (*known.columns, "label")))
+    star = in_order(rows.where("label <> most").join(middle, "band").where(alike & enough(F.lit(0)))).distinct()
+    found = checked(scratch(spark, star, "stars"))
+    labels = components(spark, links.union(found))
+
+    rows = scratch(spark, _mixed(rows.drop("label", "most"), labels), "mixed")
     once = (F.col("label") == F.col("most")) | (F.col("id") < F.col("o_id"))
-    pairs = rows.join(other, (F.col("band") == F.col("o_band")) & (F.col("label") != F.col("o_label")) & once & alike)
-    return scratch(spark, pairs.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct(), "pairs")
+    pairs = in_order(rows.join(_theirs(rows.where("label <> most").drop("most")), (F.col("band") == F.col("o_band")) & once & alike & enough(F.lit(0))))
+    # those with a rare shingle in common, whatever their bands
+    known = known.join(labels, known.id == labels.node, "left").withColumn("label", F.coalesce("component", "id")).drop("node", "component")
+    two = F.flatten(F.transform("ids", lambda x: F.transform(F.filter("ids", lambda y: y > x), lambda y: F.struct(x.alias("id"), y.alias("o_id")))))
+    rare = sets.where(F.size("ids") > 1).select("shingles", F.explode(two).alias("p")).groupBy("p.id", "p.o_id").agg(F.sum("shingles").alias("both"))
+    rare = in_order(rare.join(known, "id").join(_theirs(known), "o_id").where(alike & enough(F.col("both"))))
+    return found.union(checked(scratch(spark, pairs.union(rare).distinct(), "pairs")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8,
@@ -195,7 +246,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     signed = scratch(spark, _signatures(docs, id_col, text_col, k).where("doc_id is not null"), "signatures")
     items = scratch(spark, signed.groupBy("content").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("fp", "sketch", "grams", "bits0", "bits1", "bands"))), "items")
     # one id may stand for several contents if ids repeat; it stays one node
-    nodes = items.dropDuplicates(["id"])
+    nodes = items if items.groupBy("id").count().where("count > 1").isEmpty() else scratch(spark, items.dropDuplicates(["id"]), "nodes")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def similarities(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -214,10 +265,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         named = edges.select("a").union(edges.select(F.col("b").alias("a"))).distinct()
         texts = scratch(spark, source.join(named, F.col("id") == F.col("a")).select("id", "text").dropDuplicates(["id"]), "texts")
         left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+        # pairs are few bytes but much work: adaptive execution would put them into one task
+        edges = edges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "b")
         return scratch(spark, edges.join(left, "a").join(right, "b").where(jaccard("ta", "tb") >= similarity).select("a", "b"), "checked")
 
-    links = checked(scratch(spark, fingerprint_links(spark, nodes.select("id", "fp", "sketch"), radius, guaranteed, similarity - margin, search_again=False), "candidates"))
-    links = links.union(checked(_band_pairs(spark, nodes, links, similarity, source, k)))
+    near = fingerprint_links(spark, nodes.select("id", "fp", "sketch"), radius, guaranteed, similarity - margin, search_again=False)
+    # several shards name the same pair
+    links = checked(scratch(spark, near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates"))
+    links = links.union(_band_links(spark, nodes, links, similarity, source, k, checked))
     copies = signed.join(items.select("content", "id"), "content").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     groups = components(spark, links.union(copies))
     return groups.where("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("kept_id"))

@@ -647,3 +647,49 @@ def test_lone_shingles_bound_the_pairs_of_a_family_and_lose_none(spark):
             label[i] = label[j] = min(label[i], label[j])
     gone = {r["doc_id"]: r["kept_id"] for r in simhash.near_duplicates(spark, docs).collect()}
     assert gone == {i: c for i, c in label.items() if i != c}
+
+
+def test_edits_that_two_copies_share_make_no_pairs_of_a_family(spark, monkeypatch):
+    """30 couples of one family at about 0.55; each couple's edits are its own, so no shingle of them is alone."""
+    rng = random.Random(13)
+    base = words(rng, 400, 20_000).split()
+    texts = []
+    for _ in range(30):
+        w = list(base)
+        for s in rng.sample(range(20), 3):
+            w[20 * s + 2 : 20 * s + 18] = words(rng, 16, 20_000).split()
+        for n in range(2):
+            texts.append(" ".join([*w[:200], f"own{len(texts)}", *w[200:]]) if n else " ".join(w))
+    want = exact_families(texts)
+    assert want.tolist() == [i - i % 2 for i in range(60)]
+    written, plain = {}, simhash.scratch
+
+    def counted(spark, df, name):
+        out = plain(spark, df, name)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "scratch", counted)
+    assert near_labels(spark, texts) == want.tolist()
+    assert written["pairs"] + written.get("stars", 0) <= 60
+
+
+def test_owner_sets_count_the_shingles_of_few_texts(spark):
+    rng = random.Random(14)
+    texts = [(i % 11, " ".join(rng.choice("abcd") for _ in range(rng.randint(0, 60)))) for i in range(12)]
+    docs = spark.createDataFrame([*texts, (50, "a b c d e"), (51, None)], "id long, text string").repartition(5)
+    owners = {}
+    for i, t in [*texts, (50, "a b c d e")]:
+        for h in simhash.shingle_set(t).tolist():
+            owners.setdefault(h, []).append(i)
+    for most in (1, 2, 3, 8):
+        want = {}
+        for ids in owners.values():
+            if len(ids) <= most:
+                key = tuple(sorted(set(ids)))
+                want[key] = want.get(key, 0) + 1
+        got = {tuple(r["ids"]): r["shingles"] for r in simhash.owner_sets(docs, 5, most).collect()}
+        assert got == want and want
+        rare = {r["id"]: r["rare"] for r in simhash.rare_shingles(simhash.owner_sets(docs, 5, most), docs).collect()}
+        each = {i: sum(n for ids, n in want.items() if i in ids) for i in range(1, 51)}  # id 0 has two texts
+        assert rare == {i: n for i, n in each.items() if n}
