@@ -21,6 +21,7 @@ SKETCH = 64
 BANDS, BAND_ROWS = 24, 4
 FUNCTIONS = 128  # of these the first SKETCH give the sketch, the first BANDS * BAND_ROWS the bands, all one bit each
 OWNERS = 8  # a shingle of at most so many texts is rare; each set of owners gives 28 pairs at most, and no value changes a result
+IDS_SENT = 2_000_000  # ids of texts that are broadcast, about 50 MB; beyond it whole texts are shuffled
 _MULTIPLIERS = mixed(np.arange(1, FUNCTIONS + 1, dtype=np.uint64)) | np.uint64(1)
 _BAND_FACTORS = mixed(np.arange(1001, 1001 + BAND_ROWS, dtype=np.uint64)) | np.uint64(1)
 
@@ -172,9 +173,13 @@ def lone_shingles(texts: DataFrame, k: int) -> DataFrame:
     return rare_shingles(owner_sets(texts, k, 1), texts).withColumnRenamed("rare", "alone")
 
 
-def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (band, id, ...) of bands with several labels, with the row's label and the band's commonest one, `most`."""
-    rows = rows.join(labels, rows.id == labels.node, "left").withColumn("label", F.coalesce("component", "id")).drop("node", "component")
+def _of_ids(source: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (id, text) with one of the distinct ids. Up to IDS_SENT of them go to all tasks, so that only texts asked for move."""
+    return source.join(F.broadcast(ids) if ids.count() <= IDS_SENT else ids, "id")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows (band, label, ...) of bands with several labels, with the band's commonest one, `most`."""
     counts = rows.groupBy("band", "label").agg(F.count("*").alias("m")).groupBy("band").agg(F.max_by("label", F.struct("m", "label")).alias("most"), F.count("*").alias("labels"))
     return rows.join(counts.where("labels > 1").drop("labels"), "band")
 
@@ -197,13 +202,14 @@ def _band_links(spark: SparkSession, nodes: DataFrame, links: DataFrame, similar
     rows = nodes.select("id", F.explode("bands").alias("band"))
     rows = scratch(spark, rows.join(rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").drop("n").hint("merge"), "band"), "bands")
     labels = components(spark, links)
-    rows = scratch(spark, _mixed(rows, labels), "mixed")
-    suspects = rows.select("id").distinct()
-    texts = scratch(spark, source.join(suspects, "id"), "suspects")
+    rows = rows.join(labels, rows.id == labels.node, "left").select("band", "id", F.coalesce("component", "id").alias("label"))
+    rows = scratch(spark, _mixed(rows), "mixed")
+    suspects = rows.select("id", "label").distinct()
+    texts = scratch(spark, _of_ids(source, suspects.select("id")), "suspects")
     sets = scratch(spark, owner_sets(texts, k, OWNERS), "owners")
     known = nodes.select("id", "grams", "bits0", "bits1").join(suspects, "id").join(rare_shingles(sets, texts), "id", "left")
     known = scratch(spark, known.withColumn("others", F.col("grams") - F.coalesce("rare", F.lit(0))).drop("rare"), "known")
-    rows = scratch(spark, rows.join(known.where(F.col("others") >= F.lit(similarity) * F.col("grams") - 1e-6), "id"), "mixed")
+    rows = scratch(spark, rows.drop("label").join(known.where(F.col("others") >= F.lit(similarity) * F.col("grams") - 1e-6), "id"), "mixed")
 
     apart = F.bit_count(F.col("bits0").bitwiseXOR(F.col("o_bits0"))) + F.bit_count(F.col("bits1").bitwiseXOR(F.col("o_bits1")))
     alike = (F.least("grams", "o_grams") >= F.lit(similarity) * F.greatest("grams", "o_grams") - 1e-6) & (apart <= bits_allowed(similarity)) & (F.col("label") != F.col("o_label"))
@@ -211,20 +217,25 @@ def _band_links(spark: SparkSession, nodes: DataFrame, links: DataFrame, similar
     def enough(rare: Column) -> Column:
         return rare + F.least("others", "o_others") >= F.lit(similarity / (1 + similarity)) * (F.col("grams") + F.col("o_grams")) - 1e-6
 
-    def in_order(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b"))
+    def in_order(pairs: DataFrame, *more: str) -> DataFrame:
+        return pairs.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b"), *more)
+
+    own = F.struct(F.col("others") / F.col("grams"), *known.columns)
+    middle = rows.where("label = most").groupBy("band").agg(F.max(own).alias("x")).select("band", *(F.col(f"x.{c}").alias(f"o_{c}") for c in known.columns))
+    star = rows.where("label <> most").join(middle, "band").where(alike & enough(F.lit(0)))
+    star = scratch(spark, in_order(star, "label", "o_label").distinct(), "stars")
+    found = checked(star.select("a", "b").distinct())
+    # a label that a middle's label now is joined to; where that one moves too the two stay apart, which excuses fewer pairs
+    moved = scratch(spark, star.join(found, ["a", "b"]).groupBy("label").agg(F.min("o_label").alias("to")), "moved")
 
-    own = F.struct(F.col("others") / F.col("grams"), "id", "grams", "bits0", "bits1", "others", "label")
-    middle = rows.where("label = most").groupBy("band").agg(F.max(own).alias("x")).select("band", *(F.col(f"x.{c}").alias(f"o_{c}") for c in (*known.columns, "label")))
-    star = in_order(rows.where("label <> most").join(middle, "band").where(alike & enough(F.lit(0)))).distinct()
-    found = checked(scratch(spark, star, "stars"))
-    labels = components(spark, links.union(found))
+    def relabelled(table: DataFrame) -> DataFrame:
+        return table.join(moved, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
 
-    rows = scratch(spark, _mixed(rows.drop("label", "most"), labels), "mixed")
+    rows = scratch(spark, _mixed(relabelled(rows.drop("most"))), "mixed")
+    known = relabelled(known)
     once = (F.col("label") == F.col("most")) | (F.col("id") < F.col("o_id"))
     pairs = in_order(rows.join(_theirs(rows.where("label <> most").drop("most")), (F.col("band") == F.col("o_band")) & once & alike & enough(F.lit(0))))
     # those with a rare shingle in common, whatever their bands
-    known = known.join(labels, known.id == labels.node, "left").withColumn("label", F.coalesce("component", "id")).drop("node", "component")
     two = F.flatten(F.transform("ids", lambda x: F.transform(F.filter("ids", lambda y: y > x), lambda y: F.struct(x.alias("id"), y.alias("o_id")))))
     rare = sets.where(F.size("ids") > 1).select("shingles", F.explode(two).alias("p")).groupBy("p.id", "p.o_id").agg(F.sum("shingles").alias("both"))
     rare = in_order(rare.join(known, "id").join(_theirs(known), "o_id").where(alike & enough(F.col("both"))))
@@ -262,8 +273,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     jaccard = F.arrow_udf(similarities, "double")
 
     def checked(edges: DataFrame) -> DataFrame:
-        named = edges.select("a").union(edges.select(F.col("b").alias("a"))).distinct()
-        texts = scratch(spark, source.join(named, F.col("id") == F.col("a")).select("id", "text").dropDuplicates(["id"]), "texts")
+        named = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
+        texts = scratch(spark, _of_ids(source, named).dropDuplicates(["id"]), "texts")
         left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
         # pairs are few bytes but much work: adaptive execution would put them into one task
         edges = edges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "b")
