@@ -18,6 +18,7 @@ from . import signal
 from .blocks import weighted_histogram
 from .ordering import bounded_join, lagged, running
 from .rules import uniform_spacing
+from ..sources.bundles import shared_copy
 
 D = "dataset_id"
 
@@ -106,7 +107,11 @@ def angular_spread(cir: DataFrame) -> DataFrame:
 
 def doppler_spectrum(vectors: DataFrame, keys: list[str], spacing_s: float) -> DataFrame:
     """Hann-windowed mean periodogram on a shifted frequency axis."""
-    s = signal.power_spectrum(vectors, keys, demean=True, hann=True, shift=True)
+    return doppler_axis(signal.power_spectrum(vectors, keys, demean=True, hann=True, shift=True), keys, spacing_s)
+
+
+def doppler_axis(s: DataFrame, keys: list[str], spacing_s: float) -> DataFrame:
+    """Adds the frequency of each place of a shifted spectrum."""
     nfft = F.count(F.lit(1)).over(Window.partitionBy(*keys))  # at most nfft rows per key
     return s.withColumn("nfft", nfft).withColumn(
         "frequency_hz", (F.col("q") - F.floor(F.col("nfft") / 2)) / (F.col("nfft") * F.lit(spacing_s)))
@@ -145,13 +150,14 @@ def delay_sample_heatmap(cir: DataFrame) -> DataFrame:
         D, "sample", "lo", "width", "bins", "times",
         bin_index("delay_s", F.col("lo"), F.col("width"), F.col("bins")).alias("bin"),
     ).agg(F.sum(power()).alias("p"))
-    # At most 256 cells per sample are packed.
-    per_sample = binned.groupBy(D, "sample", "lo", "width", "bins", "times").agg(
-        F.map_from_entries(F.collect_list(F.struct("bin", "p"))).alias("m"))
-    dense = per_sample.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1))).select(
+    # At most 256 cells per sample are packed; they are read for the peak and for the grid, and unfold last.
+    per_sample = shared_copy(binned.groupBy(D, "sample", "lo", "width", "bins", "times").agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "p"))).alias("m")), "heatmap")
+    peak = per_sample.groupBy(D).agg(F.max(db(F.array_max(F.map_values("m")) / F.col("times"))).alias("_peak"))
+    dense = bounded_join(per_sample, peak, [D]).withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1))).select(
         D, "sample", "bin", (F.col("lo") + (F.col("bin") + 0.5) * F.col("width")).alias("delay_s"),
-        (F.coalesce(F.try_element_at("m", F.col("bin")), F.lit(0.0)) / F.col("times")).alias("linear"))
-    return peak_normalized(dense)
+        (F.coalesce(F.try_element_at("m", F.col("bin")), F.lit(0.0)) / F.col("times")).alias("linear"), "_peak")
+    return dense.withColumn("normalized_db", clip_db(db("linear") - F.col("_peak"))).drop("_peak")
 
 
 def cir_to_ctf(cir: DataFrame, offsets_hz: list[float]) -> DataFrame:
@@ -160,11 +166,24 @@ def cir_to_ctf(cir: DataFrame, offsets_hz: list[float]) -> DataFrame:
     A row gets the sums of FREQUENCIES_AT_ONCE offsets side by side; only one such row per observation and
     block of offsets shuffles.
     """
+    return _long_cells(*_offset_sums(cir, offsets_hz))
+
+
+def _offset_sums(cir: DataFrame, offsets_hz: list[float]) -> tuple[DataFrame, Column, int]:
+    """The sums of _rotated, their grid and the number of offsets side by side."""
     cells = ", ".join(f"named_struct('f', {i}, 'hz', {float(x)!r}D)" for i, x in enumerate(offsets_hz))
     grid = F.expr(f"array({cells})")
     blocks = max(1, -(-len(offsets_hz) // FREQUENCIES_AT_ONCE))
     at_once = max(1, -(-len(offsets_hz) // blocks))  # no more sums than there are offsets
-    return _long_cells(_rotated(cir, grid, at_once), grid, at_once)
+    return _rotated(cir, grid, at_once), grid, at_once
+
+
+def cir_to_ctf_blocks(cir: DataFrame, offsets_hz: list[float]) -> DataFrame:
+    """The sums of cir_to_ctf with f, re and im of a block of offsets as arrays side by side."""
+    sums, grid, at_once = _offset_sums(cir, offsets_hz)
+    f = F.slice(grid["f"], F.col("_block") * at_once + 1, at_once)
+    cut = lambda c: F.slice(c, 1, F.size("f")).alias(c[1:])
+    return sums.withColumn("f", f).select(D, "sample", "tx", "rx", "t", "f", cut("_re"), cut("_im"))
 
 
 def cir_to_ctf_on_axis(cir: DataFrame, axis: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ give partial sums that Spark adds up.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,56 @@ def unpack_axis(vectors: DataFrame, keys: list[str], axis: str) -> DataFrame:
         *keys, axis, F.col("v.re").alias("re"), F.col("v.im").alias("im"))
 
 
+CELLS_AT_ONCE = 250_000  # cells of the rows that are laid out at a time
+
+
+def _row_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows with at most CELLS_AT_ONCE cells together, or one row."""
+    cells = batch.column("cells")
+    ends = cells.offsets.to_numpy()
+    values = cells.values.field("re")
+    if pa.types.is_list(values.type):
+        ends = values.offsets.to_numpy()[ends]
+    first = 0
+    while first < batch.num_rows:
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + CELLS_AT_ONCE, "right")) - 1)
+        yield batch.slice(first, last - first)
+        first = last
+
+
+def _flat_cells(cells: pa.ListArray, inner: list[str]) -> tuple[np.ndarray, dict[str, pa.Array], np.ndarray, np.ndarray]:
+    """Row of each cell, its inner axes, re and im; lists in the struct hold neighbouring cells side by side."""
+    flat, row = cells.flatten(), np.repeat(np.arange(len(cells)), np.diff(cells.offsets.to_numpy()))
+    fields = {n: flat.field(n) for n in (*inner, "re", "im")}
+    if pa.types.is_list(fields["re"].type):
+        cell = np.repeat(np.arange(len(flat)), np.diff(fields["re"].offsets.to_numpy()))
+        row, at = row[cell], pa.array(cell)
+        fields = {n: v.flatten() if pa.types.is_list(v.type) else v.take(at) for n, v in fields.items()}
+    parts = [fields.pop(n).fill_null(0.0).to_numpy() for n in ("re", "im")]
+    return row, fields, *parts
+
+
+def _dense_vectors(row: np.ndarray, sets: np.ndarray, fields: dict[str, pa.Array], axis: str, re: np.ndarray, im: np.ndarray,
+                   grids: Callable[[int], np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each set: a cell of every vector along the axis, by row, and the vectors as a complex matrix."""
+    key = row.astype(np.int64)
+    for name, values in fields.items():
+        if name != axis:
+            codes = values.dictionary_encode(null_encoding="encode")
+            key = key * max(1, len(codes.dictionary)) + codes.indices.to_numpy()
+    at, cell_set = fields[axis].to_numpy(zero_copy_only=False), sets[row]
+    for one in np.unique(cell_set):
+        mine = np.flatnonzero(cell_set == one)
+        grid = grids(one)
+        _, head, local = np.unique(key[mine], return_index=True, return_inverse=True)
+        slot = local.ravel() * len(grid) + np.searchsorted(grid, at[mine])
+        if len(slot) and np.bincount(slot).max() > 1:
+            raise ValueError(f"an observation has a place of {axis} twice")
+        x = np.zeros(len(head) * len(grid), complex)
+        x[slot] = re[mine] + 1j * im[mine]
+        yield one, mine[head], x.reshape(len(head), len(grid))
+
+
 def axis_vectors(rows: DataFrame, keys: list[str], inner: list[str], axis: str, places: str) -> DataFrame:
     """Vectors along one inner axis of the cells of each row: keys, the other inner axes, re, im; no shuffle.
 
@@ -42,45 +93,90 @@ def axis_vectors(rows: DataFrame, keys: list[str], inner: list[str], axis: str,
     others = [k for k in inner if k != axis]
     types = {f.name: f for f in rows.schema["cells"].dataType.elementType.fields}
     numbers = T.ArrayType(T.DoubleType())
-    schema = T.StructType([*[rows.schema[k] for k in keys], *[types[k] for k in others], T.StructField("re", numbers), T.StructField("im", numbers)])
+    plain = [T.StructField(k, getattr(types[k].dataType, "elementType", types[k].dataType)) for k in others]
+    schema = T.StructType([*[rows.schema[k] for k in keys], *plain, T.StructField("re", numbers), T.StructField("im", numbers)])
 
     def run(batches):
-        for batch in batches:
-            cells = batch.column("cells")
-            flat, row = cells.flatten(), np.repeat(np.arange(len(cells)), np.diff(cells.offsets.to_numpy()))
-            if not len(row):
-                continue
-            named = [flat.field(k).dictionary_encode(null_encoding="encode") for k in others]
-            codes = [d.indices.to_numpy() for d in named]
-            order = np.lexsort([*codes[::-1], row])
-            new = np.ones(len(order), bool)
-            new[1:] = np.any([c[order][1:] != c[order][:-1] for c in (row, *codes)], axis=0)
-            vector = np.empty(len(order), np.int64)
-            vector[order] = np.cumsum(new) - 1
-            head = order[new]  # a cell of each vector
+        for batch in (part for whole in batches for part in _row_slices(whole)):
+            row, fields, re, im = _flat_cells(batch.column("cells"), inner)
             sets = batch.column(keys[0]).dictionary_encode(null_encoding="encode").indices.to_numpy()
-            at, parts = flat.field(axis).to_numpy(zero_copy_only=False), [flat.field(c).fill_null(0.0).to_numpy() for c in ("re", "im")]
-            for one in np.unique(sets):
-                mine = np.flatnonzero(sets[row] == one)
-                grid = batch.column(places)[int(np.argmax(sets == one))].values.to_numpy()
-                found, local = np.unique(vector[mine], return_inverse=True)
-                slot = local.ravel() * len(grid) + np.searchsorted(grid, at[mine])
-                if len(np.unique(slot)) < len(slot):
-                    raise ValueError(f"an observation has a place of {axis} twice")
-                first = head[found]
-                ends = pa.array(np.arange(0, len(found) * len(grid) + 1, len(grid)), pa.int32())
-                lists = []
-                for p in parts:
-                    dense = np.zeros(len(found) * len(grid))
-                    dense[slot] = p[mine]
-                    lists.append(pa.ListArray.from_arrays(ends, pa.array(dense)))
+            grids = lambda one: batch.column(places)[int(np.argmax(sets == one))].values.to_numpy()  # noqa: B023, E731
+            for _, head, x in _dense_vectors(row, sets, fields, axis, re, im, grids):
+                ends = pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(v).ravel())) for v in (x.real, x.imag)]
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(k).take(pa.array(row[first])) for k in keys], *[d.dictionary.take(pa.array(c[first])) for d, c in zip(named, codes)], *lists],
+                    [*[batch.column(k).take(pa.array(row[head])) for k in keys], *[fields[k].take(pa.array(head)) for k in others], *lists],
                     names=schema.names)
 
     return rows.select(*keys, "cells", places).mapInArrow(run, schema)
 
 
+class AxisSum(NamedTuple):
+    """Sums of a row-wise kernel over the vectors along one axis, of each row or of each value of the first key."""
+
+    name: str
+    axis: str
+    kernel: Callable[[np.ndarray], list[np.ndarray]]
+    per_row: bool = False
+
+
+def axis_sums(rows: DataFrame, keys: list[str], inner: list[str], sums: list[AxisSum], places: dict[str, str], wanted: str) -> DataFrame:
+    """All sums from one pass over the cells of each row: name, keys, n_rows, values (a list for each output).
+
+    A row is laid out along every axis in turn and only sums leave the task. `places` names the column with the
+    sorted places of each axis, `wanted` the one with the names of the sums that a value of the first key needs;
+    both are the same for all rows of such a value. Sums over rows are partial, one for each slice of a batch,
+    and have null for the other keys.
+    """
+    schema = T.StructType([T.StructField("name", T.StringType()), *[T.StructField(k, rows.schema[k].dataType) for k in keys],
+                           T.StructField("n_rows", T.LongType()), T.StructField("values", T.ArrayType(T.ArrayType(T.DoubleType())))])
+
+    def run(batches):
+        for batch in (part for whole in batches for part in _row_slices(whole)):
+            row, fields, re, im = _flat_cells(batch.column("cells"), inner)
+            sets = batch.column(keys[0]).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            firsts = {int(one): int(np.argmax(sets == one)) for one in np.unique(sets)}
+            asked = {one: set(batch.column(wanted)[at].as_py()) for one, at in firsts.items()}
+            names, rows_of, counts, values = [], [], [], []
+            for axis in dict.fromkeys(s.axis for s in sums):
+                here = [s for s in sums if s.axis == axis and any(s.name in a for a in asked.values())]
+                grids = lambda one: batch.column(places[axis])[firsts[int(one)]].values.to_numpy()  # noqa: B023, E731
+                for one, head, x in _dense_vectors(row, sets, fields, axis, re, im, grids) if here else ():
+                    own, starts = np.unique(row[head], return_index=True)
+                    for s in here:
+                        if s.name not in asked[int(one)]:
+                            continue
+                        parts = s.kernel(x)
+                        if s.per_row:
+                            names += [s.name] * len(own)
+                            rows_of += own.tolist()
+                            counts += np.diff([*starts, len(x)]).tolist()
+                            values += np.stack([np.add.reduceat(p, starts, axis=0) for p in parts], axis=1).tolist()
+                        else:
+                            names.append(s.name)
+                            rows_of.append(-1 - firsts[int(one)])
+                            counts.append(len(x))
+                            values.append([p.sum(axis=0).tolist() for p in parts])
+            if not names:
+                continue
+            at = np.array(rows_of)
+            mine = [batch.column(k).take(pa.array(np.where(at < 0, -1 - at, at), mask=(at < 0) & (i > 0))) for i, k in enumerate(keys)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), *mine, pa.array(counts, pa.int64()), pa.array(values, pa.list_(pa.list_(pa.float64())))], names=schema.names)
+
+    return rows.select(*keys, "cells", *places.values(), wanted).mapInArrow(run, schema)
+
+
+def named_sums(sums: DataFrame, name: str, keys: list[str], outputs: list[str], per_row: bool = False) -> DataFrame:
+    """The sums of one name from axis_sums: keys, pos, n_rows and one column per output; those of rows are whole as they are."""
+    lists = F.arrays_zip(*[F.get("values", F.lit(i)).alias(o) for i, o in enumerate(outputs)])
+    cells = sums.filter(F.col("name") == name).select(*keys, "n_rows", F.posexplode(lists).alias("pos", "v")).select(
+        *keys, "pos", "n_rows", *[F.col(f"v.{o}").alias(o) for o in outputs])
+    if per_row:
+        return cells
+    return cells.groupBy(*keys, "pos").agg(F.sum("n_rows").alias("n_rows"), *[F.sum(o).alias(o) for o in outputs])
+
+
 def _matrices(pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
     """Sub-frames of equal vector length with their complex matrix."""
     for _, part in pdf.groupby(pdf["re"].str.len(), sort=False):
@@ -142,31 +238,39 @@ def next_pow2(n: int) -> int:
     return 1 << max(0, int(n - 1).bit_length())
 
 
-def autocorrelation(vectors: DataFrame, keys: list[str]) -> DataFrame:
-    """Normalized complex autocorrelation per key: lag, re, im, magnitude.
+LAG_SUMS = ["cr", "ci", "lp", "rp"]
 
-    The lag products of a vector come from one zero-padded FFT, so the cost is
-    N log N per observation and no pair rows are made.
-    """
-    def kernel(x):
-        n = x.shape[1]
-        f = np.fft.fft(x, 2 * n, axis=1)
-        # sum_i x[i] * conj(x[i + lag])
-        cross = np.conj(np.fft.ifft(np.abs(f) ** 2, axis=1)[:, :n])
-        p = np.abs(x) ** 2
-        left = np.cumsum(p, axis=1)[:, ::-1]
-        right = np.cumsum(p[:, ::-1], axis=1)[:, ::-1]
-        return [cross.real, cross.imag, left, right]
-
-    s = sum_over_rows(vectors, keys, ["cr", "ci", "lp", "rp"], kernel)
+
+def lag_products(x: np.ndarray) -> list[np.ndarray]:
+    """Sums of x[i] * conj(x[i + lag]) of each vector and the powers of both ends, from one zero-padded FFT."""
+    n = x.shape[1]
+    f = np.fft.fft(x, 2 * n, axis=1)
+    cross = np.conj(np.fft.ifft(np.abs(f) ** 2, axis=1)[:, :n])
+    p = np.abs(x) ** 2
+    left = np.cumsum(p, axis=1)[:, ::-1]
+    right = np.cumsum(p[:, ::-1], axis=1)[:, ::-1]
+    return [cross.real, cross.imag, left, right]
+
+
+def normalized_lags(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """Normalized complex autocorrelation from the sums of lag_products: lag, re, im, magnitude."""
     scale = F.sqrt(F.col("lp") * F.col("rp"))
-    return s.select(
+    return sums.select(
         *keys, F.col("pos").alias("lag"),
         F.when(scale > 0, F.col("cr") / scale).alias("re"),
         F.when(scale > 0, F.col("ci") / scale).alias("im"),
     ).withColumn("magnitude", F.hypot("re", "im"))
 
 
+def autocorrelation(vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """Normalized complex autocorrelation per key: lag, re, im, magnitude.
+
+    The lag products of a vector come from one zero-padded FFT, so the cost is
+    N log N per observation and no pair rows are made.
+    """
+    return normalized_lags(sum_over_rows(vectors, keys, LAG_SUMS, lag_products), keys)
+
+
 def _periodograms(x: np.ndarray, demean: bool, hann: bool, shift: bool, nfft: int | None = None) -> np.ndarray:
     n = x.shape[1]
     w = np.ones(n)
@@ -188,8 +292,16 @@ def power_spectrum(vectors: DataFrame, keys: list[str], *, demean: bool, hann: b
     Zero-pads to nfft or to the next power of two; the window and its energy
     use the unpadded length.
     """
-    s = sum_over_rows(vectors, keys, ["p"], lambda x: [_periodograms(x, demean, hann, shift, nfft)])
-    return s.select(*keys, F.col("pos").alias("q"), (F.col("p") / F.col("n_rows")).alias("power"))
+    return mean_spectrum(sum_over_rows(vectors, keys, ["p"], lambda x: [_periodograms(x, demean, hann, shift, nfft)]), keys)
+
+
+def mean_spectrum(sums: DataFrame, keys: list[str]) -> DataFrame:
+    return sums.select(*keys, F.col("pos").alias("q"), (F.col("p") / F.col("n_rows")).alias("power"))
+
+
+def doppler_power(x: np.ndarray) -> list[np.ndarray]:
+    """Hann-windowed periodogram of each vector on a shifted axis."""
+    return [_periodograms(x, True, True, True)]
 
 
 def inverse_dft_shifted(vectors: DataFrame, keys: list[str]) -> DataFrame:
@@ -211,13 +323,23 @@ def _beams(x: np.ndarray, spacing_wavelengths: float, angles_deg: list[int]) ->
 def beam_power(vectors: DataFrame, keys: list[str], spacing_wavelengths: float,
                angles_deg: list[int]) -> DataFrame:
     """Mean beamformed power of a uniform linear array per key and angle."""
-    s = sum_over_rows(vectors, keys, ["p"], lambda x: [_beams(x, spacing_wavelengths, angles_deg)])
-    return s.select(*keys, (F.col("pos") + F.lit(int(angles_deg[0]))).alias("angle"),
-                    (F.col("p") / F.col("n_rows")).alias("power"))
+    return mean_beams(sum_over_rows(vectors, keys, ["p"], beam_kernel(spacing_wavelengths, angles_deg)), keys, angles_deg)
+
+
+def beam_kernel(spacing_wavelengths: float, angles_deg: list[int]) -> Callable[[np.ndarray], list[np.ndarray]]:
+    return lambda x: [_beams(x, spacing_wavelengths, angles_deg)]
+
+
+def mean_beams(sums: DataFrame, keys: list[str], angles_deg: list[int]) -> DataFrame:
+    return sums.select(*keys, (F.col("pos") + F.lit(int(angles_deg[0]))).alias("angle"),
+                       (F.col("p") / F.col("n_rows")).alias("power"))
+
 
+MOMENTS = ["p", "px", "pxx"]
 
-def power_moments(vectors: DataFrame, keys: list[str], power: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Sums of p, p*x and p*x*x per key, as p, px and pxx; `power` gives the axis x and the powers p of each row.
+
+def moment_kernel(power: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Callable[[np.ndarray], list[np.ndarray]]:
+    """Sums of p, p*x and p*x*x of each row; `power` gives the axis x and the powers p of each row.
 
     The spectrum itself is as long as its axis; what leaves a batch is three numbers a key.
     """
@@ -225,23 +347,39 @@ def power_moments(vectors: DataFrame, keys: list[str], power: Callable[[np.ndarr
         x, p = power(v)
         return [(p @ x**i)[:, None] for i in range(3)]
 
-    return sum_over_rows(vectors, keys, ["p", "px", "pxx"], kernel)
+    return kernel
 
 
-def doppler_moments(vectors: DataFrame, keys: list[str], spacing_s: float) -> DataFrame:
+def doppler_moment_kernel(spacing_s: float) -> Callable[[np.ndarray], list[np.ndarray]]:
     """Moments of the Hann-windowed periodogram over frequency."""
     def power(x):
         p = _periodograms(x, True, True, True)
         nfft = p.shape[1]
         return (np.arange(nfft) - nfft // 2) / (nfft * spacing_s), p
 
-    return power_moments(vectors, keys, power)
+    return moment_kernel(power)
 
 
-def beam_moments(vectors: DataFrame, keys: list[str], spacing_wavelengths: float, angles_deg: list[int]) -> DataFrame:
+def beam_moment_kernel(spacing_wavelengths: float, angles_deg: list[int]) -> Callable[[np.ndarray], list[np.ndarray]]:
     """Moments of the beamformed power over angle."""
     angles = np.asarray(angles_deg, dtype=float)
-    return power_moments(vectors, keys, lambda x: (angles, _beams(x, spacing_wavelengths, angles_deg)))
+    return moment_kernel(lambda x: (angles, _beams(x, spacing_wavelengths, angles_deg)))
+
+
+def doppler_moments(vectors: DataFrame, keys: list[str], spacing_s: float) -> DataFrame:
+    return sum_over_rows(vectors, keys, MOMENTS, doppler_moment_kernel(spacing_s))
+
+
+def beam_moments(vectors: DataFrame, keys: list[str], spacing_wavelengths: float, angles_deg: list[int]) -> DataFrame:
+    return sum_over_rows(vectors, keys, MOMENTS, beam_moment_kernel(spacing_wavelengths, angles_deg))
+
+
+CORRELATION_SUMS = ["cr", "ci", "elements"]
+
+
+def outer_products(x: np.ndarray) -> list[np.ndarray]:
+    outer = (x[:, :, None] * np.conj(x[:, None, :])).reshape(len(x), -1)
+    return [outer.real, outer.imag, np.full((len(x), outer.shape[1]), float(x.shape[1]))]
 
 
 def correlation_matrix(vectors: DataFrame, keys: list[str]) -> DataFrame:
@@ -249,12 +387,11 @@ def correlation_matrix(vectors: DataFrame, keys: list[str]) -> DataFrame:
 
     One outer product per observation inside the batch; only E*E sums shuffle.
     """
-    def kernel(x):
-        outer = (x[:, :, None] * np.conj(x[:, None, :])).reshape(len(x), -1)
-        size = np.full((len(x), outer.shape[1]), float(x.shape[1]))
-        return [outer.real, outer.imag, size]
+    return correlation_from(sum_over_rows(vectors, keys, CORRELATION_SUMS, outer_products, width=lambda n: 3 * n * n), keys)
+
 
-    s = sum_over_rows(vectors, keys, ["cr", "ci", "elements"], kernel, width=lambda n: 3 * n * n)
+def correlation_from(s: DataFrame, keys: list[str]) -> DataFrame:
+    """The matrix from the sums of outer_products."""
     e = F.round(F.col("elements") / F.col("n_rows")).cast("int")
     cells = s.select(*keys, F.floor(F.col("pos") / e).cast("int").alias("i"),
                      F.pmod(F.col("pos"), e).alias("j"), "n_rows",

@@ -25,10 +25,23 @@ def write_table(df: DataFrame, folder: str, partition_by: list[str] | None = Non
     return folder
 
 
-def shared_copy(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to the shared folder and read back: they cost no executor memory and outlive a lost executor."""
-    folder = write_table(df, scratch_folder(df.sparkSession, name))
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def shared_copy(df: DataFrame, name: str, arrow_rows: int = 0) -> DataFrame:
+    """The rows written to the shared folder and read back: they cost no executor memory and outlive a lost executor.
+
+    With arrow_rows no Python worker is handed more rows at a time while they are made.
+    """
+    spark = df.sparkSession
+    before = spark.conf.get(ARROW_ROWS)
+    if arrow_rows and not 0 < int(before) <= arrow_rows:
+        spark.conf.set(ARROW_ROWS, arrow_rows)
+    try:
+        folder = write_table(df, scratch_folder(spark, name))
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def write_bundle(folder: str, tables: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None) -> str:

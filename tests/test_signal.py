@@ -126,3 +126,73 @@ def test_vectors_of_every_axis_come_from_packed_samples_without_a_shuffle(spark)
     assert {len(r["re"]) for r in analysis.cell_vectors(packed, "rx").filter("dataset_id = 'a'").collect()} == {2}
     with pytest.raises(PythonException, match="twice"):
         analysis.complete_vectors(rows.union(rows), "t").collect()
+
+
+def test_rows_are_laid_out_in_slices_of_bounded_cells(monkeypatch):
+    import pyarrow as pa
+
+    lists = [[{"f": list(range(3)), "re": [1.0] * 3} for _ in range(n)] for n in (4, 1, 30, 2, 0, 5)]
+    cells = pa.array(lists, pa.list_(pa.struct([("f", pa.list_(pa.int32())), ("re", pa.list_(pa.float64()))])))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), cells], names=["sample", "cells"])
+    monkeypatch.setattr(signal, "CELLS_AT_ONCE", 21)
+    cut = [part.column("sample").to_pylist() for part in signal._row_slices(batch)]
+    assert cut == [[0, 1], [2], [3, 4, 5]]  # 15 cells, one row of 90, 21 cells
+    monkeypatch.setattr(signal, "CELLS_AT_ONCE", 10**6)
+    assert [p.num_rows for p in signal._row_slices(batch)] == [6]
+
+
+def test_sums_of_every_axis_come_from_one_pass_and_match_the_vectors(spark):
+    from fadewell.operators import metrics
+    from fadewell.plans import analysis
+
+    rng = np.random.default_rng(5)
+    cells = [(d, s, a, b, f, t, float(rng.normal()), float(rng.normal())) for d, n in (("a", 7), ("b", 3)) for s in range(n)
+             for a in range(2) for b in range(3 if d == "a" else 1) for f in range(4) for t in range(5) if (s + a + t) % 6]
+    schema = "dataset_id string, sample long, tx int, rx int, f int, t int, re double, im double"
+    rows = spark.createDataFrame(cells, schema)
+    side = rows.orderBy("f").groupBy("dataset_id", "sample", "tx", "rx", "t").agg(
+        F.array_sort(F.collect_list(F.struct("f", "re", "im"))).alias("c")).select(
+        "dataset_id", "sample", "tx", "rx", "t", "c.f", "c.re", "c.im")
+    caps = spark.createDataFrame([("a", 2, 3, False, False, True), ("b", 2, 1, False, True, True)],
+                                 "dataset_id string, n_tx int, n_rx int, has_angles boolean, tx_ula boolean, rx_ula boolean")
+    plain = analysis.sample_cells(rows)
+    near = lambda df, *keys: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*keys).collect())
+    for packed in (plain, analysis.sample_cells(side)):
+        sums = analysis.channel_sums(packed, caps, 1e-3, 1e5, 0.5)
+        for axis in ("t", "f"):
+            want = signal.autocorrelation(analysis.cell_vectors(plain, axis), ["dataset_id"])
+            got = signal.normalized_lags(signal.named_sums(sums, f"lags {axis}", ["dataset_id"], signal.LAG_SUMS), ["dataset_id"])
+            assert near(got, "dataset_id", "lag", "re", "im") == near(want, "dataset_id", "lag", "re", "im")
+        keys = ["dataset_id", "sample"]
+        want = metrics.doppler_spread(analysis.cell_vectors(plain, "t"), keys, 1e-3)
+        got = metrics.moment_spread(signal.named_sums(sums, "doppler moments", keys, signal.MOMENTS, True), keys, "spread_hz")
+        assert len(near(got, *keys, "spread_hz")) == 10 and near(got, *keys, "spread_hz") == near(want, *keys, "spread_hz")
+        want = signal.correlation_matrix(analysis.cell_vectors(plain, "tx"), ["dataset_id"])
+        got = signal.correlation_from(signal.named_sums(sums, "correlation tx", ["dataset_id"], signal.CORRELATION_SUMS), ["dataset_id"])
+        assert near(got, "dataset_id", "i", "j", "n_rows", "re", "im") == near(want, "dataset_id", "i", "j", "n_rows", "re", "im")
+        named = {(r["dataset_id"], r["name"]) for r in sums.select("dataset_id", "name").distinct().collect()}
+        assert {n for d, n in named if d == "a"} == {"doppler", "lags t", "lags f", "doppler moments", "correlation tx", "correlation rx", "beams rx", "beam moments rx"}
+        assert {n for d, n in named if d == "b"} == {"doppler", "lags t", "lags f", "doppler moments", "correlation tx", "beams tx", "beam moments tx"}
+
+
+def test_python_workers_are_handed_bounded_batches(spark):
+    from fadewell.sources import bundles
+
+    def run(batches):
+        import pyarrow as pa
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    before = spark.conf.get(bundles.ARROW_ROWS)
+    sizes = [r["n"] for r in bundles.shared_copy(spark.range(0, 1000, 1, 2).mapInArrow(run, "n long"), "sizes", 70).collect()]
+    assert sum(sizes) == 1000 and max(sizes) == 70 and spark.conf.get(bundles.ARROW_ROWS) == before
+
+
+def test_points_read_sums_and_run_no_python(spark):
+    from fadewell.plans import analysis, queries_analysis, views
+
+    folder = "/root/testdata/sf0.001"
+    cir = views.cir(spark, folder)
+    points, _ = analysis.analyze(cir, queries_analysis.metadata(cir, False), spacing_s=1e-3, offsets_hz=[-1e5, 0.0, 1e5])
+    plan = points._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapIn" not in plan and "time_autocorrelation" in plan
