@@ -194,3 +194,12 @@ def test_task_rules_read_their_tasks_once(spark):
     r = rules.task_rules(tasks, length)
     assert r._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 1  # the axis length only
     assert sum(x["violations"] for x in r.collect()) == 0
+
+
+def test_heat_map_keeps_samples_not_their_cells(cir):
+    """The unfolded cells, 64 and more a sample, are not held for the two passes; peaks stay those of each dataset."""
+    heat = metrics.delay_sample_heatmap(cir)
+    held = [line for line in heat._jdf.queryExecution().optimizedPlan().toString().splitlines() if "InMemoryRelation" in line]
+    assert not any("delay_s" in line or "linear" in line for line in held)
+    tops = {r[D]: (r["top"], r["n"]) for r in heat.groupBy(D).agg(F.max("normalized_db").alias("top"), F.count("*").alias("n")).collect()}
+    assert tops == {"dyn": (0.0, 24 * 64), "siso": (0.0, 24 * 64), "one": (0.0, 64)}
