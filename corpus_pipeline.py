@@ -37,8 +37,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 tokens placed in sequences."""
-    packed = packing.pack_documents(spark, docs, tokenizer_path())
+    """Pieces of at most 1024 tokens placed in sequences. Earlier stages leave more workers than an executor has cores; those that wait hold no words."""
+    packed = packing.pack_documents(spark, docs, tokenizer_path(), keep_words=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -136,14 +136,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     found = rows.where(drawn).select("lang", "id", vector("text").alias("v")).where("v is not null").collect()
     found.sort(key=lambda r: (r["lang"], r["id"]))
-    x = np.array([np.frombuffer(r["v"], np.float16) for r in found], np.float32)
-    names = np.array([r["lang"] for r in found])
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1
-    x = _unit(x * idf)
+    names, n = np.array([r["lang"] for r in found]), len(found)
+    x = np.empty((n, DIMENSIONS), np.float16)
+    for i in range(n - 1, -1, -1):  # rows go as they are copied
+        x[i] = np.frombuffer(found.pop()["v"], np.float16)
+    seen = np.zeros(DIMENSIONS, np.int64)
+    for at in range(0, n, PER_LANGUAGE):
+        seen += (x[at : at + PER_LANGUAGE] > 0).sum(0)
+    idf = np.log((1 + n) / (1 + seen)) + 1
     languages = tuple(sorted(set(names)))
     parts, owner, reach, sizes = [], [], [], []
     for k, lang in enumerate(languages):
-        mine = x[names == lang]
+        mine = _unit(x[names == lang] * idf)  # the wide numbers of one language at a time
         c = _clusters(mine, centroids)
         cos = mine @ c.T
         near = np.argmax(cos, axis=1)

@@ -27,9 +27,13 @@ _PIECE_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start
 _PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, row long, sequence_id long, offset long, fill long, task long, open boolean"
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = 1024) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = 1024,
+                 keep_words: bool = True) -> DataFrame:
     """Pieces of at most `capacity` ids of each whole document with its end id; a longer document's first
-    piece is the shorter one. Null text is empty. `row` tells rows that repeat an id apart."""
+    piece is the shorter one. Null text is empty. `row` tells rows that repeat an id apart.
+
+    Without keep_words a worker forgets its words after a task: where more workers than cores take turns, those
+    that wait hold none, and each task learns its words anew."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
@@ -48,6 +52,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                         out[name].append(v)
                 row += 1
             yield pa.RecordBatch.from_pydict(out, schema=_PIECE_ARROW)
+        if not keep_words:
+            encoder(tokenizer).forget()
 
     return rows.mapInArrow(run, _PIECE)
 

@@ -81,9 +81,14 @@ def keep_only(table: dict | None = None) -> None:
     for t in others:
         t.clear()
     if others:
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # give the memory back where the C library can
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        give_back()
+
+
+def give_back() -> None:
+    """Free memory goes back to the system where the C library can."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:

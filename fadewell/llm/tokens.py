@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .shared import KEPT_TABLES, keep_only
+from .shared import KEPT_TABLES, give_back, keep_only
 
 PIECES_KEPT = 100_000  # a worker's table of encoded pieces starts anew beyond it; of the one before, pieces met again stay
 _PIECES = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
@@ -85,6 +85,10 @@ class Encoder:
         self.former: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.kept, self.former, self.marks = {}, {}, {}
+        give_back()
+
     def _direct(self) -> bool:
         """Whether the model alone gives plain pieces the ids that the tokenizer gives them."""
         from tokenizers.pre_tokenizers import ByteLevel

@@ -693,3 +693,38 @@ def test_owner_sets_count_the_shingles_of_few_texts(spark):
         rare = {r["id"]: r["rare"] for r in simhash.rare_shingles(simhash.owner_sets(docs, 5, most), docs).collect()}
         each = {i: sum(n for ids, n in want.items() if i in ids) for i in range(1, 51)}  # id 0 has two texts
         assert rare == {i: n for i, n in each.items() if n}
+
+
+def test_training_holds_the_wide_vectors_of_one_language_at_a_time(spark):
+    import tracemalloc
+
+    words = {"aa": "alpha beta gamma", "bb": "delta epsilon zeta", "cc": "theta iota kappa", "dd": "mu nu xi"}
+    docs = spark.createDataFrame([(i, f"{words[lang]} {i * 37 % 101:b} {'abcdefgh'[i % 8]}", lang) for lang in words for i in range(list(words).index(lang) * 300, list(words).index(lang) * 300 + 300)],
+                                 "doc_id long, text string, lang string")
+    tracemalloc.start()
+    try:
+        model = language.train(docs)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model.languages == tuple(words) and model.sizes.sum() >= 1100
+    assert peak < 1200 * language.DIMENSIONS * 16  # all texts as doubles twice
+
+
+def test_workers_that_wait_hold_no_words(spark):
+    """After packing with keep_words=False the encoder stays in each worker without its table; the pieces are the same."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, f"plain words here {i}") for i in range(640)], "doc_id long, text string").repartition(64)
+    where = tokenizer_path()
+
+    def held(x):
+        return pa.array([len(encoder(where).kept)] * len(x), pa.int64())
+
+    rows = {}
+    for keep in (True, False):
+        rows[keep] = {tuple(r)[:5] for r in packing.token_pieces(docs, where, keep_words=keep).collect()}
+        words = [r["n"] for r in docs.select(F.arrow_udf(held, "long", F.ArrowUDFType.SCALAR)("doc_id").alias("n")).collect()]
+        assert any(words) == keep
+    assert rows[True] == rows[False] and len(rows[True]) == 640
